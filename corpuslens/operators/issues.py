@@ -189,6 +189,17 @@ def _or_default(col: Column, empty: object, default: object) -> Column:
     return F.coalesce(F.nullif(col, F.lit(empty)), F.lit(default))
 
 
+def _one_document(text: Column) -> Column:
+    """The text as a variant, or null unless it is exactly one JSON value.
+
+    The parser stops after the first value; inside an array, anything that follows is an error or a
+    second element.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def parse_issues(answers: DataFrame, text: str, file: str, default_confidence: float = 0.7) -> DataFrame:
     """Findings from model answers: a fenced JSON block or the whole text, an array or one object.
 
@@ -197,7 +208,7 @@ def parse_issues(answers: DataFrame, text: str, file: str, default_confidence: f
     fenced = F.regexp_extract(F.col(text), r"(?s)```json\n(.*?)\n```", 1)
     body = F.trim(F.when(F.col(text).rlike(r"(?s)```json\n.*?\n```"), fenced).otherwise(F.col(text)))
     as_array = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    valid = F.try_parse_json(as_array).isNotNull() & body.rlike(r"^[\[{]")
+    valid = _one_document(body).isNotNull() & body.rlike(r"^[\[{]")
     parsed = F.when(valid, F.from_json(as_array, T.ArrayType(ISSUE)))
     rows = answers.withColumn("_issues", parsed).select(
         *answers.columns, F.posexplode("_issues").alias("ordinal", "_issue")
@@ -228,7 +239,7 @@ def validate_issues(records: DataFrame, json: str, expected_type: str | None = N
 
     ``expected_type`` is the literal type an agent of one kind must report.
     """
-    doc = F.try_parse_json(F.col(json))
+    doc = _one_document(F.col(json))
 
     def is_kind(path: str, kind: str) -> Column:
         value = F.try_variant_get(doc, path, "variant")

@@ -170,7 +170,7 @@ good as (
   from bodies where json_valid(body) and regexp_matches(body, '^[\\[{]')),
 items as (
   select issue_id, answer_file, g.ordinal, json_extract(arr, concat('$[', g.ordinal, ']')) as j
-  from good, lateral (select unnest(range(json_array_length(arr))) as ordinal) g)
+  from good, lateral (select unnest(range(cast(json_array_length(arr) as bigint))) as ordinal) g)
 select issue_id, cast(ordinal as int) as ordinal, answer_file as issue_file,
   coalesce(nullif(j->>'$.type', ''), 'bug') as type,
   coalesce(nullif(j->>'$.severity', ''), 'medium') as severity,
