@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.let import let
+from corpuslens.functions.let import let, open_array
 
 CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 200
@@ -99,8 +99,9 @@ def chunk_id(path: Column, index: Column) -> Column:
 
 def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: repo, file_path, chunk_index, chunk_id, line_start, line_end, text."""
-    cut = files.select("repo", "path", chunks_of(F.col("content"), size, overlap).alias("_chunks"))
-    rows = cut.select("repo", F.col("path").alias("file_path"), F.posexplode("_chunks").alias("chunk_index", "_c"))
+    rows = open_array(
+        files, ["repo", F.col("path").alias("file_path")], chunks_of(F.col("content"), size, overlap), "chunk_index", "_c"
+    )
     return rows.select(
         "repo",
         "file_path",

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.let import let
+from corpuslens.functions.let import let, open_array
 from corpuslens.functions.paths import language_of
 
 # The marks of a unified diff. Flags: m = at line starts, d = only \n ends a line.
@@ -31,12 +31,8 @@ def _rest_after_line(text: Column) -> Column:
 
 def diff_files(diffs: DataFrame, key: str = "diff_id", text: str = "diff_text") -> DataFrame:
     """One row per changed file: path, old_path (renames), status, language and its block of the diff."""
-    rows = diffs.select(
-        key,
-        F.posexplode(
-            F.filter(F.split(F.col(text), FILE_START), lambda b: b.startswith("diff --git "))
-        ).alias("file_no", "block"),
-    )
+    blocks = F.filter(F.split(F.col(text), FILE_START), lambda b: b.startswith("diff --git "))
+    rows = open_array(diffs, [key], blocks, "file_no", "block")
     block = F.col("block")
     old, new = F.regexp_extract(block, PATHS, 1), F.regexp_extract(block, PATHS, 2)
     status = (
@@ -76,9 +72,7 @@ def _occurrences(text: Column, char: str) -> Column:
 
 def diff_hunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
     """One row per hunk: its ranges, its heading and its marked lines (``lines``, with ``marks``)."""
-    rows = files.select(
-        key, "file_no", "path", "status", F.posexplode(hunk_texts(F.col("block"))).alias("hunk_no", "hunk")
-    )
+    rows = open_array(files, [key, "file_no", "path", "status"], hunk_texts(F.col("block")), "hunk_no", "hunk")
 
     def part(i):
         return F.regexp_extract("hunk", HUNK_HEAD, i)
@@ -118,12 +112,8 @@ def numbered(lines: Column, marks: Column, old_start: Column, new_start: Column)
 
 def diff_lines(hunks: DataFrame, key: str = "diff_id") -> DataFrame:
     """One row per line of every hunk, with old and new line numbers."""
-    rows = hunks.select(
-        key, "file_no", "path", "status", "hunk_no",
-        F.posexplode(
-            numbered(F.col("lines"), F.col("marks"), F.col("old_start"), F.col("new_start"))
-        ).alias("line_no", "_l"),
-    )
+    lines = numbered(F.col("lines"), F.col("marks"), F.col("old_start"), F.col("new_start"))
+    rows = open_array(hunks, [key, "file_no", "path", "status", "hunk_no"], lines, "line_no", "_l")
     return rows.select(key, "file_no", "path", "status", "hunk_no", "line_no", "_l.*")
 
 
