@@ -74,7 +74,7 @@ from {embeddings}
 
 # Source files with real import, export, class and require lines; the document text follows as a comment.
 DERIVED["code_files"] = """
-select doc_id, source as repo,
+select doc_id, 'main' as repo,
   concat('src/mod', cast(doc_id % 10 as varchar(20)), '/doc', cast(doc_id as varchar(20)),
     case doc_id % 6 when 0 then '.ts' when 1 then '.js' when 2 then '.tsx' when 3 then '.ts'
       when 4 then '.jsx' else '/index.ts' end) as path,
@@ -117,7 +117,46 @@ select repo,
     '  it(''case a', cast(doc_id as varchar(20)), ''', () => {});', chr(10),
     case doc_id % 2 when 0 then concat('  test("case b", () => {});', chr(10)) else '' end,
     '});', chr(10), '// ', replace(content, chr(10), ' ')) as content
-from (select doc_id, source as repo, text as content from {documents}) d
+from (select doc_id, 'main' as repo, text as content from {documents}) d
+"""
+
+DERIVED["python_files"] = """
+select doc_id, 'main' as repo, concat('app/pkg', cast(doc_id % 10 as varchar(20)), '/m', cast(doc_id as varchar(20)),
+    case doc_id % 4 when 0 then '/__init__.py' else '.py' end) as path,
+  concat('import os, pkg', cast(t1 % 10 as varchar(20)), '.m', cast(t1 as varchar(20)), ' as dep', chr(10),
+    'from .m', cast(t1 as varchar(20)), ' import f', cast(t1 as varchar(20)), ' as g, h', chr(10),
+    case doc_id % 3 when 0 then concat('from typing import *', chr(10)) else '' end,
+    'LIMIT = 3', chr(10), '_hidden = 4', chr(10),
+    case doc_id % 5 when 0 then concat('__all__ = ["f', cast(doc_id as varchar(20)), '"]', chr(10)) else '' end,
+    case doc_id % 2 when 0 then 'async ' else '' end, 'def f', cast(doc_id as varchar(20)), '(a, b: int = 2, *rest) -> str:', chr(10),
+    '    return str(a)', chr(10), 'def _private():', chr(10), '    pass', chr(10),
+    'class K', cast(doc_id as varchar(20)), case doc_id % 3 when 1 then '(Enum)' else '(Base, Mixin)' end, ':', chr(10),
+    '    size: int = 1', chr(10), '    def run(self, x):', chr(10), '        return x', chr(10),
+    '# ', replace(replace(text, chr(13), ' '), chr(10), concat(chr(10), '# ')), chr(10)) as content
+from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1 from {documents} d) s
+"""
+
+DERIVED["go_files"] = """
+select doc_id, 'main' as repo, concat('svc/pkg', cast(doc_id % 10 as varchar(20)), '/u', cast(doc_id as varchar(20)), '.go') as path,
+  concat('package main', chr(10), 'import "fmt"', chr(10), 'import (', chr(10),
+    '    al "example.org/x/pkg', cast(t1 % 10 as varchar(20)), '"', chr(10), '    . "strings"', chr(10), '    _ "embed"', chr(10),
+    '    "net/http"', chr(10), ')', chr(10),
+    'type S', cast(doc_id as varchar(20)), ' struct {', chr(10), '    Id int', chr(10), '}', chr(10),
+    'type reader interface {', chr(10), '}', chr(10), 'type Alias = string', chr(10),
+    'func (s *S', cast(doc_id as varchar(20)), ') Run(a int, b string) error {', chr(10), '}', chr(10),
+    'func helper', cast(doc_id % 50 as varchar(20)), '() {', chr(10), '}', chr(10),
+    'var Top = 1', chr(10), 'const low = 2', chr(10), '// ', replace(text, chr(10), concat(chr(10), '// '))) as content
+from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1 from {documents} d) s
+"""
+
+DERIVED["rust_files"] = """
+select doc_id, 'main' as repo, concat('src/m', cast(doc_id as varchar(20)), case doc_id % 4 when 0 then '/mod.rs' else '.rs' end) as path,
+  concat('use crate::m', cast(t1 as varchar(20)), '::{Alpha, beta as gamma};', chr(10), 'pub use super::m', cast(t1 as varchar(20)), ';', chr(10),
+    'use std::collections::*;', chr(10), 'extern crate serde as sd;', chr(10),
+    'pub struct R', cast(doc_id as varchar(20)), ' {', chr(10), '}', chr(10), 'enum Kind { A, B }', chr(10), 'pub(crate) trait Walk {', chr(10), '}', chr(10),
+    'pub type Id = u64;', chr(10), 'pub async fn f', cast(doc_id as varchar(20)), '(a: u32) -> u32 {', chr(10), '    a', chr(10), '}', chr(10),
+    'fn inner() {}', chr(10), 'pub const MAX: u32 = 3;', chr(10), '// ', replace(text, chr(10), concat(chr(10), '// '))) as content
+from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1 from {documents} d) s
 """
 
 DERIVED["edges"] = """
