@@ -329,10 +329,10 @@ FORMS = [
 SNIPPET = ", ".join(f"nullif(regexp_replace(regexp_extract(f.content, concat('{a}', a.name, '{b}')), '^\\s+|\\s+$', '', 'g'), '')" for a, b in FORMS)
 ORACLE["import_definitions"] = with_derived("code_files", rf"""
 with {IMPORTED}, {LINES.format('code_files')},
-im2 as (select *, regexp_extract(l, '^\s*import\s+(.+?)\s+from\s+[\'\'"]([^\'\'"]+)[\'\'"]', 1) as clause, regexp_extract(l, '^\s*import\s+(.+?)\s+from\s+[\'\'"]([^\'\'"]+)[\'\'"]', 2) as src from ln),
-rq as (select *, regexp_extract(l, '^\s*(?:const|let|var)\s+\{{([^}}]*)\}}\s*=\s*require\s*\(\s*[\'\'"]([^\'\'"]+)[\'\'"]\s*\)', 1) as b,
-  regexp_extract(l, '^\s*(?:const|let|var)\s+\{{([^}}]*)\}}\s*=\s*require\s*\(\s*[\'\'"]([^\'\'"]+)[\'\'"]\s*\)', 2) as src from ln),
+im2 as (select *, regexp_extract(l, '^\s*import\s+(.+?)\s+from\s+[''"]([^''"]+)[''"]', 1) as clause, regexp_extract(l, '^\s*import\s+(.+?)\s+from\s+[''"]([^''"]+)[''"]', 2) as src from ln),
+rq as (select *, regexp_extract(l, '^\s*(?:const|let|var)\s+\{{([^}}]*)\}}\s*=\s*require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1) as b,
+  regexp_extract(l, '^\s*(?:const|let|var)\s+\{{([^}}]*)\}}\s*=\s*require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 2) as src from ln),
 asked as (select path, src as imported, regexp_split_to_array(trim(unnest(string_split(regexp_extract(clause, '\{{([^}}]*)\}}', 1), ','))), '\s+as\s+')[1] as name from im2
   union all select path, src, regexp_split_to_array(trim(unnest(string_split(b, ','))), '\s*:\s*')[1] from rq)
 select a.path, a.imported, re.resolved, a.name, coalesce({SNIPPET}) as snippet
-from asked a join re on re.path = a.path and re.imported = a.imported join code_files f on f.path = re.resolved where a.name <> ''""".replace("\'\'", "''"))
+from asked a join re on re.path = a.path and re.imported = a.imported join code_files f on f.path = re.resolved where a.name <> ''""")
