@@ -173,9 +173,13 @@ def strategy_limits(spark) -> DataFrame:
 def select_by_strategy(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Items that each strategy keeps: the best ``max_items`` of each category per file, or all of them.
 
-    ``items`` are scored items of all categories. The limits table is small and its size is checked: the
-    widest limit bounds the ranking window. A category that is kept whole needs no ranking at all.
+    ``items`` are scored items of all categories; they are materialised once, as two branches read them.
+    The widest limit bounds the ranking window, so a hot file sends few rows. A category that is kept whole
+    is not ranked at all.
     """
+    from corpuslens.session import cut_lineage
+
+    items = cut_lineage(items)
     widest = limits.agg(F.max("max_items")).first()[0] or 0
     numbered = (
         items.withColumn("_rank", _rank_within()).filter(F.col("_rank") <= widest)

@@ -194,18 +194,54 @@ from (select doc_id, text,
       from {documents}) s
 """
 
-# Search tool calls, taken from the event log: one session per reviewed file, one agent per issue type.
+# Search tool calls, taken from the event log: one session per reviewed file, five tools.
 DERIVED["tool_calls"] = """
-select event_id as call_id, concat('file', cast(user_id as varchar(20))) as session, event_type as agent,
+select event_id as call_id, concat('file', cast(user_id as varchar(20))) as session,
+  case event_type when 'error' then 'search' when 'signup' then 'test' when 'purchase' then 'related'
+    when 'click' then 'usages' else 'callers' end as tool,
   concat('q', cast(event_id % 9 as varchar(20))) as search_key, ts, value as duration_ms
 from {events}
 """
 
-# Model answers as server-sent lines: one delta per word, then a usage line and the end mark.
-DERIVED["answers"] = """
-select conv_id * 1000 + turn as stream_id, conv_id, turn, role, text from {conversations}
+# User feedback on stored findings; an entry may get it several times, the last one counts.
+DERIVED["feedback_log"] = """
+select event_id as seq, event_id as issue_id, feedback, ts from (select issue_id as event_id, feedback, ts from {issues}) a where feedback is not null
+union all
+select event_id + 1000000000000, (event_id * 3) % (select count(*) from {events}),
+  case event_id % 3 when 0 then 'accepted' when 1 then 'rejected' else 'fixed' end, ts from {events}
 """
 
+# Model answers as server-sent text: one delta per word in one of two vendor shapes, usage, stop and end marks.
+DERIVED["answer_streams"] = """
+select stream_id, text, case when stream_id % 2 = 0
+  then concat('data: {"choices":[{"delta":{"reasoning":"think ', cast(stream_id as varchar(20)), '"}}]}', chr(10), chr(10),
+    'data: {"choices":[{"delta":{"content":"', replace(esc, ' ', concat('"}}]}', chr(10), 'data: {"choices":[{"delta":{"content":" ')), '"}}]}', chr(10),
+    ': comment', chr(10), 'data: {"choices":[{"delta":', chr(10),
+    'data: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"prompt_tokens":', cast(stream_id % 97 as varchar(20)), ',"completion_tokens":', cast(length(text) as varchar(20)), ',"total_tokens":', cast(stream_id % 97 + length(text) as varchar(20)), '}}', chr(10),
+    'data: [DONE]', chr(10))
+  else concat('event: x', chr(10), 'data: {"type":"content_block_delta","delta":{"text":"', replace(esc, ' ', concat('"}}', chr(10), 'data: {"type":"content_block_delta","delta":{"text":" ')), '"}}', chr(10),
+    'data: {"type":"message_stop","stop_reason":"max_tokens"}', chr(10)) end as body
+from (select conv_id * 1000 + turn as stream_id, text,
+    replace(replace(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')) as esc
+  from {conversations}) s
+"""
+
+# Progress events of reviews: one session per user, in event order.
+DERIVED["progress_events"] = """
+select concat('s', cast(user_id as varchar(20))) as session, event_id as seq, ts,
+  case event_id % 8 when 0 then 'thinking' when 1 then 'text' when 2 then 'agent-start' when 3 then 'agent-complete'
+    when 4 then 'file-start' when 5 then 'file-complete' when 6 then 'thinking' else case when event_id % 97 = 0 then 'complete' else 'text' end end as type,
+  event_type as agent, concat('f', cast(event_id % 31 as varchar(20))) as file_name, concat('c', cast(event_id as varchar(20))) as content
+from {events}
+"""
+
+# File changes in time order: every document is added, most are changed or removed later.
+DERIVED["change_events"] = """
+select repo, path, 'add' as op, content, doc_id as seq from {files}
+union all
+select repo, path, case doc_id % 3 when 0 then 'change' when 1 then 'unlink' else 'add' end,
+  case doc_id % 3 when 1 then null else concat(content, chr(10), 'v2') end, doc_id + 1000000000000 from {files}
+"""
 
 def _names(text: str) -> list[str]:
     """Tables a text refers to; other braces are ordinary characters (JSON)."""
