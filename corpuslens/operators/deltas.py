@@ -18,8 +18,9 @@ FINISH_KINDS = ["step-finish", "finish"]
 LINE = (
     "choices array<struct<delta:struct<content:string,reasoning:string>,finish_reason:string>>,"
     "type string, delta struct<text:string>, stop_reason string,"
-    "usage struct<prompt_tokens:long,completion_tokens:long,total_tokens:long>"
+    "usage struct<prompt_tokens:long,completion_tokens:long,total_tokens:long>, _broken string"
 )
+BROKEN = {"columnNameOfCorruptRecord": "_broken"}
 
 
 def _filled(c: Column) -> Column:
@@ -43,7 +44,7 @@ def sse_events(data: Column) -> Column:
         F.nullif(data["stop_reason"], F.lit("")), F.nullif(first["finish_reason"], F.lit("")), F.lit("end_turn")
     )
     vendor_text = F.when(data["type"] == "content_block_delta", data["delta"]["text"])
-    return F.array_compact(
+    events = F.array_compact(
         F.array(
             F.when(_filled(delta["reasoning"]), event("reasoning_delta", delta["reasoning"])),
             F.when(_filled(delta["content"]), event("content_delta", delta["content"])),
@@ -51,14 +52,14 @@ def sse_events(data: Column) -> Column:
             F.when(ended, event("message_stop", F.lit(""), reason)),
         )
     )
+    return F.when(data["_broken"].isNull(), events)
 
 
 def parse_sse_lines(lines: DataFrame, raw: str, keep: list[str]) -> DataFrame:
     """Events of single streamed lines (batch or stream); other lines and broken JSON give nothing."""
     line = F.trim(F.regexp_replace(F.col(raw), r"\r$", ""))
     body = F.when(line.startswith("data: ") & (line != "data: [DONE]"), F.substring(line, F.lit(7), F.length(line)))
-    valid = F.try_parse_json(body).isNotNull()
-    opened = lines.select(*keep, F.when(valid, F.from_json(body, LINE)).alias("_data")).filter("_data is not null")
+    opened = lines.select(*keep, F.from_json(body, LINE, BROKEN).alias("_data"))
     return open_array(opened, keep, sse_events(F.col("_data")), "part", "_e").select(*keep, "part", "_e.*")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslens.functions.let import let, open_array
 from corpuslens.functions.windows import first_per_group, position_in_group
 
 # The severities and finding types, each in report order.
@@ -196,8 +197,12 @@ def _one_document(text: Column) -> Column:
     second element.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def only(doc):
+        alone = F.try_variant_get(doc, "$[1]", "variant").isNull()
+        return F.when(alone, F.try_variant_get(doc, "$[0]", "variant"))
+
+    return let(wrapped, only)
 
 
 def parse_issues(answers: DataFrame, text: str, file: str, default_confidence: float = 0.7) -> DataFrame:
@@ -207,16 +212,16 @@ def parse_issues(answers: DataFrame, text: str, file: str, default_confidence: f
     """
     fenced = F.regexp_extract(F.col(text), r"(?s)```json\n(.*?)\n```", 1)
     body = F.trim(F.when(F.col(text).rlike(r"(?s)```json\n.*?\n```"), fenced).otherwise(F.col(text)))
-    as_array = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    valid = _one_document(body).isNotNull() & body.rlike(r"^[\[{]")
+    read = F.col("_body")
+    as_array = F.when(read.startswith("["), read).otherwise(F.concat(F.lit("["), read, F.lit("]")))
+    valid = _one_document(F.col("_body")).isNotNull() & F.col("_body").rlike(r"^[\[{]")
     parsed = F.when(valid, F.from_json(as_array, T.ArrayType(ISSUE)))
-    rows = answers.withColumn("_issues", parsed).select(
-        *answers.columns, F.posexplode("_issues").alias("ordinal", "_issue")
-    )
+    kept = [c for c in answers.columns if c != text]
+    rows = open_array(answers.select(*kept, body.alias("_body")), kept, parsed, "ordinal", "_issue")
     i = F.col("_issue")
     line = _or_default(i["location"]["line"], 0.0, 1.0).cast("int")
     return rows.select(
-        *[c for c in answers.columns if c != text],
+        *kept,
         "ordinal",
         _or_default(i["type"], "", "bug").alias("type"),
         _or_default(i["severity"], "", "medium").alias("severity"),
@@ -239,7 +244,7 @@ def validate_issues(records: DataFrame, json: str, expected_type: str | None = N
 
     ``expected_type`` is the literal type an agent of one kind must report.
     """
-    doc = _one_document(F.col(json))
+    doc = F.col("_doc")
 
     def is_kind(path: str, kind: str) -> Column:
         value = F.try_variant_get(doc, path, "variant")
@@ -267,4 +272,9 @@ def validate_issues(records: DataFrame, json: str, expected_type: str | None = N
     failed = F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
     )
-    return records.withColumn("violations", failed).withColumn("valid", F.size("violations") == 0)
+    return (
+        records.withColumn("_doc", _one_document(F.col(json)))
+        .withColumn("violations", failed)
+        .withColumn("valid", F.size("violations") == 0)
+        .drop("_doc")
+    )

@@ -398,45 +398,107 @@ def find_callers(chunks: DataFrame, names: DataFrame, k: int = DEFAULT_K) -> Dat
     return top_per_group(rest, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+# A term-by-query weight table up to this many bytes travels to every task.
+SMALL_WEIGHT_BYTES = 64 << 20
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """Text search when no vectors are at hand: tf-idf cosine over whole lower-case words.
+    """Text search when no vectors are at hand: tf-idf over whole lower-case words, by chunk length.
 
-    Only words of the queries are kept, by an equality join before any grouping; chunk norms are computed
-    within each row's own word counts. Scores are rounded, ties go to the lower chunk id.
+    A query set that is small by its counted terms and queries is sent to all tasks, and every batch of chunks keeps
+    only its k best per query. A larger one meets the chunk words in a join. Scores are rounded, ties go
+    to the lower chunk id.
     """
-    def words(text):
-        return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-
     one = F.lit(1)
     asked = (
-        queries.select("query_id", F.explode_outer(words(F.col("query"))).alias("word"))
+        queries.select("query_id", F.explode_outer(_words(F.col("query"))).alias("word"))
         .groupBy("query_id", "word")
         .agg(F.count(one).alias("qf"))
     )
-    opened = chunks.select("chunk_id", words(F.col("text")).alias("_words"))
-    tf = (
-        opened.select("chunk_id", F.size("_words").alias("len"), F.explode_outer("_words").alias("word"))
-        .join(asked.select("word").distinct(), "word")
-        .groupBy("chunk_id", "len", "word")
-        .agg(F.count(one).alias("tf"))
+    opened = chunks.select("chunk_id", _words(F.col("text")).alias("words"))
+    size = asked.agg(F.count_distinct("word").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    if size["terms"] * size["queries"] * 8 <= SMALL_WEIGHT_BYTES:
+        scored = _lexical_by_batch(opened, asked, k)
+    else:
+        scored = _lexical_by_join(opened, asked)
+    return top_per_group(scored, ["query_id"], best_first(), k)
+
+
+def _chunk_frequencies(opened: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, df): chunks per asked word; the empty word counts all chunks, in the same pass."""
+    wanted = asked.select("word").unionByName(asked.select(F.lit("").alias("word"))).distinct()
+    return (
+        opened.select(F.explode_outer(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word"))
+        .join(wanted, "word")
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("df"))
     )
-    total = chunks.agg(F.count(one).alias("n_chunks")).withColumn("_one", one)
-    idf = (
-        tf.groupBy("word")
-        .agg(F.count(one).alias("df"))
-        .withColumn("_one", one)
-        .join(F.broadcast(total), "_one")  # a single row
-        .select("word", F.log(1 + F.col("n_chunks") / F.col("df")).alias("idf"))
+
+
+def _term_weights(opened: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, word, w): query frequency times squared inverse chunk frequency."""
+    df = _chunk_frequencies(opened, asked).withColumn("_one", F.lit(1))
+    total = df.filter("word = ''").select("_one", F.col("df").alias("n_chunks"))
+    idf = df.join(F.broadcast(total), "_one").select(  # a single row
+        "word", F.log(1 + F.col("n_chunks") / F.col("df")).alias("idf")
     )
-    weights = asked.join(idf, "word").select(
+    return asked.join(idf, "word").select(
         "query_id", "word", (F.col("qf") * F.col("idf") * F.col("idf")).alias("w")
     )
-    scored = (
+
+
+def _lexical_by_join(opened: DataFrame, asked: DataFrame) -> DataFrame:
+    weights = _term_weights(opened, asked)
+    tf = (
+        opened.select("chunk_id", F.size("words").alias("len"), F.explode_outer("words").alias("word"))
+        .join(asked.select("word").distinct(), "word")
+        .groupBy("chunk_id", "len", "word")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    return (
         tf.join(weights, "word")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("w") * F.col("tf") / F.sqrt("len")), SCORE_DIGITS).alias("score"))
     )
-    return top_per_group(scored, ["query_id"], best_first(), k)
+
+
+def _lexical_by_batch(opened: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    df = _chunk_frequencies(opened, asked).toPandas().set_index("word")["df"]
+    held = asked.toPandas()
+    held = held[held["word"].isin(df.index)]
+    idf = np.log(1 + df[""] / held["word"].map(df)) if len(held) else held["qf"]
+    held["w"] = held["qf"] * idf * idf
+    terms, term_of = np.unique(held["word"].to_numpy(dtype=object), return_inverse=True)
+    ids, query_of = np.unique(held["query_id"].to_numpy(), return_inverse=True)
+    weights = np.zeros((len(terms), len(ids)))
+    weights[term_of, query_of] = held["w"].to_numpy()
+    place = {w: i for i, w in enumerate(terms)}
+    step = max(1, (1 << 22) // max(1, len(terms)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo : lo + step]
+                chunk = part["chunk_id"].to_numpy(dtype=object)
+                counts = np.zeros((len(part), len(terms)))
+                for i, words in enumerate(part["words"]):
+                    found = [place[w] for w in words if w in place]
+                    if found:
+                        counts[i] = np.bincount(found, minlength=len(terms)) / np.sqrt(len(words))
+                scores = np.round(counts @ weights, SCORE_DIGITS)
+                shared = counts @ (weights > 0) > 0
+                by_id = np.argsort(chunk, kind="stable")
+                order = by_id[np.argsort(-scores[by_id], axis=0, kind="stable")[:k]]
+                rows, query = order.ravel(), np.tile(np.arange(len(ids)), len(order))
+                hit = shared[rows, query]
+                rows, query = rows[hit], query[hit]
+                yield pd.DataFrame({"query_id": ids[query], "chunk_id": chunk[rows], "score": scores[rows, query]})
+
+    return opened.mapInPandas(scan, "query_id long, chunk_id string, score double")
 
 
 def fuzzy_score(target: Column, query: str) -> Column:

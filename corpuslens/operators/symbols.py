@@ -394,15 +394,17 @@ DEFINITION_FORMS = [
 
 
 def _definitions_of(form: int, pattern: str, chars: int) -> Column:
-    # the look-ahead takes the text that follows without consuming it, so near definitions are kept
-    open_end = f"{pattern}(?=([\\s\\S]{{0,{chars}}}))"
-    parts = [find_all(F.col("content"), open_end, g).alias(n) for g, n in enumerate(("head", "name", "tail"))]
-
-    def row(z, at):
-        snippet = F.regexp_replace(F.concat(z["head"], z["tail"]), r"^\s+|\s+$", "")
-        return F.struct(F.lit(form).alias("form"), at.alias("at"), z["name"].alias("name"), snippet.alias("snippet"))
+    # a look-ahead consumes nothing, so definitions that lie close together are all found in one pass
+    around = find_all(F.col("content"), f"(?=({pattern}[\\s\\S]{{0,{chars}}}))", 1)
+
+    def row(text, at):
+        snippet = F.regexp_replace(text, r"^\s+|\s+$", "")
+        return F.struct(
+            F.lit(form).alias("form"), at.alias("at"), F.regexp_extract(text, f"^{pattern}", 1).alias("name"),
+            snippet.alias("snippet"),
+        )
 
-    return F.transform(F.arrays_zip(*parts), row)
+    return F.transform(around, row)
 
 
 def definitions(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslens.sources.files import read_spread
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -260,7 +262,7 @@ def _order(name: str, seen: list[str]) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derivation of it, as a lazy DataFrame."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read_spread(spark, f"{sf_dir}/{name}.parquet")
     return run_sql(spark, sf_dir, DERIVED[name])
 
 

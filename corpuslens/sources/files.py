@@ -41,6 +41,26 @@ def read_tree(
     )
 
 
+SMALL_INPUT_BYTES = 256 << 20
+TINY_INPUT_BYTES = 128 << 10
+
+
+def read_spread(spark: SparkSession, location: str) -> DataFrame:
+    """Read parquet; a small input is spread over all cores.
+
+    A small table often is one file with one row group, which a single task has to read and then carries
+    through every narrow step (cutting, parsing). Only inputs below 256 MB are redistributed; larger ones
+    have row groups enough and are read where they lie, without a shuffle.
+    """
+    df = spark.read.parquet(location)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path).getLength()
+    if TINY_INPUT_BYTES < size < SMALL_INPUT_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def write_index(table: DataFrame, location: str) -> None:
     """Replace the partitions of the repositories in ``table``; others stay.
 
