@@ -14,7 +14,7 @@ OUTPUT = "stream_id long, text string, reasoning string, chunk_count long, finis
 STATE = "seqs array<long>, parts array<long>, types array<string>, deltas array<string>"
 
 
-def _step(idle_ms: int):
+def _step(idle_ms: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
         for pdf in batches:
@@ -28,25 +28,28 @@ def _step(idle_ms: int):
             yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
         else:
             state.update(tuple(list(c) for c in zip(*held)))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
 
     return step
 
 
-def answers(events: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+def answers(events: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
     """One row per answer from a stream of parsed events (stream_id, seq, part, type, delta).
 
     Deltas are ordered by their own sequence, not by arrival. An answer that stays silent for ``idle_ms``
-    is emitted unfinished and its state is dropped, so state holds open answers only.
+    is emitted unfinished and its state is dropped, so state holds open answers only. With ``None`` there
+    is no timer; a timer keeps an ``availableNow`` query running, so bounded runs go without.
     """
+    timer = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return (
         events.select("stream_id", "seq", "part", "type", "delta")
         .groupBy("stream_id")
-        .applyInPandasWithState(_step(idle_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(_step(idle_ms), OUTPUT, STATE, "append", timer)
     )
 
 
-def answers_from_lines(lines: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+def answers_from_lines(lines: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
     """Answers from raw streamed lines (stream_id, seq, raw)."""
     return answers(parse_sse_lines(lines, "raw", ["stream_id", "seq"]), idle_ms)
 

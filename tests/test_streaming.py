@@ -1,5 +1,6 @@
 """Streams give what the batch functions give."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpuslens.operators import deltas as D
@@ -60,19 +61,45 @@ def test_answers_stream_equals_batch(spark, tmp_path):
     schema = "stream_id long, seq int, raw string"
     stream = feed(spark, [rest[:half], rest[half:], ends], schema, tmp_path / "in")
     query = (
-        A.answers_from_lines(stream, idle_ms=3_600_000).writeStream.format("memory").queryName("answers").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).start()
+        A.answers_from_lines(stream, idle_ms=None).writeStream.format("memory").queryName("answers").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    try:
-        query.processAllAvailable()  # a query with idle timers does not end by itself
-    finally:
-        query.stop()
+    query.awaitTermination(90)
+    query.stop()
     got = {r.stream_id: (r.text, r.reasoning, r.finished) for r in spark.table("answers").collect()}
     assert got == {1: ("hello big world", "hm", True), 2: ("one two", "hm", True)}
     batch = D.reassemble(D.parse_sse_lines(spark.createDataFrame(lines, schema), "raw", ["stream_id", "seq"]))
     assert {r.stream_id: (r.text, r.reasoning, True) for r in batch.collect()} == got
 
 
+class FakeState:
+    """State of one key, driven by hand."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timer, self.removed = None, False, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutDuration(self, ms):
+        self.timer = ms
+
+    def remove(self):
+        self.value, self.removed = None, True
+
+
+def test_idle_answer_is_emitted_unfinished():
+    state, step = FakeState(), A._step(500)
+    rows = pd.DataFrame({"seq": [1, 0], "part": [0, 0], "type": ["content_delta"] * 2, "delta": [" b", "a"]})
+    assert list(step((7,), iter([rows]), state)) == [] and state.timer == 500
+    state.hasTimedOut = True
+    out = next(step((7,), iter([]), state))
+    assert out.values.tolist() == [[7, "a b", "", 2, False]] and state.removed
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     kinds = ["file-start", "agent-start", "thinking", "text", "agent-complete", "file-complete", "thinking", "complete"]
     rows = [(f"s{i % 2}", i, kinds[i % 8], f"a{i}", f"f{i}", f"c{i}") for i in range(37)]
