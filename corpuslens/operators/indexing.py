@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.let import open_array
 from corpuslens.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, chunk_id
 from corpuslens.operators.chunks import chunks_of
 
@@ -162,10 +163,8 @@ def files_as_diff(files: DataFrame) -> DataFrame:
     from corpuslens.functions.paths import review_language_of
 
     lines = F.split(F.col("content"), "\n")
-    rows = files.select(
-        "repo", "path", review_language_of(F.col("path")).alias("language"), F.size(lines).alias("n_lines"),
-        F.posexplode(lines).alias("_i", "content"),
-    )
+    keep = ["repo", "path", review_language_of(F.col("path")).alias("language"), F.size(lines).alias("n_lines")]
+    rows = open_array(files, keep, lines, "_i", "content")
     return rows.select(
         "repo", "path", "language", "n_lines", F.lit("modified").alias("status"), F.lit("context").alias("line_type"),
         (F.col("_i") + 1).alias("old_no"), (F.col("_i") + 1).alias("new_no"), "content",

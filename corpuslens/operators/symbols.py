@@ -248,6 +248,11 @@ def _rust(line: Column) -> Column:
 LINE_RULES = {"javascript": _js, "typescript": _js, "go": _go, "rust": _rust}
 
 
+def register_language(name: str, rules) -> None:
+    """Add a language: ``rules`` maps the column of one line to an array of symbols (see ``_symbol``)."""
+    LINE_RULES[name] = rules
+
+
 def symbol_rows(files: DataFrame, language: str) -> DataFrame:
     """(repo, path, line, ordinal, kind, name, alias, source, exported, is_async) of one language family.
 
@@ -293,12 +298,12 @@ def _python_rows(code: str) -> list[tuple]:
             kind = "enum" if any("Enum" in b for b in bases) else "class"
             rows.append((n.lineno, kind, n.name, None, ", ".join(bases) or None, shown(n, n.name), False))
             rows += [
-                (m.lineno, "method", f"{n.name}.{m.name}", _visibility(m.name), ast.unparse(m.args), False,
+                (m.lineno, "method", f"{n.name}.{m.name}", _visibility(m.name), ast.unparse(m.args) or None, False,
                  isinstance(m, ast.AsyncFunctionDef))
                 for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))
             ]
         elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and id(n) in top:
-            rows.append((n.lineno, "function", n.name, None, ast.unparse(n.args), shown(n, n.name),
+            rows.append((n.lineno, "function", n.name, None, ast.unparse(n.args) or None, shown(n, n.name),
                          isinstance(n, ast.AsyncFunctionDef)))
         elif isinstance(n, ast.Assign) and id(n) in top:
             name = getattr(n.targets[0], "id", "")

@@ -168,6 +168,22 @@ union all select repo, path, line, 'value', m.n, null, null, m.p <> '', false fr
 
 QUERIES["symbols_py"] = lambda spark, sf: Y.symbol_rows(table(spark, sf, "python_files"), "python").drop("ordinal")
 
+ORACLE["symbols_py"] = with_derived("python_files", rf"""
+with {LINES.format('python_files')},
+shown as (select path, max(regexp_extract(l, '^__all__ = \["(\w+)"\]', 1)) as listed from ln group by path),
+im as (select repo, path, line, trim(unnest(string_split(regexp_extract(l, '^import (.+)$', 1), ','))) as it from ln),
+fr as (select repo, path, line, regexp_extract(l, '^from (\S+) import (.+)$', 1) as src, trim(unnest(string_split(regexp_extract(l, '^from (\S+) import (.+)$', 2), ','))) as it from ln),
+cl as (select repo, path, line, regexp_extract(l, '^class (\w+)\(([^)]*)\):', ['n', 'b']) as m from ln where starts_with(l, 'class ')),
+fn as (select repo, path, line, regexp_extract(l, '^(async )?def (\w+)\((.*)\)(?: -> .*)?:$', ['a', 'n', 'p']) as m from ln where regexp_matches(l, '^(async )?def ')),
+me as (select repo, path, line, regexp_extract(l, '^    def (\w+)\((.*)\):$', ['n', 'p']) as m from ln where starts_with(l, '    def ')),
+va as (select repo, path, line, regexp_extract(l, '^([A-Z][A-Z_0-9]+) = ', 1) as n from ln where regexp_matches(l, '^[A-Z][A-Z_0-9]+ = '))
+select repo, path, line, 'import' as kind, string_split(it, ' as ')[1] as name, string_split(it, ' as ')[2] as alias, string_split(it, ' as ')[1] as source, false as exported, false as is_async from im where it <> ''
+union all select repo, path, line, 'import', string_split(it, ' as ')[1], string_split(it, ' as ')[2], src, false, false from fr where it <> ''
+union all select cl.repo, cl.path, line, case when contains(m.b, 'Enum') then 'enum' else 'class' end, m.n, null, nullif(m.b, ''), case when listed <> '' then m.n = listed else not starts_with(m.n, '_') end, false from cl join shown using (path)
+union all select fn.repo, fn.path, line, 'function', m.n, null, nullif(regexp_replace(m.p, '\s*=\s*', '=', 'g'), ''), case when listed <> '' then m.n = listed else not starts_with(m.n, '_') end, m.a <> '' from fn join shown using (path)
+union all select me.repo, me.path, me.line, 'method', concat(cl.m.n, '.', me.m.n), 'public', me.m.p, false, false from me join cl on cl.path = me.path
+union all select va.repo, va.path, line, 'value', n, null, null, listed = '', false from va join shown using (path)""")
+
 QUERIES["type_kinds"] = lambda spark, sf: Y.type_kinds(Y.symbol_rows(table(spark, sf, "code_files"), "typescript"))
 ORACLE["type_kinds"] = with_derived("code_files", rf"""
 with {LINES.format('code_files')},
