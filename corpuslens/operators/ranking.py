@@ -79,10 +79,15 @@ def import_uses(files: DataFrame, code: str = "content") -> DataFrame:
     return rows.select("file", "ordinal", "_u.*")
 
 
-def score_imports(uses: DataFrame, with_usage: bool = True) -> DataFrame:
-    """Base-name mentions, name usages, critical words in the path, heavy use."""
+def score_imports(uses: DataFrame, plain_too: bool = False) -> DataFrame:
+    """Base-name mentions, name usages, critical words in the path, heavy use.
+
+    ``plain_too`` adds each import a second time, scored without its usages, as ``import_plain``.
+    """
+    kinds = ["import", "import_plain"] if plain_too else ["import"]
+    uses = uses.withColumn("category", F.explode(F.array(*[F.lit(k) for k in kinds])))
     m = F.col("mentions")
-    u = F.col("uses") if with_usage else F.lit(0)
+    u = F.when(F.col("category") == "import", F.col("uses")).otherwise(0)
     critical = F.lower("import_path").rlike(P.any_of(CRITICAL_IMPORTS))
     points = (
         F.least(m * 20, F.lit(60)) + F.least(u * 15, F.lit(40)) + _points(critical, 30) + _points(u > 3, 20)
@@ -92,7 +97,7 @@ def score_imports(uses: DataFrame, with_usage: bool = True) -> DataFrame:
         (critical, F.lit("critical import")), (u > 3, F.lit("heavily used")),
     )
     return uses.select(
-        "file", F.col("import_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
+        "file", "category", F.col("import_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
         reason.alias("reason"), F.array_join("names", ", ").alias("content"),
     )
 

@@ -354,48 +354,44 @@ def is_web_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^/\s]+"), F.lit(False))
 
 
-def count_tokens(chunks: DataFrame, names: DataFrame, pattern: str, group: int) -> DataFrame:
-    """(name, chunk_id, n): occurrences of whole identifiers in chunks, for the names asked for.
+# Forms of a definition, of a call and of a function definition; the name is the group.
+DEFINITION = r"\b(?:function|class|interface|type|enum|const|let|var)\s+(\w+)"
+CALL = r"\b(\w+)\s*\("
+FUNCTION_DEFINITION = r"\bfunction\s+(\w+)\s*\("
+
+
+def count_names(chunks: DataFrame, names: DataFrame, counted: str, group: int, not_counted: str | None) -> DataFrame:
+    """(name, chunk_id, n): matches of one pattern less those of another, for the names asked for.
 
     Chunks are cut into identifiers once and matched by equality, so the work is linear in the text and
     does not depend on the number of names. The join drops all other words before anything is grouped.
     """
-    words = chunks.select(
-        "chunk_id", F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("name")
-    )
-    return words.join(names.select("name").distinct(), "name").groupBy("name", "chunk_id").agg(
-        F.count(F.lit(1)).alias("n")
+    def signed(pattern, g, sign):
+        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
+        return F.transform(found, lambda w: F.struct(w.alias("name"), F.lit(sign).alias("sign")))
+
+    marks = signed(counted, group, 1)
+    if not_counted:
+        marks = F.concat(marks, signed(not_counted, 1, -1))
+    words = chunks.select("chunk_id", F.explode_outer(marks).alias("_w")).select("chunk_id", "_w.*")
+    return (
+        words.join(names.select("name").distinct(), "name")
+        .groupBy("name", "chunk_id")
+        .agg(F.sum("sign").alias("n"))
+        .filter("n > 0")
     )
 
 
-DEFINITION = r"\b(?:function|class|interface|type|enum|const|let|var)\s+(\w+)"
-
-
 def find_usages(chunks: DataFrame, names: DataFrame, k: int = DEFAULT_K, definitions: bool = False) -> DataFrame:
     """Chunks that use a name most, definitions not counted unless asked for."""
-    used = count_tokens(chunks, names, r"\w+", 0)
-    if not definitions:
-        defined = count_tokens(chunks, names, DEFINITION, 1).withColumnRenamed("n", "_d")
-        used = (
-            used.join(defined, ["name", "chunk_id"], "left")
-            .withColumn("n", F.col("n") - F.coalesce("_d", F.lit(0)))
-            .filter("n > 0")
-            .drop("_d")
-        )
+    used = count_names(chunks, names, r"\w+", 0, None if definitions else DEFINITION)
     return top_per_group(used, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
 
 
 def find_callers(chunks: DataFrame, names: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Chunks that call a function most (``name(``), its own definition not counted."""
-    called = count_tokens(chunks, names, r"\b(\w+)\s*\(", 1)
-    defined = count_tokens(chunks, names, r"\bfunction\s+(\w+)\s*\(", 1).withColumnRenamed("n", "_d")
-    rest = (
-        called.join(defined, ["name", "chunk_id"], "left")
-        .withColumn("n", F.col("n") - F.coalesce("_d", F.lit(0)))
-        .filter("n > 0")
-        .drop("_d")
-    )
-    return top_per_group(rest, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
+    called = count_names(chunks, names, CALL, 1, FUNCTION_DEFINITION)
+    return top_per_group(called, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
 
 
 def _words(text: Column) -> Column:

@@ -349,9 +349,12 @@ SHOWN_PROPERTIES = 10
 SHOWN_METHODS = 5
 
 
-def type_definitions(files: DataFrame) -> DataFrame:
-    """Interfaces and object types with their properties and a one-line rendering."""
-    found = open_array(files, ["repo", "path"], find_all(F.col("content"), TYPE_BODY, 0), "ordinal", "_m")
+def type_definitions(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Interfaces and object types with their properties and a one-line rendering.
+
+    ``keep`` carries further columns of the file along, which saves a join back to it.
+    """
+    found = open_array(files, ["repo", "path", *keep], find_all(F.col("content"), TYPE_BODY, 0), "ordinal", "_m")
     part = lambda i: F.regexp_extract("_m", TYPE_BODY, i)
     props = F.transform(
         find_all(part(4), PROPERTY, 0),
@@ -362,7 +365,7 @@ def type_definitions(files: DataFrame) -> DataFrame:
         ),
     )
     return found.select(
-        "repo", "path", "ordinal", part(1).alias("kind"), part(2).alias("name"),
+        "repo", "path", *keep, "ordinal", part(1).alias("kind"), part(2).alias("name"),
         F.nullif(F.trim(part(3)), F.lit("")).alias("extends"), F.col("_m").alias("definition"), props.alias("properties"),
     ).withColumn(
         "rendered", render_type(F.col("kind"), F.col("name"), F.col("extends"), F.col("properties"))

@@ -90,10 +90,9 @@ ORACLE["rank_patterns"] = with_derived("vectors code_files", f"with {PATTERNS} {
 
 
 def _types(spark, sf):
-    """Types defined in a file, against the code of the files that import it and its own."""
-    files = _files(spark, sf)
-    return Y.type_definitions(files).join(files.select("repo", "path", F.col("content").alias("changed_code")), ["repo", "path"]).withColumn(
-        "file", F.col("path")
+    """Types defined in a file, with the file's code as the changed code."""
+    return Y.type_definitions(_files(spark, sf), keep=("content",)).withColumnsRenamed(
+        {"content": "changed_code", "path": "file"}
     )
 
 
@@ -163,7 +162,7 @@ def _scored(spark, sf):
     deps = R.score_dependencies(_deps(spark, sf))
     # dependencies are not scored by the strategies: nearer first
     plain = deps.withColumn("category", F.col("content")).select(*R.ITEM)
-    out = of("import", R.score_imports(uses)).unionByName(of("import_plain", R.score_imports(uses, with_usage=False)))
+    out = R.score_imports(uses, plain_too=True).filter(F.col("score") >= R.MIN_SCORE["import"]).select(*R.ITEM)
     for category, scored in (("pattern", R.score_patterns(_patterns(spark, sf))), ("type", R.score_types(_types(spark, sf))), ("test", R.score_tests(_tests(spark, sf)))):
         out = out.unionByName(of(category, scored))
     return out.unionByName(plain)
