@@ -192,11 +192,11 @@ with {LINES}
 select diff_id, cast(file_no as int) as file_no, path, status from df
 where status <> 'deleted' and not {ENDS(P.SKIPPED_ENDINGS)} and {ENDS(P.CODE_ENDINGS)}""")
 
-# Originals and fixes: the first line differs, further lines of the text stay.
+# Originals and fixes: the same text, a line in front, or a line at the end.
 FIXES = """
 select doc_id, text as original_code,
   case doc_id % 3 when 0 then text when 1 then concat('// fixed', chr(10), text)
-    else concat(replace(text, ' the ', ' a '), chr(10), 'tail') end as fixed_code,
+    else concat(text, chr(10), 'tail') end as fixed_code,
   case doc_id % 2 when 0 then '@@ given @@' end as given_diff, lang as code
 from {documents}
 """
@@ -209,6 +209,17 @@ def _suggestions(spark, sf):
 
 
 QUERIES["suggestion_diff"] = _suggestions
+RANGE = "case {n} when 1 then cast({at} as varchar) else concat({at}, ',', {n}) end"
+ORACLE["suggestion_diff"] = with_derived("", rf"""
+with o as (select *, string_split(case when ends_with(original_code, chr(10)) then left(original_code, length(original_code) - 1) else original_code end, chr(10)) as ls from fixes),
+c as (select *, len(ls) as n, least(3, len(ls)) as k, case when ends_with(original_code, chr(10)) then 2 else 1 end as added from o),
+d as (select doc_id, original_code, given_diff, code, case when original_code = '' or doc_id % 3 = 0 then null
+  when doc_id % 3 = 1 then concat('@@ -', {RANGE.format(at="1", n="k")}, ' +', {RANGE.format(at="1", n="(k + 1)")}, ' @@', chr(10), '+// fixed', chr(10),
+    array_to_string(list_transform(ls[1:k], lambda x: concat(' ', x)), chr(10)))
+  else concat('@@ -', {RANGE.format(at="(n - k + 1)", n="k")}, ' +', {RANGE.format(at="(n - k + 1)", n="(k + added)")}, ' @@', chr(10),
+    array_to_string(list_transform(ls[n - k + 1:n], lambda x: concat(' ', x)), chr(10)), chr(10), case added when 2 then concat('+', chr(10)) else '' end, '+tail') end as x from c)
+select doc_id, regexp_replace(x, '\s+$', '') as suggestion_diff,
+  case when original_code <> '' then regexp_replace(x, '\s+$', '') when given_diff is not null then given_diff else concat('+ ', code) end as shown from d""", fixes=FIXES)
 
 # The three sources of changed paths in a working tree, by key; a path may be in two of them.
 WORKTREE = """
