@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # White space that separates words, and the run of other characters that is a word.
@@ -31,7 +31,8 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
+    """Number of words; 0 for a null text."""
+    return F.regexp_count(whole_text(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def text_key(text: Column) -> Column:
@@ -67,6 +68,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def position_in_group(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+    """``name``: how many rows of the group come before the row, in the order of bucket, then ``order``.
+
+    Rows are counted per (keys, bucket) and ranked inside a bucket only, so that no task holds a whole hot
+    group; rows that are equal in ``order`` get the same position. Keys are compared null-safe.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            *[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)],
+            F.col("_bucket").alias("_b"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        )
+    )
+    local = F.rank().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    same = F.col("_bucket") == F.col("_b")
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return (
+        rows.withColumn("_local", local)
+        .join(starts, same)
+        .withColumn(name, F.col("_start") + F.col("_local") - 1)
+        .drop("_bucket", "_local", "_b", "_start", *own)
+    )
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate."""
     return df.first().asDict()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import quality, shards
+from corpuslens.llm import mixing, quality, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,14 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("lang", "source")
 
 
+def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op10_entropy_mix": op10_entropy_mix,
 }
 
 ORACLE: dict[str, str] = {}

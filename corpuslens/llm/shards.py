@@ -14,10 +14,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import text_key, whole_text, written
+from corpuslens.llm.common import position_in_group, text_key, whole_text, written
 
 FAN_BITS = 8
 KEY_BITS = 64
@@ -133,7 +133,6 @@ class Nodes:
 
 def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     """First key of each shard but the first, from groups (key, size); keys are ordered as unsigned offsets."""
-    spark = groups.sparkSession
 
     def summed(rows: DataFrame, bits: int) -> list[tuple]:
         node = node_of(F.col("key"), bits)
@@ -170,30 +169,15 @@ def shard_of(key: Column, firsts: list[int]) -> Column:
 
 
 def assign(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` (key, size, ...) with shard and slot; rows of one key share a shard.
+    """``rows`` (doc_id, key, size, _row, ...) with shard and slot; rows of one key share a shard. ``_row`` is unique.
 
     Slots count from 0 in each shard without gaps, in the order of a hash of the id.
     """
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     firsts = cut_keys(groups, shards) if shards > 1 else []
-    placed = rows.withColumn("shard", shard_of(F.col("key"), firsts)).withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS))
-    )
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("shard", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(F.col("shard").alias("_shard"), F.col("_bucket").alias("_b"), "_start")
-    )
-    local = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "key"))
-    numbered = placed.withColumn("_local", local)
-    same = (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_b"))
-    return (
-        numbered.join(starts, same)
-        .withColumn("slot", F.col("_start") + F.col("_local") - 1)
-        .drop("_bucket", "_local", "_shard", "_b", "_start")
-    )
+    placed = rows.withColumn("shard", shard_of(F.col("key"), firsts))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS))
+    return position_in_group(placed, ["shard"], bucket, ["doc_id", "key", "_row"], "slot").drop("_row")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -211,6 +195,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             text_key(F.col("text")).alias("key"),
+            F.monotonically_increasing_id().alias("_row"),  # tells repeated rows apart; written, so it stays
         ),
         "shard-rows",
     )
