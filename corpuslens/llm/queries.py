@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import mixing, quality, shards
+from corpuslens.llm import lines, mixing, quality, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("lang", "source")
 
 
+def op6_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return done.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -27,7 +34,27 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op6_line_bitmaps": op6_line_bitmaps,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
+# White space that the contracts name, as DuckDB text.
+SPACES_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op6_line_bitmaps"] = f"""
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
+line as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as pos from split),
+keyed as (select *, {LOWER_SQL.format(f"trim(line, {SPACES_SQL})")} as k from line),
+common as (
+  select k, max(doc_id) as top from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5
+),
+marked as (
+  select doc_id, line, pos, coalesce(doc_id <> top, false) as gone from keyed left join common using (k)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
