@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import lines, mixing, quality, shards
+from corpuslens.llm import lines, minhash, mixing, quality, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("lang", "source")
 
 
+def op5_star_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=4, percent=80).drop("row_key")
+
+
 def op6_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
@@ -34,6 +39,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op5_star_minhash": op5_star_minhash,
     "op6_line_bitmaps": op6_line_bitmaps,
     "op10_entropy_mix": op10_entropy_mix,
 }
@@ -58,3 +64,34 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+ORACLE["op5_star_minhash"] = f"""
+with recursive word as (
+  select doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+),
+shingle as (
+  select distinct doc_id, unnest(case when len(w) = 0 then cast([] as varchar[])
+    when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+  from word
+),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pair as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common
+  from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+edge as (
+  select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b
+  where 100 * common >= 80 * (x.n + y.n - common)
+),
+way as (select a, b from edge union all select b, a from edge),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select r.a, w.b from reach r join way w on r.b = w.a where w.b < r.a
+),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join size using (doc_id) join least using (doc_id)
+"""
