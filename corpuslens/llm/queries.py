@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import lines, minhash, mixing, quality, shards
+from corpuslens.llm import lines, minhash, mixing, quality, records, shards, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,16 @@ def op6_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.count_table(table(spark, sf_dir, "documents"), path, limit=1024, budgets=[1024])
+
+
+def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return records.round_trip(spark, table(spark, sf_dir, "documents"), path, end_id=1)
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +52,8 @@ QUERIES = {
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_star_minhash": op5_star_minhash,
     "op6_line_bitmaps": op6_line_bitmaps,
+    "op7_prefix_counts": op7_prefix_counts,
+    "op8_record_files": op8_record_files,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
