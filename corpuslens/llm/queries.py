@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import lines, minhash, mixing, quality, records, shards, tokens
+from corpuslens.llm import forest, lines, minhash, mixing, packing, quality, records, shards, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), ["page_id"])
+
+
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -43,17 +51,24 @@ def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(spark, table(spark, sf_dir, "documents"), path, end_id=1)
 
 
+def op9_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_prefix_forest": op2_prefix_forest,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_star_minhash": op5_star_minhash,
     "op6_line_bitmaps": op6_line_bitmaps,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_record_files": op8_record_files,
+    "op9_conflict_packing": op9_conflict_packing,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
@@ -63,6 +78,86 @@ LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 
 ORACLE: dict[str, str] = {}
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RE = {name: _quoted(getattr(warc, name)) for name in ("UNREAD", "LINE_END", "ANY_TAG", "ENTITY", "TITLE", "LANGUAGE", "HREF")}
+_BLANKS = _quoted(warc.BLANK + "+")
+_NAMED = "map {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in warc.ENTITIES.items()) + "}"
+
+
+def _unescaped(text: str) -> str:
+    code = (
+        "case when n like '#x%' or n like '#X%' then cast('0x' || n[3:] as int)"
+        " when n like '#%' then cast(n[2:] as int) end"
+    )
+    char = f"case when ({code}) between 1 and 55295 or ({code}) between 57344 and 1114111 then chr({code}) end"
+    name = f"regexp_extract(p, {_RE['ENTITY']}, 1)"
+    found = f"case when n like '#%' then {char} else {_NAMED}[n] end"
+    named = f"list_transform([{name}], lambda n: coalesce(({found}) || p[length(n) + 2:], '&' || p))[1]"
+    part = f"case when i = 1 then p when {name} = '' then '&' || p else {named} end"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: {part}), '')"
+
+
+def _one_line(text: str) -> str:
+    return f"trim(regexp_replace({text}, {_BLANKS}, ' ', 'g'), {SPACES_SQL})"
+
+
+def _urn(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
+    cuts = [f"{h}[{a}:{b}]" for a, b in ((1, 8), (9, 12), (13, 16), (17, 20), (21, 32))]
+    return f"'<urn:uuid:' || {" || '-' || ".join(cuts)} || '>'"
+
+
+ORACLE["op1_warc_derivatives"] = f"""
+with response as (
+  select page_id, coalesce(html, '') as html, regexp_replace(url, '[\r\n]', '', 'g') as target_uri,
+    {_urn("'response'", "cast(page_id as varchar)", "coalesce(url, '')")} as refers_to,
+    concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10),
+      'Content-Length: ', strlen(coalesce(html, ''))) as headers
+  from pages
+),
+bare as (
+  select *, 'sha256:' || sha256(html) as source_digest,
+    regexp_replace(regexp_replace(regexp_replace(html, {_RE["UNREAD"]}, '', 'g'), {_BLANKS}, ' ', 'g'),
+      {_RE["LINE_END"]}, chr(10), 'g') as lined
+  from response
+),
+read as (
+  select *, {_one_line(_unescaped(f"regexp_extract(html, {_RE['TITLE']}, 1)"))} as title,
+    regexp_extract(html, {_RE["LANGUAGE"]}, 1) as language,
+    list_transform(regexp_extract_all(html, {_RE["HREF"]}, 1), lambda u: {_one_line(_unescaped("u"))}) as links,
+    {_unescaped(f"regexp_replace(lined, {_RE['ANY_TAG']}, '', 'g')")} as raw
+  from bare
+),
+text as (
+  select *, trim(regexp_replace(regexp_replace(raw, {_quoted(r"[ \t\r\x0B\f]+")}, ' ', 'g'),
+      {_quoted(r" ?\n[ \n]*")}, chr(10), 'g'), concat(' ', chr(10))) as conversion,
+    {_urn("'metadata'", "refers_to", "source_digest")} as metadata_id,
+    {_urn("'conversion'", "refers_to", "source_digest")} as conversion_id
+  from read
+),
+record as (
+  select page_id, refers_to, target_uri, source_digest, 'metadata' as warc_type, metadata_id as record_id,
+    conversion_id as concurrent_to, 'application/warc-fields' as content_type,
+    concat('title: ', title, chr(13), chr(10), 'language: ', language, chr(13), chr(10),
+      array_to_string(list_transform(string_split(headers, chr(13) || chr(10)),
+        lambda h: 'source-header: ' || h || chr(13) || chr(10)), ''),
+      array_to_string(list_transform(links, lambda u: 'outlink: ' || u || chr(13) || chr(10)), '')) as block
+  from text
+  union all
+  select page_id, refers_to, target_uri, source_digest, 'conversion', conversion_id, metadata_id,
+    'text/plain; charset=utf-8', conversion
+  from text
+)
+select *, '2024-01-01T00:00:00Z' as date, 'sha256:' || sha256(block) as block_digest,
+  cast(strlen(block) as bigint) as content_length
+from record
+"""
+
 ORACLE["op6_line_bitmaps"] = f"""
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
 line as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as pos from split),
