@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group.
@@ -21,34 +23,43 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return top_per_group(df, keys, order, 1)
 
 
-def position_in_group(
-    df: DataFrame,
-    keys: list[str],
-    order: list[tuple[str, bool]],
-    block: Column,
-    within: str,
-    name: str,
-) -> DataFrame:
-    """Exact 1-based position of every row in its group, without one task per group.
+def same(left: str, right: str) -> Column:
+    """Equality of two columns in which null equals null."""
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` in which a null key meets a null key; the keys of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & same(k, f"_right_{k}")
+    return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])
 
-    Rows are first counted per (group, order values, ``block``), a running sum over those counts gives
-    each block its start, and only the rows of one block are numbered in one task. ``block`` must be
-    ascending with ``within``, the unique last order column; ``order`` lists (column, ascending).
+
+def position_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Exact 1-based position of every row in its group, in the total order of ``order``; null keys are groups.
+
+    The rows are range-partitioned by keys and order and sorted inside the partitions, so a group of any
+    size and any distribution of its values lies in evenly filled consecutive partitions. A row's position is
+    its place in its partition's run of the group plus the sizes of the group's runs in earlier partitions:
+    at most one run a group and partition. The sorted rows are written to the checkpoint folder, which fixes
+    the partitions and makes this function eager.
     """
-    df = df.withColumn("_block", block)
-    cells = [*keys, *[c for c, _ in order], "_block"]
-    by = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order] + [F.col("_block").asc()]
-    before = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.groupBy(*cells)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    by = [*[F.col(k).asc() for k in keys], *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    fixed = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn(
+        "_part", F.shiftright("_at", 33)
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        fixed.groupBy(*keys, "_part")
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    local = F.row_number().over(Window.partitionBy(*cells).orderBy(F.col(within)))
     return (
-        df.withColumn("_local", local)
-        .join(starts, cells)
-        .withColumn(name, F.col("_start") + F.col("_local"))
-        .drop("_block", "_local", "_start")
+        join_null_safe(fixed, runs, [*keys, "_part"])
+        .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+        .drop("_at", "_part", "_first", "_before")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT_TURNS = 1024
 # Finish codes of model services by common name; anything else is a stop.
 FINISH_REASONS = {
     "end_turn": "stop", "stop_sequence": "stop", "max_tokens": "length", "STOP": "stop", "MAX_TOKENS": "length",
@@ -25,28 +24,29 @@ def _joined(value: Column, order: str) -> Column:
 
 
 def render_conversation(turns: DataFrame, by: str = "conv_id") -> DataFrame:
-    """``Role: text`` blocks of a conversation in turn order.
+    """(conversation, turn, rendered): one ``Role: text`` block a turn, to be read in turn order.
 
-    A conversation of more than 1024 turns comes in several rows, ``segment`` 0, 1, ..., to be read in
-    order: no conversation has to fit one task.
+    The shape is the same for a conversation of any length. A turn without a known role is its text alone.
     """
     name = _lookup(F.col("role"), ROLES)
     block = F.when(name.isNotNull(), F.concat(name, F.lit(": "), F.col("text"))).otherwise(F.col("text"))
-    return turns.groupBy(by, F.floor(F.col("turn") / SEGMENT_TURNS).alias("segment")).agg(
-        _joined(block, "turn").alias("rendered"), F.count(F.lit(1)).alias("turns")
+    return turns.select(by, "turn", F.coalesce(block, F.lit("")).alias("rendered"))
+
+
+def joined_conversation(turns: DataFrame, by: str = "conv_id") -> DataFrame:
+    """One text a conversation, its blocks joined; a conversation then has to fit into one row."""
+    return render_conversation(turns, by).groupBy(by).agg(
+        _joined(F.col("rendered"), "turn").alias("rendered"), F.count(F.lit(1)).alias("turns")
     )
 
 
 def split_system(turns: DataFrame, by: str = "conv_id") -> DataFrame:
-    """System prompt (its turns joined) and, as rows, the other turns with role user or assistant."""
-    system = turns.filter("role = 'system'").groupBy(by, F.floor(F.col("turn") / SEGMENT_TURNS).alias("segment")).agg(
-        _joined(F.col("text"), "turn").alias("text"), F.min("turn").alias("turn")
-    )
-    rest = turns.filter("role <> 'system'")
-    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
-    return system.select(by, F.lit("system").alias("role"), "turn", "text").unionByName(
-        rest.select(by, role.alias("role"), "turn", "text")
-    )
+    """(conversation, role, turn, text): the turns of the system prompt, and the others as user or assistant.
+
+    Every turn stays a row; a role that is not system or user, also a null one, is assistant.
+    """
+    role = F.when(F.col("role").isin("system", "user"), F.col("role")).otherwise("assistant")
+    return turns.select(by, role.alias("role"), "turn", "text")
 
 
 def first_nonzero(*values: Column) -> Column:

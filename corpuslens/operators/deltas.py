@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.let import let
+
 from corpuslens.functions.let import open_array
 
 SEGMENT = 1024
@@ -118,8 +120,9 @@ def fold_reasoning(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
     """Full reasoning of agent chunks (stream_id, seq, type, delta, reasoning): reasoning deltas in order,
     and a closing summary only if the text so far does not contain it.
 
-    The containment test needs the text so far, so the reasoning rows of one answer are folded in one row;
-    all other chunk kinds are dropped before the shuffle.
+    The containment test needs the text so far, so the reasoning of one answer meets in one row; all other
+    chunk kinds are dropped before the shuffle. Pieces between two closings are joined at once, so the text is
+    copied once per closing and not once per piece.
     """
     closing = F.col("type").isin(FINISH_KINDS)
     piece = (
@@ -128,11 +131,22 @@ def fold_reasoning(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
     )
     rows = chunks.select(key, "seq", piece.alias("_piece"), closing.alias("_closing")).filter(_filled(F.col("_piece")))
     ordered = F.sort_array(F.collect_list(F.struct("seq", "_piece", "_closing")))
-    full = F.aggregate(
-        ordered, F.lit(""),
-        lambda text, x: F.when(x["_closing"] & F.contains(text, x["_piece"]), text).otherwise(F.concat(text, x["_piece"])),
-    )
-    return rows.groupBy(key).agg(full.alias("reasoning"))
+
+    def fold(pieces):
+        n = F.size(pieces)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(pieces, i - 1)["_closing"])
+
+        def close(state, i):
+            between = F.transform(F.slice(pieces, state["start"], i - state["start"]), lambda x: x["_piece"])
+            last = F.when(i <= n, F.get(pieces, i - 1)["_piece"])
+            text = F.concat(state["text"], F.array_join(between, ""))
+            whole = let(text, lambda t: F.when(last.isNull() | F.contains(t, last), t).otherwise(F.concat(t, last)))
+            return F.struct(whole.alias("text"), (i + 1).alias("start"))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("start"))
+        return F.aggregate(F.concat(ends, F.array(n + 1)), start, close, lambda s: s["text"])
+
+    return rows.groupBy(key).agg(ordered.alias("_pieces")).select(key, let(F.col("_pieces"), fold).alias("reasoning"))
 
 
 def progress_state(events: DataFrame, by: str = "session") -> DataFrame:

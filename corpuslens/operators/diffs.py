@@ -92,22 +92,45 @@ def diff_hunks(files: DataFrame, key: str = "diff_id") -> DataFrame:
     )
 
 
+BLOCK_LINES = 256
+
+
 def numbered(lines: Column, marks: Column, old_start: Column, new_start: Column) -> Column:
-    """Lines as structs (line_type, content, old_no, new_no)."""
-
-    def one(line, i):
-        before = F.substring(marks, F.lit(1), i)
-        mark = F.left(line, F.lit(1))
-        old_no = old_start + i - _occurrences(before, "+")
-        new_no = new_start + i - _occurrences(before, "-")
-        return F.struct(
-            F.when(mark == "+", "added").when(mark == "-", "removed").otherwise("context").alias("line_type"),
-            F.substring(line, F.lit(2), F.length(line)).alias("content"),
-            F.when(mark != "+", old_no).alias("old_no"),
-            F.when(mark != "-", new_no).alias("new_no"),
+    """Lines as structs (line_type, content, old_no, new_no).
+
+    Marks before a line are counted per block of lines once, and inside the line's own block only, so the
+    work is linear in the number of lines.
+    """
+
+    def running(blocks: Column, char: str) -> Column:
+        add = lambda sums, text: F.concat(sums, F.array(F.element_at(sums, -1) + _occurrences(text, char)))
+        return F.aggregate(blocks, F.array(F.lit(0)), add)
+
+    def cut(blocks: Column) -> Column:
+        return let(
+            running(blocks, "+"),
+            lambda plus: let(running(blocks, "-"), lambda minus: F.transform(lines, one(blocks, plus, minus))),
         )
 
-    return F.transform(lines, one)
+    def one(blocks: Column, plus: Column, minus: Column):
+        def line_at(line: Column, i: Column) -> Column:
+            at = F.floor(i / BLOCK_LINES).cast("int")
+            before = F.substring(F.get(blocks, at), F.lit(1), i % BLOCK_LINES)
+            mark = F.left(line, F.lit(1))
+            old_no = old_start + i - F.get(plus, at) - _occurrences(before, "+")
+            new_no = new_start + i - F.get(minus, at) - _occurrences(before, "-")
+            return F.struct(
+                F.when(mark == "+", "added").when(mark == "-", "removed").otherwise("context").alias("line_type"),
+                F.substring(line, F.lit(2), F.length(line)).alias("content"),
+                F.when(mark != "+", old_no).alias("old_no"),
+                F.when(mark != "-", new_no).alias("new_no"),
+            )
+
+        return line_at
+
+    first = F.sequence(F.lit(0), F.floor(F.length(marks) / BLOCK_LINES).cast("int"))
+    blocks = F.transform(first, lambda b: F.substring(marks, b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)))
+    return let(blocks, cut)
 
 
 def diff_lines(hunks: DataFrame, key: str = "diff_id") -> DataFrame:

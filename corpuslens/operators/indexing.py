@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.let import open_array
+from corpuslens.functions.windows import join_null_safe, position_in_group
 from corpuslens.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, chunk_id
 from corpuslens.operators.chunks import chunks_of
 
@@ -29,11 +30,14 @@ def encode_content(content: Column) -> Column:
     return F.translate(F.base64(content), "\r\n", "")
 
 
+def valid_text(content: Column) -> Column:
+    """Bytes as text; a sequence that is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def decode_content(content: Column, content_base64: Column) -> Column:
-    """Plain content, or the decoded base64 payload when there is none."""
-    return F.coalesce(
-        F.nullif(content, F.lit("")), F.decode(F.unbase64(content_base64), "UTF-8"), F.lit("")
-    )
+    """Plain content, or the decoded base64 payload when there is none; a payload that is not base64 is empty."""
+    return F.coalesce(F.nullif(content, F.lit("")), valid_text(F.try_to_binary(content_base64, F.lit("base64"))), F.lit(""))
 
 
 def with_content(files: DataFrame) -> DataFrame:
@@ -148,12 +152,10 @@ def batches(files: DataFrame, size: int) -> DataFrame:
 
     Files are ordered by a hash bucket of the path, then the path, so no repository is numbered in one task.
     """
-    from corpuslens.functions.windows import position_in_group
-
-    bucket = F.substring(F.md5(F.col("path")), 1, 3)
-    placed = position_in_group(files.select("repo", "path"), ["repo"], [], bucket, "path", "position")
+    order = [F.substring(F.md5(F.col("path")), 1, 3), F.col("path")]
+    placed = position_in_group(files.select("repo", "path"), ["repo"], order, "position")
     totals = files.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
-    return placed.join(totals, "repo").select(
+    return join_null_safe(placed, totals, ["repo"]).select(
         "repo", "path", F.floor((F.col("position") - 1) / size).alias("batch"), "total"
     )
 

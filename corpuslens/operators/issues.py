@@ -1,6 +1,6 @@
 """Review findings: parsing, validation, ranking, de-duplication, filters, grouping and counts.
 
-Table ``issues``: issue_id, file, line, type, severity, confidence, title, ... one row per finding.
+Table ``issues``: issue_id, repo, file, line, type, severity, confidence, title, ... one row per finding.
 Severity is ordered critical (0) to info (4); unknown severities come last.
 """
 
@@ -17,7 +17,7 @@ from corpuslens.functions.windows import first_per_group, position_in_group
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 TYPES = ["bug", "security", "performance", "style", "best-practice"]
 UNKNOWN_RANK = 5
-ISSUE_KEY = ["file", "line", "type", "title"]
+ISSUE_KEY = ["repo", "file", "line", "type", "title"]
 DEFAULT_MIN_CONFIDENCE = 0.5
 DEFAULT_MIN_SEVERITY = "low"
 
@@ -31,12 +31,12 @@ def severity_rank(col: Column) -> Column:
 
 
 def issue_key_id(keys: list[str] = ISSUE_KEY) -> Column:
-    """A stable id for a finding: the hash of its identity, so that reruns agree."""
-    return F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), 256)
+    """A stable id for a finding: the hash of its identity (null as empty), so that reruns agree."""
+    return F.sha2(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)
 
 
 def dedupe_issues(issues: DataFrame, order: str = "issue_id") -> DataFrame:
-    """Keep the first finding per file, line, type and title."""
+    """Keep the first finding per repository, file, line, type and title."""
     return first_per_group(issues, ISSUE_KEY, [F.col(order)])
 
 
@@ -53,17 +53,14 @@ def filter_issues(
     return issues.filter(F.col("severity").isin(allowed) & (F.col("confidence") >= min_confidence))
 
 
-def rank_issues(issues: DataFrame, id_col: str = "issue_id", block_rows: int = 1 << 16) -> DataFrame:
-    """Add ``severity_rank`` and ``rank_in_file``: most severe first, then most confident, then oldest."""
+def rank_issues(issues: DataFrame, id_col: str = "issue_id") -> DataFrame:
+    """Add ``severity_rank`` and ``rank_in_file``: most severe first, then most confident, then oldest.
+
+    Findings without a file rank among each other, per repository; those without confidence come last.
+    """
     ranked = issues.withColumn("severity_rank", severity_rank(F.col("severity")))
-    return position_in_group(
-        ranked,
-        keys=["file"],
-        order=[("severity_rank", True), ("confidence", False)],
-        block=F.floor(F.col(id_col) / block_rows),
-        within=id_col,
-        name="rank_in_file",
-    )
+    order = [F.col("severity_rank"), F.col("confidence").desc_nulls_last(), F.col(id_col)]
+    return position_in_group(ranked, ["repo", "file"], order, "rank_in_file")
 
 
 def review_findings(
@@ -106,9 +103,7 @@ def group_issues(issues: DataFrame, by: str, dense: list[str] | None = None) ->
 
 def members_of_group(issues: DataFrame, by: str, id_col: str = "issue_id") -> DataFrame:
     """Every finding with its group and its position there (input order)."""
-    return position_in_group(
-        issues, [by], [], F.floor(F.col(id_col) / (1 << 16)), id_col, "position"
-    )
+    return position_in_group(issues, [by], [F.col(id_col)], "position")
 
 
 def severity_summary(issues: DataFrame, by: list[str] | None = None) -> DataFrame:

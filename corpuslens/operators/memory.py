@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths as P
-from corpuslens.functions.windows import top_per_group
+from corpuslens.functions.windows import join_null_safe, top_per_group
 
 RETAINED = 1000
 # Feedback that counts as accepted, rates without feedback, bounds of confidence.
@@ -118,7 +118,8 @@ def replay_calls(calls: DataFrame, ttl_minutes: float = CACHE_MINUTES, budgets:
 
     Per session and tool, a call is a miss when its key is new or the session's cache has expired
     (``ttl_minutes`` after its first call, never revived). Only misses use the budget; once it is used up,
-    cached keys are refused too. The call that uses up the budget is found as the n-th miss, so no session
+    cached keys are refused too. Null sessions, tools and keys are keys like others; a tool without a limit is
+    never refused. The call that uses up the budget is found as the n-th miss, so no session
     is replayed row by row.
     """
     limits = budgets or TOOL_BUDGETS
@@ -128,8 +129,7 @@ def replay_calls(calls: DataFrame, ttl_minutes: float = CACHE_MINUTES, budgets:
     firsts = calls.groupBy(*keys, "search_key").agg(F.min(_order()).alias("_first"))
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))
     marked = (
-        calls.join(starts, "session")
-        .join(firsts, [*keys, "search_key"])
+        join_null_safe(join_null_safe(calls, starts, ["session"]), firsts, [*keys, "search_key"])
         .withColumn("_miss", (_order() == F.col("_first")) | (age > ttl_minutes * 60_000_000))
     )
     last_paid = (
@@ -141,7 +141,7 @@ def replay_calls(calls: DataFrame, ttl_minutes: float = CACHE_MINUTES, budgets:
     )
     refused = F.coalesce(_order() > F.col("_last"), F.lit(False))
     outcome = F.when(refused, "refused").when(F.col("_miss"), "miss").otherwise("hit")
-    return marked.join(last_paid, keys, "left").select(*calls.columns, outcome.alias("outcome"))
+    return join_null_safe(marked, last_paid, keys, "left").select(*calls.columns, outcome.alias("outcome"))
 
 
 def cache_hits(calls: DataFrame, ttl_minutes: float = CACHE_MINUTES) -> DataFrame:
@@ -149,11 +149,9 @@ def cache_hits(calls: DataFrame, ttl_minutes: float = CACHE_MINUTES) -> DataFram
     starts = calls.groupBy("session").agg(F.min("ts").alias("_start"))
     firsts = calls.groupBy("session", "search_key").agg(F.min(_order()).alias("_first"))
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))
-    return (
-        calls.join(starts, "session")
-        .join(firsts, ["session", "search_key"])
-        .select(*calls.columns, ((_order() != F.col("_first")) & (age <= ttl_minutes * 60_000_000)).alias("hit"))
-    )
+    found = join_null_safe(join_null_safe(calls, starts, ["session"]), firsts, ["session", "search_key"])
+    hit = (_order() != F.col("_first")) & (age <= ttl_minutes * 60_000_000)
+    return found.select(*calls.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
 
 
 def cache_metrics(replayed: DataFrame) -> DataFrame:

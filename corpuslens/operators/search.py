@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 
 from corpuslens.functions.let import let
 from corpuslens.functions.paths import last_dot_part
-from corpuslens.functions.windows import top_per_group
+from corpuslens.functions.windows import join_null_safe, top_per_group
+from corpuslens.session import cut_lineage
 
 DEFAULT_K = 10
 SNIPPET_CHARS = 300
@@ -21,10 +23,13 @@ PREVIEW_CHARS = 300
 SCORE_DIGITS = 6
 # Queries up to this many bytes of vectors travel to every task; more are paired by shuffle.
 SMALL_QUERY_BYTES = 32 << 20
-VECTORS_PER_BUCKET = 1 << 18
-QUERIES_PER_BLOCK = 1 << 14
+BUCKET_BYTES = 64 << 20  # of vectors, as double precision, in one task's bucket
+BLOCK_BYTES = 16 << 20  # of queries
+SCORE_CELLS = 1 << 22  # scores held at once
 
 HITS = "query_id long, repo string, chunk_id long, file_path string, score double"
+HIT_TYPES = {"query_id": "int64", "repo": object, "chunk_id": "int64", "file_path": object, "score": "float64"}
+HIT_COLUMNS = list(HIT_TYPES)
 
 
 def _unit(rows) -> np.ndarray:
@@ -33,77 +38,125 @@ def _unit(rows) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best(pdf: pd.DataFrame, asked: pd.DataFrame, unit: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k of one batch per query and repository; with ``match``, only among equal match values."""
-    vectors = _unit(pdf["embedding"])
-    repo_code, _ = pd.factorize(pdf["repo"])
-    chunk = pdf["chunk_id"].to_numpy()
-    ids = asked["query_id"].to_numpy()
-    groups = {m: np.flatnonzero(pdf["match"].to_numpy() == m) for m in asked["match"].unique()}
-    everything = np.arange(len(pdf))
-    match = asked["match"].to_numpy()
-    picks, scores, owners = [everything[:0]], [np.empty(0)], [ids[:0]]
-    step = max(1, (1 << 24) // max(1, len(pdf)))
-    for lo in range(0, len(ids), step):
-        block = np.round(vectors @ unit[lo : lo + step].T, SCORE_DIGITS)
-        for j in range(block.shape[1]):
-            rows = groups[match[lo + j]]
-            s = block[rows, j]
-            order = np.lexsort((chunk[rows], -s, repo_code[rows]))
-            r = repo_code[rows][order]
-            if not len(r):
-                continue
-            first = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], np.arange(len(r)), 0))
-            keep = order[np.arange(len(r)) - first < k]
-            picks.append(rows[keep])
-            scores.append(s[keep])
-            owners.append(np.full(len(keep), ids[lo + j]))
-    at = np.concatenate(picks)
-    return pd.DataFrame(
-        {
-            "query_id": np.concatenate(owners),
-            "repo": pdf["repo"].to_numpy()[at],
-            "chunk_id": chunk[at],
-            "file_path": pdf["file_path"].to_numpy()[at],
-            "score": np.concatenate(scores),
-        }
-    )
-
+class TopHits:
+    """The k best chunks seen so far of every query, over all batches of a task (and per repository if asked).
 
-def score_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates: at least the k best chunks per query and repository, by cosine.
+    Only rows of equal ``kind`` (match value and vector length) are compared. A chunk whose path contains
+    the ``current_file`` of a query is no hit for it.
+    """
 
-    Every batch keeps only its k best, so what leaves a task is bounded. A query set that is small by its
-    counted size is sent to all tasks. A larger one is paired with balanced hash buckets of the vectors by
-    a shuffle. When both sides have a ``match`` column, only rows with equal values are compared.
+    def __init__(self, asked: pd.DataFrame, k: int, per_repo: bool):
+        self.k, self.per_repo = k, per_repo
+        self.groups = {}
+        for kind, rows in asked.groupby("kind"):
+            self.groups[kind] = (rows["query_id"].to_numpy(), _unit(rows["embedding"]), rows["current_file"].to_numpy())
+        self.best = pd.DataFrame({c: [] for c in HIT_COLUMNS})
+        self.most = 8 * k * len(asked)
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        found = [self.best]
+        for kind, rows in pdf.groupby("kind"):
+            if kind in self.groups:
+                found += self._score(rows, *self.groups[kind])
+        self.best = pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)
+        if not self.per_repo and len(self.best) > self.most:
+            self.best = self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        keys = ["query_id", "repo"] if self.per_repo else ["query_id"]
+        order = self.best.sort_values(["score", "chunk_id", "repo"], ascending=[False, True, True], kind="stable")
+        first = order.groupby(keys, dropna=False, sort=False).head(self.k)
+        return pd.DataFrame({c: pd.Series(first[c].tolist(), dtype=t) for c, t in HIT_TYPES.items()})
+
+    def _score(self, rows: pd.DataFrame, ids: np.ndarray, unit: np.ndarray, current: np.ndarray) -> Iterator[pd.DataFrame]:
+        vectors = _unit(rows["embedding"])
+        repo, _ = pd.factorize(rows["repo"], use_na_sentinel=False)
+        chunk, path = rows["chunk_id"].to_numpy(), rows["file_path"].to_numpy()
+        sections = [np.flatnonzero(repo == r) for r in range(repo.max() + 1)] if self.per_repo else [np.arange(len(rows))]
+        step = max(1, SCORE_CELLS // len(rows))
+        for lo in range(0, len(ids), step):
+            block = np.round(vectors @ unit[lo : lo + step].T, SCORE_DIGITS)
+            for j in range(block.shape[1]):
+                for section in sections:
+                    picks = self._first(block[section, j], chunk[section], repo[section], path[section], current[lo + j])
+                    at = section[picks]
+                    hits = rows.iloc[at][["repo", "chunk_id", "file_path"]]
+                    yield hits.assign(query_id=ids[lo + j], score=block[at, j])[HIT_COLUMNS]
+
+    def _first(self, score, chunk, repo, path, current) -> np.ndarray:
+        """Places of the k best: a partial selection, widened only while the queried file takes places."""
+        wanted = self.k
+        while True:
+            if wanted < len(score):
+                least = np.partition(score, len(score) - wanted)[len(score) - wanted]
+                near = np.flatnonzero(score >= least)
+            else:
+                near = np.arange(len(score))
+            near = near[np.lexsort((repo[near], chunk[near], -score[near]))]
+            if current is not None:
+                near = np.array([n for n in near if path[n] is None or current not in path[n]], dtype=np.intp)
+            if len(near) >= self.k or wanted >= len(score):
+                return near[: self.k]
+            wanted *= 4
+
+
+def _prepared(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a usable vector; ``kind`` is the match value and the length, so only like meets like."""
+    usable = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    match = F.coalesce("match", F.lit("")) if "match" in df.columns else F.lit("")
+    kind = F.concat_ws(":", F.size("embedding").cast("string"), match)
+    return df.filter(usable & (F.size("embedding") > 0)).select(*columns, "embedding", kind.alias("kind"))
+
+
+def score_vectors(vectors: DataFrame, queries: DataFrame, k: int, per_repo: bool = False) -> DataFrame:
+    """Candidates: at least the k best chunks per query (and repository, if ``per_repo``), by cosine.
+
+    A task keeps its k best over all of its batches, so at most k rows per query leave it. A query set
+    that is small by its counted size is sent to all tasks. A larger one is paired with balanced hash
+    buckets of the vectors by a shuffle. When both sides have a ``match`` column, only rows with equal
+    values are compared. With ``per_repo`` the vectors are dealt by repository and a hash of the chunk, so
+    that a task sees few repositories. Vectors that are null, empty or hold null values take no part.
     """
     if "match" not in queries.columns:
-        vectors, queries = (d.withColumn("match", F.lit("")) for d in (vectors, queries))
-    vectors = vectors.select("repo", "chunk_id", "file_path", "embedding", "match")
-    queries = queries.select("query_id", "embedding", "match")
+        vectors = vectors.drop("match")
+    if "current_file" not in queries.columns:
+        queries = queries.withColumn("current_file", F.lit(None).cast("string"))
+    vectors = _prepared(vectors, ["repo", "chunk_id", "file_path"])
+    queries = _prepared(queries, ["query_id", "current_file"])
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if size["n"] == 0:
         return vectors.sparkSession.createDataFrame([], HITS)
-    if size["n"] * (size["d"] or 0) * 8 <= SMALL_QUERY_BYTES:
-        held = queries.orderBy("query_id").toPandas()
-        unit = _unit(held.pop("embedding"))
+    width = 8 * size["d"]
+    if size["n"] * width > SMALL_QUERY_BYTES:
+        buckets = -(-vectors.count() * width // BUCKET_BYTES)
+        return score_by_bucket(vectors, queries, k, buckets, -(-size["n"] * width // BLOCK_BYTES), per_repo)
+    held = queries.orderBy("query_id").toPandas()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = TopHits(held, k, per_repo)
+        for pdf in batches:
+            if len(pdf):
+                top.add(pdf)
+        yield top.cut()
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield _best(pdf, held, unit, k)
+    if per_repo:
+        vectors = vectors.repartition(F.col("repo"), F.pmod(F.xxhash64("chunk_id"), F.lit(REPO_SPREAD)))
+    return vectors.mapInPandas(scan, HITS)
 
-        return vectors.mapInPandas(scan, HITS)
-    return score_by_bucket(vectors, queries, k, -(-vectors.count() // VECTORS_PER_BUCKET), -(-size["n"] // QUERIES_PER_BLOCK))
 
+REPO_SPREAD = 16  # tasks that may share a repository
 
-def score_by_bucket(vectors: DataFrame, queries: DataFrame, k: int, buckets: int, blocks: int) -> DataFrame:
+
+def score_by_bucket(
+    vectors: DataFrame, queries: DataFrame, k: int, buckets: int, blocks: int, per_repo: bool = False
+) -> DataFrame:
     """Pair every block of queries with every bucket of vectors; both are cut by hash, so all are even."""
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in HITS.split(", ")})
-        return _best(left, right[["query_id", "match"]], _unit(right["embedding"]), k)
+        top = TopHits(right, k, per_repo)
+        if len(left) and len(right):
+            top.add(left)
+        return top.cut()
 
     def place(df, own, own_n, other, other_n, key):
         spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))
@@ -116,12 +169,12 @@ def score_by_bucket(vectors: DataFrame, queries: DataFrame, k: int, buckets: int
 
 
 def best_first() -> list[Column]:
-    return [F.col("score").desc(), F.col("chunk_id")]
+    return [F.col("score").desc(), F.col("chunk_id"), F.col("repo").asc_nulls_last()]
 
 
 def search_each_repo(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The k best chunks of every repository for every query."""
-    return top_per_group(score_vectors(vectors, queries, k), ["query_id", "repo"], best_first(), k)
+    return top_per_group(score_vectors(vectors, queries, k, per_repo=True), ["query_id", "repo"], best_first(), k)
 
 
 def search(
@@ -135,14 +188,13 @@ def search(
     """The k best chunks per query over all (or the named) repositories.
 
     ``types_before_limit=False`` filters file types after the limit, which may leave fewer than k hits.
-    The merge needs only each repository's own k best, so candidates shrink before the second ranking.
     """
     if repos:
         vectors = vectors.filter(F.col("repo").isin(repos))
     wanted = last_dot_part(F.col("file_path")).isin(file_types) if file_types else None
     if wanted is not None and types_before_limit:
         vectors = vectors.filter(wanted)
-    hits = top_per_group(search_each_repo(vectors, queries, k), ["query_id"], best_first(), k)
+    hits = top_per_group(score_vectors(vectors, queries, k), ["query_id"], best_first(), k)
     if wanted is not None and not types_before_limit:
         hits = hits.filter(wanted)
     return hits
@@ -155,20 +207,17 @@ TYPES_OF_LANGUAGE = {
 }
 
 
-def similar_patterns(vectors: DataFrame, queries: DataFrame, k: int = 5, overfetch: int = 2) -> DataFrame:
+def similar_patterns(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Similar code elsewhere: same language, never the queried file itself, k per query.
 
-    ``queries`` carries query_id, embedding, current_file and language. Twice k are fetched, then the own
-    file is dropped, then k are kept. All languages are searched in one pass over the vectors.
+    ``queries`` carries query_id, embedding, current_file and language. The queried file is left out while
+    scoring, so k hits come back whenever there are k. All languages are searched in one pass.
     """
     language_of_type = [(t, name) for name, types in TYPES_OF_LANGUAGE.items() for t in types]
     kind = last_dot_part(F.col("file_path"))
     language = F.create_map(*[F.lit(x) for pair in language_of_type for x in pair])
     typed = vectors.withColumn("match", F.coalesce(F.try_element_at(language, kind), kind))
-    asked = queries.select("query_id", "current_file").distinct()
-    found = search(typed, queries.withColumn("match", F.lower("language")), k * overfetch)
-    others = found.join(asked, "query_id").filter(~F.contains(F.col("file_path"), F.col("current_file")))
-    return top_per_group(others, ["query_id"], best_first(), k)
+    return search(typed, queries.withColumn("match", F.lower("language")), k)
 
 
 def name_repo(hits: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -181,18 +230,26 @@ def name_repo(hits: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def with_snippet(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach the chunk text and its first 300 characters."""
-    return hits.join(chunks.select("chunk_id", F.col("text").alias("content")), "chunk_id").withColumn(
-        "snippet", F.substring("content", 1, SNIPPET_CHARS)
-    )
+def with_snippet(hits: DataFrame, chunks: DataFrame, chars: int | None = SNIPPET_CHARS) -> DataFrame:
+    """Attach the chunk text and its first ``chars`` characters (None: all of it).
+
+    Chunks are known by repository and id; hits without a chunk keep a null text.
+    """
+    texts = chunks.select("repo", "chunk_id", F.col("text").alias("content"))
+    snippet = F.col("content") if chars is None else F.substring("content", 1, chars)
+    return join_null_safe(hits, texts, ["repo", "chunk_id"], "left").withColumn("snippet", snippet)
+
 
+def preview(text: Column, max_lines: int | None = PREVIEW_LINES, max_chars: int | None = PREVIEW_CHARS) -> Column:
+    """First lines of a hit: at most ``max_lines``, and no line that would pass ``max_chars`` in total.
 
-def preview(text: Column) -> Column:
-    """First lines of a hit: at most ten, and no line that would pass 300 characters in total."""
+    None lifts a limit.
+    """
+    most = 2**31 - 1
+    n_lines, n_chars = max_lines if max_lines is not None else most, max_chars if max_chars is not None else most
 
     def fold(state, line):
-        stop = state["stop"] | (state["chars"] + F.length(line) > PREVIEW_CHARS)
+        stop = state["stop"] | (state["chars"] + F.length(line) > n_chars)
         return F.struct(
             F.when(stop, state["n"]).otherwise(state["n"] + 1).alias("n"),
             F.when(stop, state["chars"]).otherwise(state["chars"] + F.length(line)).alias("chars"),
@@ -204,7 +261,7 @@ def preview(text: Column) -> Column:
         kept = F.aggregate(lines, start, fold, lambda s: s["n"])
         return F.array_join(F.slice(lines, F.lit(1), kept), "\n")
 
-    return let(F.slice(F.split(text, "\n"), 1, PREVIEW_LINES), shown)
+    return let(F.slice(F.split(text, "\n"), 1, n_lines), shown)
 
 
 def hits_by_repo(hits: DataFrame) -> DataFrame:
@@ -361,140 +418,100 @@ FUNCTION_DEFINITION = r"\bfunction\s+(\w+)\s*\("
 
 
 def count_names(chunks: DataFrame, names: DataFrame, counted: str, group: int, not_counted: str | None) -> DataFrame:
-    """(name, chunk_id, n): matches of one pattern less those of another, for the names asked for.
+    """(name, repo, chunk_id, n): matches of one pattern less those of another, for the names asked for.
 
-    Chunks are cut into identifiers once and matched by equality, so the work is linear in the text and
-    does not depend on the number of names. The join drops all other words before anything is grouped.
+    Chunks are cut into identifiers once, each chunk counts its own, and the distinct ones are matched by
+    equality. The work is linear in the text and does not depend on the number of names.
     """
-    def signed(pattern, g, sign):
-        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
-        return F.transform(found, lambda w: F.struct(w.alias("name"), F.lit(sign).alias("sign")))
-
-    marks = signed(counted, group, 1)
-    if not_counted:
-        marks = F.concat(marks, signed(not_counted, 1, -1))
-    words = chunks.select("chunk_id", F.explode_outer(marks).alias("_w")).select("chunk_id", "_w.*")
+    found = F.regexp_extract_all("text", F.lit(counted), F.lit(group))
+    less = F.regexp_extract_all("text", F.lit(not_counted), F.lit(1)) if not_counted else F.array().cast("array<string>")
+    opened = chunks.select("repo", "chunk_id", tally(found).alias("_found"), tally(less).alias("_less"))
+    words = opened.select("repo", "chunk_id", "_less", F.explode_outer("_found").alias("_w"))
+    defined = F.coalesce(F.get(F.filter("_less", lambda d: d["word"] == F.col("_w.word")), F.lit(0))["n"], F.lit(0))
+    wanted = checked_broadcast(names.select("name").filter("name is not null").distinct())
     return (
-        words.join(names.select("name").distinct(), "name")
-        .groupBy("name", "chunk_id")
-        .agg(F.sum("sign").alias("n"))
+        words.select("repo", "chunk_id", F.col("_w.word").alias("name"), (F.col("_w.n") - defined).cast("long").alias("n"))
+        .join(wanted, "name")
         .filter("n > 0")
     )
 
 
+def tally(items: Column) -> Column:
+    """The distinct elements of an array with how often each occurs: one sort, then one pass over its runs."""
+
+    def runs(found):
+        starts = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: (i == 1) | (F.get(found, i - 1) != F.get(found, i - 2)))
+        return let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(found, i - 1).alias("word"),
+                    (F.coalesce(F.get(at, k + 1), F.size(found) + 1) - i).alias("n"),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<word:string,n:int>>")
+    return F.when(F.size(items) > 0, let(F.sort_array(items), runs)).otherwise(none)
+
+
+BROADCAST_ROWS = 200_000  # distinct words that may travel to every task
+
+
+def checked_broadcast(words: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The same rows, marked for broadcast only if they are counted to be few; the result is the same."""
+    return F.broadcast(words) if words.limit(most + 1).count() <= most else words
+
+
 def find_usages(chunks: DataFrame, names: DataFrame, k: int = DEFAULT_K, definitions: bool = False) -> DataFrame:
     """Chunks that use a name most, definitions not counted unless asked for."""
     used = count_names(chunks, names, r"\w+", 0, None if definitions else DEFINITION)
-    return top_per_group(used, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
+    return top_per_group(used, ["name"], [F.col("n").desc(), F.col("chunk_id"), F.col("repo").asc_nulls_last()], k)
 
 
 def find_callers(chunks: DataFrame, names: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Chunks that call a function most (``name(``), its own definition not counted."""
     called = count_names(chunks, names, CALL, 1, FUNCTION_DEFINITION)
-    return top_per_group(called, ["name"], [F.col("n").desc(), F.col("chunk_id")], k)
+    return top_per_group(called, ["name"], [F.col("n").desc(), F.col("chunk_id"), F.col("repo").asc_nulls_last()], k)
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-# A term-by-query weight table up to this many bytes travels to every task.
-SMALL_WEIGHT_BYTES = 64 << 20
-
-
 def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Text search when no vectors are at hand: tf-idf over whole lower-case words, by chunk length.
 
-    A query set that is small by its counted terms and queries is sent to all tasks, and every batch of chunks keeps
-    only its k best per query. A larger one meets the chunk words in a join. Scores are rounded, ties go
-    to the lower chunk id.
+    Chunks are known by repository and id, of any type. Every chunk counts its own words and sends one row
+    per distinct word that is asked for. Scores are rounded, ties go to the lower chunk id, then repository.
     """
     one = F.lit(1)
     asked = (
         queries.select("query_id", F.explode_outer(_words(F.col("query"))).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy("query_id", "word")
         .agg(F.count(one).alias("qf"))
     )
-    opened = chunks.select("chunk_id", _words(F.col("text")).alias("words"))
-    size = asked.agg(F.count_distinct("word").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
-    if size["terms"] * size["queries"] * 8 <= SMALL_WEIGHT_BYTES:
-        scored = _lexical_by_batch(opened, asked, k)
-    else:
-        scored = _lexical_by_join(opened, asked)
-    return top_per_group(scored, ["query_id"], best_first(), k)
-
-
-def _chunk_frequencies(opened: DataFrame, asked: DataFrame) -> DataFrame:
-    """(word, df): chunks per asked word; the empty word counts all chunks, in the same pass."""
-    wanted = asked.select("word").unionByName(asked.select(F.lit("").alias("word"))).distinct()
-    return (
-        opened.select(F.explode_outer(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word"))
-        .join(wanted, "word")
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-
-
-def _term_weights(opened: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, word, w): query frequency times squared inverse chunk frequency."""
-    df = _chunk_frequencies(opened, asked).withColumn("_one", F.lit(1))
-    total = df.filter("word = ''").select("_one", F.col("df").alias("n_chunks"))
-    idf = df.join(F.broadcast(total), "_one").select(  # a single row
-        "word", F.log(1 + F.col("n_chunks") / F.col("df")).alias("idf")
-    )
-    return asked.join(idf, "word").select(
-        "query_id", "word", (F.col("qf") * F.col("idf") * F.col("idf")).alias("w")
-    )
-
-
-def _lexical_by_join(opened: DataFrame, asked: DataFrame) -> DataFrame:
-    weights = _term_weights(opened, asked)
+    wanted = checked_broadcast(asked.select("word").distinct())
+    words = chunks.select("repo", "chunk_id", _words(F.col("text")).alias("_words"))
+    counted = words.select("repo", "chunk_id", F.size("_words").alias("len"), F.explode_outer(tally(F.col("_words"))).alias("_w"))
     tf = (
-        opened.select("chunk_id", F.size("words").alias("len"), F.explode_outer("words").alias("word"))
-        .join(asked.select("word").distinct(), "word")
-        .groupBy("chunk_id", "len", "word")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        counted.select("repo", "chunk_id", "len", F.col("_w.word").alias("word"), F.col("_w.n").alias("tf"))
+        .join(wanted, "word")
+        .transform(cut_lineage)  # read twice: for the chunk frequencies and for the scores
     )
-    return (
+    idf = tf.groupBy("word").agg(F.count(one).alias("df")).withColumn("_one", one)
+    total = chunks.agg(F.count(one).alias("n_chunks")).withColumn("_one", one)
+    weights = asked.join(idf, "word").join(F.broadcast(total), "_one")  # a single row
+    idf2 = F.pow(F.log(1 + F.col("n_chunks") / F.col("df")), 2)
+    weights = weights.select("query_id", "word", (F.col("qf") * idf2).alias("w"))
+    scored = (
         tf.join(weights, "word")
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", "repo", "chunk_id")
         .agg(F.round(F.sum(F.col("w") * F.col("tf") / F.sqrt("len")), SCORE_DIGITS).alias("score"))
     )
-
-
-def _lexical_by_batch(opened: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    df = _chunk_frequencies(opened, asked).toPandas().set_index("word")["df"]
-    held = asked.toPandas()
-    held = held[held["word"].isin(df.index)]
-    idf = np.log(1 + df[""] / held["word"].map(df)) if len(held) else held["qf"]
-    held["w"] = held["qf"] * idf * idf
-    terms, term_of = np.unique(held["word"].to_numpy(dtype=object), return_inverse=True)
-    ids, query_of = np.unique(held["query_id"].to_numpy(), return_inverse=True)
-    weights = np.zeros((len(terms), len(ids)))
-    weights[term_of, query_of] = held["w"].to_numpy()
-    place = {w: i for i, w in enumerate(terms)}
-    step = max(1, (1 << 22) // max(1, len(terms)))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo : lo + step]
-                chunk = part["chunk_id"].to_numpy(dtype=object)
-                counts = np.zeros((len(part), len(terms)))
-                for i, words in enumerate(part["words"]):
-                    found = [place[w] for w in words if w in place]
-                    if found:
-                        counts[i] = np.bincount(found, minlength=len(terms)) / np.sqrt(len(words))
-                scores = np.round(counts @ weights, SCORE_DIGITS)
-                shared = counts @ (weights > 0) > 0
-                by_id = np.argsort(chunk, kind="stable")
-                order = by_id[np.argsort(-scores[by_id], axis=0, kind="stable")[:k]]
-                rows, query = order.ravel(), np.tile(np.arange(len(ids)), len(order))
-                hit = shared[rows, query]
-                rows, query = rows[hit], query[hit]
-                yield pd.DataFrame({"query_id": ids[query], "chunk_id": chunk[rows], "score": scores[rows, query]})
-
-    return opened.mapInPandas(scan, "query_id long, chunk_id string, score double")
+    return top_per_group(scored, ["query_id"], best_first(), k)
 
 
 def fuzzy_score(target: Column, query: str) -> Column:
@@ -542,27 +559,33 @@ def pattern_files(files: DataFrame, pattern: str, path: str = "path") -> DataFra
     return files.filter(F.col(path).contains(pattern) | F.col(path).rlike(pattern))
 
 
-def related_files(files: DataFrame, k: int = 5) -> DataFrame:
-    """Up to k other files of the same folder whose name fits ``*<extension>`` of a file.
+def related_files(
+    files: DataFrame, k: int = 5, directory: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """Up to k other files of a folder whose name fits a pattern, for every file.
 
-    The pattern is unanchored and its dot matches any character, so ``*.ts`` also takes ``x.tsx``. Each
-    (folder, extension) keeps its first k + 1 names once; every file then reads those and skips itself.
+    By default the folder is the file's own and the pattern ``*<extension>``: any name that holds the
+    extension's text after any one character, so ``*.ts`` also takes ``x.tsx``. ``directory`` names one
+    folder for all files; in ``pattern`` a star stands for any characters, and everything else for itself.
+    Each (folder, extension) keeps its first k + 1 names once; every file then reads those and skips itself.
     """
     from corpuslens.functions.paths import basename, dirname, extension
 
     path = F.col("path")
-    placed = files.select(
-        "repo", "path", dirname(path).alias("folder"), basename(path).alias("name"), extension(path).alias("ext")
-    )
+    folder = dirname(path) if directory is None else F.lit(directory.rstrip("/"))
+    wanted = extension(path) if pattern is None else F.lit("")
+    placed = files.select("repo", "path", folder.alias("folder"), wanted.alias("ext"))
+    names = files.select("repo", dirname(path).alias("folder"), basename(path).alias("name"), F.col("path").alias("related"))
     kinds = placed.select("repo", "folder", "ext").distinct()
-    fits = F.expr("name rlike concat('.*', ext)")
-    candidates = (
-        placed.select("repo", "folder", "name", F.col("path").alias("related"))
-        .join(kinds, ["repo", "folder"])
-        .filter(fits)
-    )
+    if pattern is None:
+        # the dot of the extension stands for any one character; the rest of it for itself
+        fits = F.expr(r"ext = '' or name rlike concat('.\\Q', substring(ext, 2), '\\E')")
+    else:
+        literal = ".*".join(re.escape(part) for part in pattern.split("*"))
+        fits = F.col("name").rlike(literal)
+    candidates = join_null_safe(names, kinds, ["repo", "folder"]).filter(fits)
     first = top_per_group(candidates, ["repo", "folder", "ext"], [F.col("name")], k + 1).drop("name")
-    pairs = placed.join(first, ["repo", "folder", "ext"]).filter(F.col("related") != F.col("path"))
+    pairs = join_null_safe(placed, first, ["repo", "folder", "ext"]).filter(F.col("related") != F.col("path"))
     return top_per_group(pairs.select("repo", "path", "related"), ["repo", "path"], [F.col("related")], k)
 
 

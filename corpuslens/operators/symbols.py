@@ -270,11 +270,14 @@ def symbol_rows(files: DataFrame, language: str) -> DataFrame:
 
 
 def _python_rows(code: str) -> list[tuple]:
-    """Symbols of one Python file; a file that does not parse has none."""
+    """Symbols of one Python file; a file that does not parse, or is nested too deep to, has none."""
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        return _parsed_rows(ast.parse(code))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
+
+
+def _parsed_rows(tree: ast.Module) -> list[tuple]:
     listed = [
         [e.value for e in n.value.elts if isinstance(e, ast.Constant)]
         for n in ast.walk(tree)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,10 +32,11 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, []]
         self.open = [self.root]
+        self.counts = Counter()  # open elements by tag, so that a hopeless search of the open ones is skipped
 
     def handle_starttag(self, tag, attrs):
         closes = {"li"} if tag == "li" else {"p"} if tag in BLOCKS or tag in ("ul", "ol", "article", "section") else ()
-        for node in reversed(self.open):
+        for node in reversed(self.open) if any(self.counts[c] for c in closes) else ():
             if node[0] in ("ul", "ol", "table", "body", "article"):
                 break
             if node[0] in closes:
@@ -44,39 +46,62 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.counts[tag]:
+            ended = self.open.pop()[0]
+            self.counts[ended] -= 1
+            if ended == tag:
                 return
 
     def handle_data(self, data):
         self.open[-1][2].append(data)
 
 
-def _walk(node):
-    """Elements in document order, without dropped ones."""
-    for child in node[2]:
-        if not isinstance(child, str) and child[0] not in DROPPED:
-            yield child
-            yield from _walk(child)
+def _events(root):
+    """("open", element), ("text", string) and ("close", element) below an element in document order, without
+    dropped elements. Keeps its own stack, so nesting may be of any depth."""
+    stack = [(root, iter(root[2]))]
+    while stack:
+        node, children = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if stack:
+                yield "close", node
+        elif isinstance(child, str):
+            yield "text", child
+        elif child[0] not in DROPPED:
+            yield "open", child
+            stack.append((child, iter(child[2])))
 
 
 def _text(node) -> str:
-    return "".join(c if isinstance(c, str) else _text(c) for c in node[2] if isinstance(c, str) or c[0] not in DROPPED)
-
-
-def _content(node) -> str:
-    parts = []
-    for child in node[2]:
-        if isinstance(child, str):
-            parts += [child.strip()] if child.strip() else []
-        elif child[0] not in DROPPED:
-            inner = _content(child)
+    return "".join(value for kind, value in _events(node) if kind == "text")
+
+
+def _content(root) -> str:
+    """Trimmed texts joined by a space; a block is followed by one more. One pass; an only child's pieces are
+    taken over, not copied."""
+    levels = [[]]
+    for kind, value in _events(root):
+        if kind == "open":
+            levels.append([])
+        elif kind == "text":
+            if value.strip():
+                levels[-1] += [" ", value.strip()] if levels[-1] else [value.strip()]
+        else:
+            inner = levels.pop()
             if inner:
-                parts += [inner, ""] if child[0] in BLOCKS else [inner]
-    return " ".join(parts)
+                if levels[-1]:
+                    levels[-1].append(" ")
+                    levels[-1] += inner
+                else:
+                    levels[-1] = inner
+                if value[0] in BLOCKS:
+                    levels[-1].append(" ")
+    return "".join(levels[0])
 
 
 def _matches(node, kind, value) -> bool:
@@ -92,7 +117,7 @@ def extract_page(url: str, html: str) -> tuple[str, str]:
     parser = _Tree()
     parser.feed(html or "")
     parser.close()
-    nodes = list(_walk(parser.root))
+    nodes = [value for kind, value in _events(parser.root) if kind == "open"]
     heads = ["".join(_text(n) for n in nodes if n[0] == "title").strip()]
     heads += [_text(n).strip() for n in nodes if n[0] == "h1"][:1]
     title = next((h for h in heads if h), url)
@@ -248,7 +273,7 @@ def crawl(
 def web_index(documents: DataFrame, order: str = "page_id") -> DataFrame:
     """Documents of each host's web index: ``web_<host>``, id ``url::position``, never cut into chunks."""
     named = documents.withColumn("index", F.concat(F.lit("web_"), F.replace(host(F.col("url")), F.lit("."), F.lit("_"))))
-    placed = position_in_group(named, ["index"], [], F.floor(F.col(order) / (1 << 16)), order, "_position")
+    placed = position_in_group(named, ["index"], [F.col(order)], "_position")
     return placed.select(
         "index",
         F.concat_ws("::", "url", (F.col("_position") - 1).cast("string")).alias("doc_id"),

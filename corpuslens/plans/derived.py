@@ -42,6 +42,14 @@ select event_id as issue_id,
 from {events}
 """
 
+# The same findings in several repositories that share file names, some without file or confidence.
+DERIVED["findings"] = """
+select issue_id, concat('repo', cast(issue_id % 3 as varchar(20))) as repo,
+  case issue_id % 97 when 0 then null else file end as file, line, type, severity,
+  case issue_id % 89 when 0 then null else confidence end as confidence, title
+from {issues}
+"""
+
 DERIVED["files"] = """
 select doc_id, source as repo,
   concat(case doc_id % 10 when 0 then 'node_modules/' when 1 then 'dist/' when 2 then '.cache-x/' else '' end,
@@ -161,6 +169,19 @@ select doc_id, 'main' as repo, concat('src/m', cast(doc_id as varchar(20)), case
 from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1 from {documents} d) s
 """
 
+# Two repositories whose files have the same paths: code, and texts.
+DERIVED["twin_files"] = """
+select concat('twin', cast(doc_id % 2 as varchar(20))) as repo,
+  concat('src/m', cast(doc_id - doc_id % 2 as varchar(20)), '.ts') as path, content
+from {code_files}
+"""
+
+DERIVED["twin_texts"] = """
+select concat('twin', cast(doc_id % 2 as varchar(20))) as repo,
+  concat('doc', cast(doc_id - doc_id % 2 as varchar(20))) as path, text as content
+from {documents}
+"""
+
 DERIVED["edges"] = """
 select doc_id as src, (doc_id * 7 + 1) % (select count(*) from {documents}) as dst from {documents}
 union
@@ -205,6 +226,14 @@ select event_id as call_id, concat('file', cast(user_id as varchar(20))) as sess
 from {events}
 """
 
+# Tool calls of which some have no session, tool or key.
+DERIVED["odd_calls"] = """
+select call_id, case call_id % 83 when 0 then null else session end as session,
+  case call_id % 79 when 0 then null else tool end as tool,
+  case call_id % 73 when 0 then null else search_key end as search_key, ts, duration_ms
+from {tool_calls}
+"""
+
 # User feedback on stored findings; an entry may get it several times, the last one counts.
 DERIVED["feedback_log"] = """
 select event_id as seq, event_id as issue_id, feedback, ts from (select issue_id as event_id, feedback, ts from {issues}) a where feedback is not null

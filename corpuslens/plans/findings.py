@@ -12,46 +12,46 @@ ORACLE: dict[str, str] = {}
 
 RANK = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 when 'info' then 4 else 5 end"
 
-COLUMNS = ["issue_id", "file", "line", "type", "severity", "confidence", "title"]
+COLUMNS = ["issue_id", "repo", "file", "line", "type", "severity", "confidence", "title"]
 
 
 def _review_findings(spark, sf):
-    return I.review_findings(table(spark, sf, "issues")).select(
+    return I.review_findings(table(spark, sf, "findings")).select(
         "issue_key", *COLUMNS, "severity_rank", "rank_in_file"
     )
 
 
 QUERIES["review_findings"] = _review_findings
-ORACLE["review_findings"] = with_derived("issues", f"""
+ORACLE["review_findings"] = with_derived("findings", f"""
 with first as (
   select *, {RANK} as severity_rank from (
-    select *, row_number() over (partition by file, line, type, title order by issue_id) as rn from issues) s
+    select *, row_number() over (partition by repo, file, line, type, title order by issue_id) as rn from findings) s
   where rn = 1),
 kept as (select * from first where severity_rank <= 3 and confidence >= 0.5)
-select sha256(concat_ws(':', file, cast(line as varchar), type, title)) as issue_key,
-  issue_id, file, line, type, severity, confidence, title, severity_rank,
-  row_number() over (partition by file order by severity_rank, confidence desc, issue_id) as rank_in_file
+select sha256(concat(repo, ':', file, ':', line, ':', type, ':', title)) as issue_key,
+  issue_id, repo, file, line, type, severity, confidence, title, severity_rank,
+  row_number() over (partition by repo, file order by severity_rank, confidence desc nulls last, issue_id) as rank_in_file
 from kept""")
 
-QUERIES["dedupe_issues"] = lambda spark, sf: I.dedupe_issues(table(spark, sf, "issues")).select(*COLUMNS)
-ORACLE["dedupe_issues"] = with_derived("issues", """
-select issue_id, file, line, type, severity, confidence, title from (
-  select *, row_number() over (partition by file, line, type, title order by issue_id) as rn from issues) s
+QUERIES["dedupe_issues"] = lambda spark, sf: I.dedupe_issues(table(spark, sf, "findings")).select(*COLUMNS)
+ORACLE["dedupe_issues"] = with_derived("findings", """
+select issue_id, repo, file, line, type, severity, confidence, title from (
+  select *, row_number() over (partition by repo, file, line, type, title order by issue_id) as rn from findings) s
 where rn = 1""")
 
-QUERIES["rank_issues"] = lambda spark, sf: I.rank_issues(table(spark, sf, "issues")).select(
+QUERIES["rank_issues"] = lambda spark, sf: I.rank_issues(table(spark, sf, "findings")).select(
     *COLUMNS, "severity_rank", "rank_in_file"
 )
-ORACLE["rank_issues"] = with_derived("issues", f"""
-select issue_id, file, line, type, severity, confidence, title, {RANK} as severity_rank,
-  row_number() over (partition by file order by {RANK}, confidence desc, issue_id) as rank_in_file
-from issues""")
+ORACLE["rank_issues"] = with_derived("findings", f"""
+select issue_id, repo, file, line, type, severity, confidence, title, {RANK} as severity_rank,
+  row_number() over (partition by repo, file order by {RANK}, confidence desc nulls last, issue_id) as rank_in_file
+from findings""")
 
 QUERIES["issue_filter"] = lambda spark, sf: I.filter_issues(
     table(spark, sf, "issues"), "medium", 0.5
 ).select(*COLUMNS)
 ORACLE["issue_filter"] = with_derived("issues", f"""
-select issue_id, file, line, type, severity, confidence, title from issues
+select issue_id, repo, file, line, type, severity, confidence, title from issues
 where {RANK} <= 2 and confidence >= 0.5""")
 
 QUERIES["fixable_issues"] = lambda spark, sf: I.fixable_issues(table(spark, sf, "issues")).select(
@@ -89,11 +89,11 @@ select file, count(*) as n_issues, max(confidence) as max_confidence, min(issue_
 from issues group by file""")
 
 QUERIES["issue_group_members"] = lambda spark, sf: I.members_of_group(
-    table(spark, sf, "issues"), "severity"
+    table(spark, sf, "findings"), "file"
 ).select("severity", "position", "issue_id", "file", "line", "type")
-ORACLE["issue_group_members"] = with_derived("issues", """
-select severity, row_number() over (partition by severity order by issue_id) as position,
-  issue_id, file, line, type from issues""")
+ORACLE["issue_group_members"] = with_derived("findings", """
+select severity, row_number() over (partition by file order by issue_id) as position,
+  issue_id, file, line, type from findings""")
 
 QUERIES["severity_summary"] = lambda spark, sf: I.severity_summary(table(spark, sf, "issues"), ["file"])
 ORACLE["severity_summary"] = with_derived("issues", """

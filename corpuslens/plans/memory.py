@@ -76,39 +76,43 @@ best as (select * from (select g.type, g.ext, g.depth, m.issue_id as past_id, m.
 select m.issue_id, b.past_id, b.past_file from m join best b on b.type = m.type and b.ext = m.ext and b.depth = m.depth""")
 
 TTL = 7 * 24 * 60
-QUERIES["tool_budget"] = lambda spark, sf: M.replay_calls(table(spark, sf, "tool_calls"), TTL).select(
+QUERIES["tool_budget"] = lambda spark, sf: M.replay_calls(table(spark, sf, "odd_calls"), TTL).select(
     "call_id", "session", "tool", "search_key", "outcome"
 )
 REPLAY = """
 mk as (select *, row_number() over (partition by session, tool, search_key order by ts, call_id) = 1
-    or epoch_us(ts) - epoch_us(min(ts) over (partition by session)) > 604800000000 as miss from tool_calls),
+    or epoch_us(ts) - epoch_us(min(ts) over (partition by session)) > 604800000000 as miss from odd_calls),
 pr as (select *, coalesce(sum(case when miss then 1 else 0 end) over (partition by session, tool order by ts, call_id rows between unbounded preceding and 1 preceding), 0) as prior,
-    case tool when 'search' then 5 when 'callers' then 2 else 3 end as lim from mk),
+    case tool when 'search' then 5 when 'callers' then 2 when 'test' then 3 when 'related' then 3 when 'usages' then 3 end as lim from mk),
 rp as (select *, case when prior >= lim then 'refused' when miss then 'miss' else 'hit' end as outcome from pr)"""
-ORACLE["tool_budget"] = with_derived("tool_calls", f"with {REPLAY} select call_id, session, tool, search_key, outcome from rp")
+ORACLE["tool_budget"] = with_derived("odd_calls", f"with {REPLAY} select call_id, session, tool, search_key, outcome from rp")
 
-QUERIES["cache_metrics"] = lambda spark, sf: M.cache_metrics(M.replay_calls(table(spark, sf, "tool_calls"), TTL))
-ORACLE["cache_metrics"] = with_derived("tool_calls", f"""
+QUERIES["cache_metrics"] = lambda spark, sf: M.cache_metrics(M.replay_calls(table(spark, sf, "odd_calls"), TTL))
+ORACLE["cache_metrics"] = with_derived("odd_calls", f"""
 with {REPLAY}
 select session, count(*) filter (where outcome = 'hit') as cache_hits, count(*) filter (where outcome = 'miss') as cache_misses,
   count(*) filter (where outcome = 'miss') as calls, arg_max(duration_ms, struct_pack(ts := ts, call_id := call_id)) filter (where outcome = 'miss') as last_duration_ms
 from rp group by session""")
 
-QUERIES["cache_hits"] = lambda spark, sf: M.cache_hits(table(spark, sf, "tool_calls"), TTL).select("call_id", "session", "search_key", "hit")
-ORACLE["cache_hits"] = with_derived("tool_calls", """
+QUERIES["cache_hits"] = lambda spark, sf: M.cache_hits(table(spark, sf, "odd_calls"), TTL).select("call_id", "session", "search_key", "hit")
+ORACLE["cache_hits"] = with_derived("odd_calls", """
 select call_id, session, search_key, row_number() over (partition by session, search_key order by ts, call_id) > 1
-  and epoch_us(ts) - epoch_us(min(ts) over (partition by session)) <= 604800000000 as hit from tool_calls""")
+  and epoch_us(ts) - epoch_us(min(ts) over (partition by session)) <= 604800000000 as hit from odd_calls""")
 
 QUERIES["render_conversation"] = lambda spark, sf: V.render_conversation(table(spark, sf, "conversations"))
-ORACLE["render_conversation"] = """
-select conv_id, turn // 1024 as segment, string_agg(case role when 'system' then concat('System: ', text) when 'user' then concat('User: ', text)
-  when 'assistant' then concat('Assistant: ', text) else text end, concat(chr(10), chr(10)) order by turn) as rendered, count(*) as turns
-from conversations group by 1, 2"""
-QUERIES["split_system"] = lambda spark, sf: V.split_system(table(spark, sf, "conversations"))
-ORACLE["split_system"] = """
-select conv_id, 'system' as role, min(turn) as turn, string_agg(text, concat(chr(10), chr(10)) order by turn) as text
-from conversations where role = 'system' group by conv_id, turn // 1024
-union all select conv_id, case role when 'user' then 'user' else 'assistant' end, turn, text from conversations where role <> 'system'"""
+BLOCK_SQL = """case role when 'system' then concat('System: ', text) when 'user' then concat('User: ', text)
+  when 'assistant' then concat('Assistant: ', text) else coalesce(text, '') end"""
+ORACLE["render_conversation"] = f"select conv_id, turn, {BLOCK_SQL} as rendered from conversations"
+QUERIES["joined_conversation"] = lambda spark, sf: V.joined_conversation(table(spark, sf, "conversations"))
+ORACLE["joined_conversation"] = f"""
+select conv_id, string_agg({BLOCK_SQL}, concat(chr(10), chr(10)) order by turn) as rendered, count(*) as turns
+from conversations group by conv_id"""
+
+# Turns of which some have no role.
+TURNS = "select conv_id, turn, case when (conv_id + turn) % 7 = 0 then null else role end as role, text from {conversations}"
+QUERIES["split_system"] = lambda spark, sf: V.split_system(run_sql(spark, sf, TURNS))
+ORACLE["split_system"] = with_derived("", """
+select conv_id, case when role in ('system', 'user') then role else 'assistant' end as role, turn, text from turns""", turns=TURNS)
 
 USAGES = """
 select event_id as record_id, concat('{"stream":', case event_id % 3 when 0 then 'null' when 1 then concat('{"inputTokens":', cast(event_id % 5 as varchar(20)), ',"outputTokens":7}') else '{"promptTokens":0,"totalTokens":11}' end,

@@ -88,16 +88,16 @@ with scored as (select q.query_id, q.current_file, v.repo, v.chunk_id, v.file_pa
     round(list_cosine_similarity(cast(v.embedding as double[]), cast(q.embedding as double[])), 6) as score
   from vectors v join pq q on regexp_extract(v.file_path, '[^.]*$') = case q.language when 'typescript' then 'ts'
     when 'javascript' then 'js' when 'python' then 'py' when 'go' then 'go' when 'rust' then 'rs' end),
-fetched as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from scored) s where rn <= 10)
+others as (select * from scored where not contains(file_path, current_file))
 select query_id, repo, chunk_id, file_path, score from (
-  select *, row_number() over (partition by query_id order by score desc, chunk_id) as r2 from fetched
-  where not contains(file_path, current_file)) s where r2 <= 5""", pq=PATTERN_QUERY)
+  select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from others) s where rn <= 5""", pq=PATTERN_QUERY)
 
 
 def _previews(spark, sf):
     hits = S.search(table(spark, sf, "vectors"), _queries(spark, sf))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return S.with_snippet(hits, docs).select(
+    texts = table(spark, sf, "vectors").select("repo", "chunk_id").join(docs, "chunk_id")
+    return S.with_snippet(hits, texts).select(
         "query_id", "chunk_id", "snippet", S.preview(F.col("content")).alias("preview"),
         S.token_estimate(F.col("content")).alias("tokens"),
     )
@@ -204,7 +204,7 @@ select request_id, query, coalesce(query <> '', false) as valid, regexp_matches(
 
 
 def _code_chunks(spark, sf):
-    return chunk_files(table(spark, sf, "code_files"))
+    return chunk_files(table(spark, sf, "twin_files"))
 
 
 def _function_names(spark, sf):
@@ -213,37 +213,37 @@ def _function_names(spark, sf):
 
 QUERIES["find_usages"] = lambda spark, sf: S.find_usages(_code_chunks(spark, sf), _function_names(spark, sf), 3)
 TOKENS = r"""
-tok as (select concat(path, '::chunk-', chunk_index) as chunk_id, text, unnest(regexp_extract_all(text, '\w+')) as name from cut),
-use as (select name, chunk_id, count(*) as n from tok where name in (select concat('f', doc_id) from documents) group by 1, 2),
-def as (select name, chunk_id, count(*) as d from (select concat(path, '::chunk-', chunk_index) as chunk_id,
-  unnest(regexp_extract_all(text, '\b(?:function|class|interface|type|enum|const|let|var)\s+(\w+)', 1)) as name from cut) s group by 1, 2)"""
-ORACLE["find_usages"] = with_derived("code_files", f"""
-with recursive {chunk_sql('code_files')}, {TOKENS}
-select name, chunk_id, n from (select name, chunk_id, n, row_number() over (partition by name order by n desc, chunk_id) as rn
-  from (select name, chunk_id, n - coalesce(d, 0) as n from use left join def using (name, chunk_id)) s where n > 0) t where rn <= 3""")
+tok as (select repo, concat(path, '::chunk-', chunk_index) as chunk_id, text, unnest(regexp_extract_all(text, '\w+')) as name from cut),
+use as (select name, repo, chunk_id, count(*) as n from tok where name in (select concat('f', doc_id) from documents) group by 1, 2, 3),
+def as (select name, repo, chunk_id, count(*) as d from (select repo, concat(path, '::chunk-', chunk_index) as chunk_id,
+  unnest(regexp_extract_all(text, '\b(?:function|class|interface|type|enum|const|let|var)\s+(\w+)', 1)) as name from cut) s group by 1, 2, 3)"""
+ORACLE["find_usages"] = with_derived("twin_files", f"""
+with recursive {chunk_sql('twin_files')}, {TOKENS}
+select name, repo, chunk_id, n from (select name, repo, chunk_id, n, row_number() over (partition by name order by n desc, chunk_id, repo) as rn
+  from (select name, repo, chunk_id, n - coalesce(d, 0) as n from use left join def using (name, repo, chunk_id)) s where n > 0) t where rn <= 3""")
 
 QUERIES["find_callers"] = lambda spark, sf: S.find_callers(_code_chunks(spark, sf), _function_names(spark, sf), 2)
-ORACLE["find_callers"] = with_derived("code_files", rf"""
-with recursive {chunk_sql('code_files')},
-c as (select concat(path, '::chunk-', chunk_index) as chunk_id, text from cut),
-use as (select name, chunk_id, count(*) as n from (select chunk_id, unnest(regexp_extract_all(text, '\b(\w+)\s*\(', 1)) as name from c) s
-  where name in (select concat('f', doc_id) from documents) group by 1, 2),
-def as (select name, chunk_id, count(*) as d from (select chunk_id, unnest(regexp_extract_all(text, '\bfunction\s+(\w+)\s*\(', 1)) as name from c) s group by 1, 2)
-select name, chunk_id, n from (select name, chunk_id, n, row_number() over (partition by name order by n desc, chunk_id) as rn
-  from (select name, chunk_id, n - coalesce(d, 0) as n from use left join def using (name, chunk_id)) s where n > 0) t where rn <= 2""")
+ORACLE["find_callers"] = with_derived("twin_files", rf"""
+with recursive {chunk_sql('twin_files')},
+c as (select repo, concat(path, '::chunk-', chunk_index) as chunk_id, text from cut),
+use as (select name, repo, chunk_id, count(*) as n from (select repo, chunk_id, unnest(regexp_extract_all(text, '\b(\w+)\s*\(', 1)) as name from c) s
+  where name in (select concat('f', doc_id) from documents) group by 1, 2, 3),
+def as (select name, repo, chunk_id, count(*) as d from (select repo, chunk_id, unnest(regexp_extract_all(text, '\bfunction\s+(\w+)\s*\(', 1)) as name from c) s group by 1, 2, 3)
+select name, repo, chunk_id, n from (select name, repo, chunk_id, n, row_number() over (partition by name order by n desc, chunk_id, repo) as rn
+  from (select name, repo, chunk_id, n - coalesce(d, 0) as n from use left join def using (name, repo, chunk_id)) s where n > 0) t where rn <= 2""")
 
 QUERIES["lexical_search"] = lambda spark, sf: S.lexical_search(
-    chunk_files(table(spark, sf, "files")),
+    chunk_files(table(spark, sf, "twin_texts")),
     table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")),
 )
-ORACLE["lexical_search"] = with_derived("files", rf"""
-with recursive {chunk_sql('files')},
-c as (select concat(path, '::chunk-', chunk_index) as chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') as ws from cut),
+ORACLE["lexical_search"] = with_derived("twin_texts", rf"""
+with recursive {chunk_sql('twin_texts')},
+c as (select repo, concat(path, '::chunk-', chunk_index) as chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') as ws from cut),
 q as (select query_id, word, count(*) as qf from (select item_id as query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')) as word from benchmark) s group by 1, 2),
-tf as (select chunk_id, len(ws) as n, word, count(*) as tf from (select chunk_id, ws, unnest(ws) as word from c) s where word in (select word from q) group by all),
+tf as (select repo, chunk_id, len(ws) as n, word, count(*) as tf from (select repo, chunk_id, ws, unnest(ws) as word from c) s where word in (select word from q) group by all),
 idf as (select word, ln(1 + (select count(*) from c) / count(*)::double) as idf from tf group by word),
-sc as (select query_id, chunk_id, round(sum(qf * idf * idf * tf / sqrt(n)), 6) as score from q join idf using (word) join tf using (word) group by 1, 2)
-select query_id, chunk_id, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from sc) s where rn <= 10""")
+sc as (select query_id, repo, chunk_id, round(sum(qf * idf * idf * tf / sqrt(n)), 6) as score from q join idf using (word) join tf using (word) group by 1, 2, 3)
+select query_id, repo, chunk_id, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id, repo) as rn from sc) s where rn <= 10""")
 
 QUERIES["fuzzy_files"] = lambda spark, sf: S.fuzzy_files(table(spark, sf, "files"), "Dc1.T").select("path", "score")
 ORACLE["fuzzy_files"] = with_derived("files", """

@@ -22,7 +22,7 @@ def read_tree(
     """Files below ``root`` as (repo, path, content, size).
 
     Size, path and extension are tested on the file listing; the size filter reaches the source, so a
-    large file is never opened.
+    large file is never opened. Bytes that are not UTF-8 become the replacement character.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -37,7 +37,7 @@ def read_tree(
     if patterns:
         keep &= ~is_ignored(F.col("path"), patterns)
     return listed.filter(keep).select(
-        F.lit(repo).alias("repo"), "path", F.decode("content", "UTF-8").alias("content"), "size"
+        F.lit(repo).alias("repo"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size"
     )
 
 
@@ -53,14 +53,22 @@ def read_spread(spark: SparkSession, location: str) -> DataFrame:
     have row groups enough and are read where they lie, without a shuffle.
     """
     df = spark.read.parquet(location)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(path).getLength()
-    if TINY_INPUT_BYTES < size < SMALL_INPUT_BYTES:
+    if TINY_INPUT_BYTES < stored_bytes(spark, location) < SMALL_INPUT_BYTES:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
+_STORED: dict[str, int] = {}
+
+
+def stored_bytes(spark: SparkSession, location: str) -> int:
+    """Size of the files below a location, from their listing; looked up once a session and place."""
+    if location not in _STORED:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
+        _STORED[location] = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return _STORED[location]
+
+
 def write_index(table: DataFrame, location: str) -> None:
     """Replace the partitions of the repositories in ``table``; others stay.
 

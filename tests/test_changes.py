@@ -101,3 +101,19 @@ def test_suggestions(spark):
     assert rows[0].suggestion_diff == "@@ -1,3 +1,3 @@\n a\n-b\n+X\n c"
     assert [r.suggestion_diff for r in rows[1:]] == [None, None, None]
     assert [r.shown for r in rows[1:]] == [None, "given", "+ l1\n+ l2"]
+
+
+def test_a_hunk_of_many_lines_is_numbered_in_linear_time(spark):
+    """Numbers are right across counting blocks, and 200,000 lines take seconds."""
+    import time
+
+    marks = [" -+"[i * i % 3] for i in range(200_000)]
+    text = "diff --git a/f.ts b/f.ts\n@@ -5,9 +7,9 @@\n" + "\n".join(m + "x" for m in marks)
+    df = spark.createDataFrame([(1, text)], "diff_id long, diff_text string")
+    began = time.time()
+    rows = D.parse_diff(df).select("line_no", "old_no", "new_no").collect()
+    assert time.time() - began < 30 and len(rows) == len(marks)
+    old, new = 5, 7
+    for r, mark in zip(sorted(rows), marks, strict=True):
+        assert (r.old_no, r.new_no) == (old if mark != "+" else None, new if mark != "-" else None)
+        old, new = old + (mark != "+"), new + (mark != "-")

@@ -104,14 +104,18 @@ def test_incremental_equals_full(spark):
 
 
 def test_position_in_one_hot_group(spark):
+    """One group of most rows, another of null keys; the order holds distinct values, nulls and hashed ids."""
     df = spark.range(5000).select(
-        F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("g"), (F.col("id") % 7).alias("s"), "id"
+        F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 3 == 2, None).alias("g"),
+        F.when(F.col("id") % 11 > 0, (F.col("id") * 7919 % 5000) / 5000).alias("s"),
+        F.xxhash64("id").alias("id"),
     )
-    got = position_in_group(df, ["g"], [("s", False)], F.floor(F.col("id") / 64), "id", "pos").collect()
+    placed = position_in_group(df, ["g"], [F.col("s").desc_nulls_last(), F.col("id")], "pos")
+    got = placed.collect()
     want = {}
-    for g in ("hot", "cold"):
-        rows = sorted((-r.s, r.id) for r in got if r.g == g)
-        want.update({(g, i): n + 1 for n, (_, i) in enumerate(rows)})
+    for g in ("hot", None):
+        rows = sorted((r.s is None, -(r.s or 0), r.id) for r in got if r.g == g)
+        want.update({(g, row[-1]): n + 1 for n, row in enumerate(rows)})
     assert all(want[r.g, r.id] == r.pos for r in got) and len(got) == 5000
 
 
@@ -123,3 +127,12 @@ def test_paths(spark):
         P.related(F.lit("a/x.test.ts"), F.lit("b/x.spec.js")).alias("rel"),
     ).first()
     assert tuple(row) == ("a/c/d", "../x", "", ".ts", "typescript", "a/b", True)
+
+
+def test_bytes_that_are_not_utf8_do_not_fail_the_read(spark, tmp_path):
+    (tmp_path / "a.ts").write_bytes("caf\xe9".encode("latin-1"))
+    (tmp_path / "b.ts").write_text("ok")
+    got = {r.path: r.content for r in read_tree(spark, str(tmp_path), "r").collect()}
+    assert got == {"a.ts": "caf\ufffd", "b.ts": "ok"}
+    df = spark.createDataFrame([(None, "Y2Fm6Q=="), ("", "!not base64!"), ("x", None)], "content string, b string")
+    assert [r.c for r in df.select(X.decode_content(F.col("content"), F.col("b")).alias("c")).collect()] == ["caf\ufffd", "", "x"]

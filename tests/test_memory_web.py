@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpuslens.operators import symbols as Y
 from corpuslens.operators import conversations as V
 from corpuslens.operators import memory as M
 from corpuslens.operators import web as W
@@ -44,9 +45,13 @@ def test_memory_rates(spark):
 
 
 def test_conversation(spark):
-    df = spark.createDataFrame([(1, 1, "user", "q"), (1, 0, "system", "s"), (1, 2, "tool", "t"), (1, 3000, "assistant", "z")], "conv_id long, turn long, role string, text string")
-    got = {r.segment: r.rendered for r in V.render_conversation(df).collect()}
-    assert got == {0: "System: s\n\nUser: q\n\nt", 2: "Assistant: z"}
+    turns = [(1, 1, "user", "q"), (1, 0, "system", "s"), (1, 2, None, "t"), (1, 3000, "assistant", "z"), (2, 0, "user", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.rendered for r in V.render_conversation(df).collect()}
+    assert got == {(1, 0): "System: s", (1, 1): "User: q", (1, 2): "t", (1, 3000): "Assistant: z", (2, 0): ""}
+    assert {r.conv_id: r.rendered for r in V.joined_conversation(df).collect()}[1] == "System: s\n\nUser: q\n\nt\n\nAssistant: z"
+    split = {(r.conv_id, r.turn): r.role for r in V.split_system(df).collect()}
+    assert split == {(1, 0): "system", (1, 1): "user", (1, 2): "assistant", (1, 3000): "assistant", (2, 0): "user"}
     assert [r.f for r in spark.createDataFrame([("SAFETY",), ("x",), (None,)], "c string").select(V.finish_reason(F.col("c")).alias("f")).collect()] == ["content_filter", "stop", "stop"]
 
 
@@ -108,3 +113,22 @@ def test_similar_issues(spark):
     for i, f, t, _ in rows:
         want = sorted((p for p, g, u, _ in rows if u == t and g[-3:] == f[-3:] and abs(g.count("/") - f.count("/")) <= 1), reverse=True)[:3]
         assert got[i] == set(want)
+
+
+def test_calls_without_session_or_key_are_kept(spark):
+    rows = [(1, None, "search", None, 0), (2, None, "search", None, 1), (3, "s", None, "k", 0), (4, "s", None, "k", 1), (5, "s", "search", "k", 2)]
+    calls = spark.createDataFrame(rows, "call_id long, session string, tool string, search_key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r.call_id: r.outcome for r in M.replay_calls(calls).collect()} == {1: "miss", 2: "hit", 3: "miss", 4: "hit", 5: "miss"}
+    assert {r.call_id: r.hit for r in M.cache_hits(calls).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_deep_pages_and_files_do_not_fail_the_job(spark):
+    deep = "<div>" * 30_000 + "core" + "</div>" * 30_000
+    wide = "<p>" * 20_000 + "x"
+    assert W.extract_page("u", f"<body>{deep}</body>") == ("u", "core")
+    assert W.extract_page("u", wide)[1].endswith("x")
+    code = "x = " + "(" * 5000 + ")" * 5000 + "\n"
+    chain = "x = " + "+".join(["a"] * 50_000)
+    assert Y._python_rows(code) == [] and isinstance(Y._python_rows(chain), list)
+    html = "<main>a<div>b<p>c</p></div>d<span>e</span><nav>no</nav></main>"
+    assert W.extract_page("u", html)[1] == "a b c   d e"

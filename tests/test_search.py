@@ -37,8 +37,8 @@ def test_top_k_and_large_query_path(spark):
     assert {r.query_id: set(r.c) for r in got} == want
     each = S.search_each_repo(df, q, 2).groupBy("query_id").agg(F.collect_set("chunk_id").alias("c")).collect()
     assert {r.query_id: set(r.c) for r in each} == brute(rows, queries, 2, True)
-    no_match = [d.withColumn("match", F.lit("")) for d in (df, q)]
-    by_bucket = S.score_by_bucket(*no_match, 5, buckets=3, blocks=2)
+    prepared = S._prepared(df, ["repo", "chunk_id", "file_path"]), S._prepared(q.withColumn("current_file", F.lit(None).cast("string")), ["query_id", "current_file"])
+    by_bucket = S.score_by_bucket(*prepared, 5, buckets=3, blocks=2)
     top = S.top_per_group(by_bucket, ["query_id"], S.best_first(), 5).groupBy("query_id").agg(F.collect_set("chunk_id").alias("c"))
     assert {r.query_id: set(r.c) for r in top.collect()} == want
 
@@ -48,27 +48,69 @@ def test_no_queries(spark):
     assert S.search(df, spark.createDataFrame([], "query_id long, embedding array<float>")).count() == 0
 
 
-def test_lexical_paths_agree(spark):
-    chunks = spark.createDataFrame(
-        [(f"c{i}", " ".join(["apple"] * (i % 3) + ["pear"] * (i % 4) + [f"w{i}", "the"])) for i in range(40)], "chunk_id string, text string"
-    )
-    queries = spark.createDataFrame([(1, "Apple pear"), (2, "w7 the"), (3, "absent")], "query_id long, query string")
-    opened = chunks.select("chunk_id", S._words(F.col("text")).alias("words"))
-    asked = queries.select("query_id", F.explode(S._words(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("qf"))
-    joined = S.top_per_group(S._lexical_by_join(opened, asked), ["query_id"], S.best_first(), 5)
-    key = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 5)) for r in df.collect())
-    got = key(S.lexical_search(chunks, queries, 5))
-    assert got == key(joined) and {q for q, _, _ in got} == {1, 2}
-    assert [c for q, c, _ in got if q == 2 and c == "c7"] == ["c7"]
+def test_candidates_are_bounded_by_tasks(spark):
+    """What leaves a task depends on queries and k, not on how many repositories there are."""
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i % 1000}", i, f"f{i}.ts", rng.normal(size=8).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "repo string, chunk_id long, file_path string, embedding array<float>").repartition(6)
+    q = spark.createDataFrame([(i, rows[i][3]) for i in range(20)], "query_id long, embedding array<float>")
+    assert S.score_vectors(df, q, 10).count() <= 6 * 20 * 10
+
+
+def test_unusable_vectors_take_no_part(spark):
+    rows = [("r", 1, "a.ts", [1.0, 0.0]), ("r", 2, "b.ts", None), ("r", 3, "c.ts", [1.0, 0.0, 0.0]), ("r", 4, "d.ts", [None, 1.0]), ("r", 5, None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "repo string, chunk_id long, file_path string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.chunk_id) for r in S.search(df, q).orderBy("query_id", F.desc("score")).collect()] == [(1, 1), (1, 5)]
+
+
+def test_similar_patterns_gives_k_whenever_there_are_k(spark):
+    """The queried file has the best chunks; they take no places."""
+    rows = [("r", i, "own.ts" if i < 12 else f"other{i}.ts", [1.0, i / 100]) for i in range(40)]
+    df = spark.createDataFrame(rows, "repo string, chunk_id long, file_path string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "own.ts", "typescript")], "query_id long, embedding array<float>, current_file string, language string")
+    assert sorted(r.chunk_id for r in S.similar_patterns(df, q, 5).collect()) == [12, 13, 14, 15, 16]
+
+
+def test_lexical_search_by_repository_and_any_id(spark):
+    texts = [" ".join(["apple"] * (i % 3) + ["pear"] * (i % 4) + [f"w{i // 2}", "the"]) for i in range(40)]
+    queries = spark.createDataFrame([(1, "Apple pear"), (2, "w7 the"), (3, "absent"), (4, None)], "query_id long, query string")
+    docs = [t.split() for t in texts]
+    want = {}
+    for q, words in ((1, ["apple", "pear"]), (2, ["w7", "the"])):
+        df = {w: sum(w in d for d in docs) for w in words}
+        score = {i: round(sum(d.count(w) * np.log(1 + 40 / df[w]) ** 2 for w in words) / np.sqrt(len(d)), 6) for i, d in enumerate(docs) if set(words) & set(d)}
+        want[q] = [(i // 2, f"r{i % 2}", s) for i, s in sorted(score.items(), key=lambda x: (-x[1], x[0] // 2, x[0] % 2))[:5]]
+    for kind, make in (("long", int), ("string", str)):
+        rows = [(f"r{i % 2}", make(i // 2), t) for i, t in enumerate(texts)]  # both repositories have the same ids
+        chunks = spark.createDataFrame(rows, f"repo string, chunk_id {kind}, text string")
+        got = S.lexical_search(chunks, queries, 5).collect()
+        assert {r.query_id for r in got} == {1, 2}
+        for q in (1, 2):
+            rows = sorted((r for r in got if r.query_id == q), key=lambda r: (-r.score, int(r.chunk_id), r.repo))
+            assert [r.score for r in rows] == [s for _, _, s in want[q]]
+            if kind == "long":
+                assert [(r.chunk_id, r.repo) for r in rows] == [(c, r) for c, r, _ in want[q]]
+
+
+def test_broadcast_check_changes_no_result(spark):
+    words = spark.range(30).selectExpr("cast(id as string) as word")
+    assert sorted(S.checked_broadcast(words, 5).collect()) == sorted(S.checked_broadcast(words, 50).collect())
+
+
+def test_tally(spark):
+    got = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "x array<string>").select(S.tally(F.col("x")).alias("t")).collect()
+    assert [[tuple(e) for e in r.t] for r in got] == [[("a", 1), ("b", 2)], [], []]
 
 
 def test_usages_and_callers(spark):
     chunks = spark.createDataFrame(
-        [("a", "function foo() {}\nfoo(); foo (1); foobar()"), ("b", "let x = foo;"), ("c", "function foo(){}")], "chunk_id string, text string"
+        [("r", "a", "function foo() {}\nfoo(); foo (1); foobar()"), ("r", "b", "let x = foo;"), ("r", "c", "function foo(){}"), ("s", "a", "foo()")],
+        "repo string, chunk_id string, text string",
     )
-    names = spark.createDataFrame([("foo",)], "name string")
-    assert {(r.chunk_id, r.n) for r in S.find_usages(chunks, names).collect()} == {("a", 2), ("b", 1)}
-    assert {(r.chunk_id, r.n) for r in S.find_callers(chunks, names).collect()} == {("a", 2)}
+    names = spark.createDataFrame([("foo",), (None,)], "name string")
+    assert {(r.repo, r.chunk_id, r.n) for r in S.find_usages(chunks, names).collect()} == {("r", "a", 2), ("r", "b", 1), ("s", "a", 1)}
+    assert {(r.repo, r.chunk_id, r.n) for r in S.find_callers(chunks, names).collect()} == {("r", "a", 2), ("s", "a", 1)}
 
 
 def test_fuzzy_score(spark):
@@ -106,3 +148,11 @@ def test_related_files(spark):
     df = spark.createDataFrame([("r", p) for p in ("d/a.ts", "d/b.ts", "d/c.tsx", "d/e.py", "x/f.ts")], "repo string, path string")
     got = {(r.path, r.related) for r in S.related_files(df).collect()}
     assert got == {("d/a.ts", "d/b.ts"), ("d/a.ts", "d/c.tsx"), ("d/b.ts", "d/a.ts"), ("d/b.ts", "d/c.tsx")}
+
+
+def test_related_files_with_odd_names_and_arguments(spark):
+    df = spark.createDataFrame([("r", p) for p in ("d/y.(bak", "d/x.(bak", "d/a.ts", "e/b.test.ts", "e/c.ts")], "repo string, path string")
+    pairs = {("d/y.(bak", "d/x.(bak"), ("e/b.test.ts", "e/c.ts")}
+    assert {(r.path, r.related) for r in S.related_files(df).collect()} == pairs | {(b, a) for a, b in pairs}
+    got = S.related_files(df, directory="e", pattern="*.test.*").collect()
+    assert {(r.path, r.related) for r in got} == {(p, "e/b.test.ts") for p in ("d/y.(bak", "d/x.(bak", "d/a.ts", "e/c.ts")}

@@ -40,7 +40,34 @@ def test_index_stream_equals_batch(spark, tmp_path):
     before = key(S.current_chunks(spark, location))
     S.write_batch(spark.createDataFrame(CHANGES[2], S.CHANGE), 2, location)
     assert key(S.current_chunks(spark, location)) == before
-    assert S.current_manifest(spark, location).filter("path = 'f3.ts'").first().batch != 2  # equal content was skipped
+    f3 = S.current_manifest(spark, location).filter("path = 'f3.ts'").first()
+    assert (f3.seq, f3.text_seq) == (21, 3)  # equal content: the older chunks stay valid
+
+
+def paths(spark, location):
+    return {r.path: r.seq for r in S.current_manifest(spark, location).collect()}
+
+
+def test_new_checkpoint_late_event_and_redelivery(spark, tmp_path):
+    location, key = str(tmp_path / "index"), lambda df: sorted((r.file_path, r.text) for r in df.collect())
+    for run, rows in enumerate([[("r", "a.ts", "add", "one", 10)], [("r", "b.ts", "add", "two", 11)]]):
+        stream = feed(spark, [rows], S.CHANGE, tmp_path / f"in{run}")
+        S.index_changes(stream, location, str(tmp_path / f"cp{run}"), availableNow=True).awaitTermination(120)
+    assert paths(spark, location) == {"a.ts": 10, "b.ts": 11}  # both queries began at batch 0
+    late = [("r", "a.ts", "change", "older", 5), ("r", "c.ts", "unlink", None, 30)]
+    S.write_batch(spark.createDataFrame(late, S.CHANGE), 7, location)
+    S.write_batch(spark.createDataFrame([("r", "c.ts", "add", "back from the dead", 20)], S.CHANGE), 8, location)
+    assert paths(spark, location) == {"a.ts": 10, "b.ts": 11}
+    again = [("r", "b.ts", "add", "two", 11), ("r", "b.ts", "change", "three", 12), ("s", "b.ts", "add", "other", 1)]
+    for batch in (9, 10):
+        S.write_batch(spark.createDataFrame(again, S.CHANGE), batch, location)
+    want = [("a.ts", "one"), ("b.ts", "other"), ("b.ts", "three")]
+    assert key(S.current_chunks(spark, location)) == want
+    target = str(tmp_path / "compact")
+    S.compact(spark, location, target)
+    assert key(S.current_chunks(spark, target)) == want
+    S.write_batch(spark.createDataFrame([("r", "c.ts", "add", "still dead", 25)], S.CHANGE), 0, target)
+    assert key(S.current_chunks(spark, target)) == want
 
 
 def sse(text):
@@ -91,13 +118,41 @@ class FakeState:
         self.value, self.removed = None, True
 
 
+def lines(*rows):
+    seq, kinds, deltas = zip(*rows, strict=True)
+    return pd.DataFrame({"seq": seq, "part": [0] * len(rows), "type": kinds, "delta": deltas})
+
+
+def run_step(step, state, *batches):
+    return [row for out in step((7,), iter(batches), state) for row in out.values.tolist()]
+
+
 def test_idle_answer_is_emitted_unfinished():
     state, step = FakeState(), A._step(500)
-    rows = pd.DataFrame({"seq": [1, 0], "part": [0, 0], "type": ["content_delta"] * 2, "delta": [" b", "a"]})
-    assert list(step((7,), iter([rows]), state)) == [] and state.timer == 500
+    rows = lines((1, A.CONTENT, " b"), (0, A.CONTENT, "a"), (3, A.CONTENT, " d"))
+    assert run_step(step, state, rows) == [] and state.timer == 500
+    state.hasTimedOut = True
+    assert run_step(step, state) == [[7, "a b d", "", 3, False]]
+    assert run_step(step, state) == [] and state.removed
+
+
+def test_answer_waits_for_every_line_and_ends_once():
+    """The stop comes first, a line is missing, lines are delivered again before and after the end."""
+    state, step = FakeState(), A._step(500)
+    stop, first, middle = lines((2, A.STOP, None), (0, A.CONTENT, "a")), lines((0, A.CONTENT, "a")), lines((1, A.CONTENT, "b"))
+    assert run_step(step, state, stop) == [] and run_step(step, state, first) == []
+    assert run_step(step, state, middle, stop) == [[7, "ab", "", 3, True]]
+    assert run_step(step, state, stop, first, middle) == []
+    assert state.value[1] == "" and state.value[5] == []  # an ended answer keeps a mark only
     state.hasTimedOut = True
-    out = next(step((7,), iter([]), state))
-    assert out.values.tolist() == [[7, "a b", "", 2, False]] and state.removed
+    assert run_step(step, state) == [] and state.removed
+
+
+def test_many_lines_in_reverse_order():
+    state, step = FakeState(), A._step(None)
+    for i in reversed(range(300)):
+        out = run_step(step, state, lines((i, A.CONTENT if i < 299 else A.STOP, f"{i},")))
+    assert out == [[7, "".join(f"{i}," for i in range(299)), "", 300, True]]
 
 
 def test_progress_stream_equals_batch(spark, tmp_path):
