@@ -25,6 +25,9 @@ CONSTRUCTS = [
     (3, r"\bawait\s"),
     (5, r"\bclass\s+\w"),
     (5, r"\binterface\s+\w"),
+    # methods: a name, parameters and a body at the start of a line, less the statements of the same form
+    (5, r"(?m)^\s*(?:(?:public|private|protected|static|async|get|set)\s+)*[A-Za-z_]\w*\s*\([^)\n]*\)\s*(?::\s*[^{\n]*)?\{"),
+    (-5, r"(?m)^\s*(?:if|for|while|switch|catch|with|function)\s*\([^)\n]*\)\s*(?::\s*[^{\n]*)?\{"),
 ]
 # Score limits of the complexity classes and the base risk of each class.
 COMPLEXITY_LIMITS = [(20, "trivial"), (50, "low"), (100, "medium"), (200, "high")]

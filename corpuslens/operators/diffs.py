@@ -230,7 +230,7 @@ def changed_paths(*sets: DataFrame) -> DataFrame:
 
 
 def file_history(commits: DataFrame, limit: int = 10) -> DataFrame:
-    """Latest commits per file."""
+    """Latest commits per repository and file."""
     from corpuslens.functions.windows import top_per_group
 
-    return top_per_group(commits, ["path"], [F.col("ts").desc(), F.col("sha")], limit)
+    return top_per_group(commits, ["repo", "path"], [F.col("ts").desc(), F.col("sha")], limit)

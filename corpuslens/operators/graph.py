@@ -153,21 +153,23 @@ def language_candidates(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """(root, node, depth) with the least number of hops along (src, dst), roots themselves left out.
+    """(repo, root, node, depth) with the least number of hops along (repo, src, dst), roots themselves left out.
 
-    One equality join per hop; pairs seen before are dropped by an anti join. Each hop but the last is
-    written to the shared checkpoint folder, so the plan does not double with every hop.
+    A walk stays in the repository of its root. One equality join per hop; pairs seen before are dropped by
+    an anti join. Each hop but the last is written to the shared checkpoint folder, so the plan does not
+    double with every hop. The result has a row per root and reachable node: roots are meant to be the files
+    under review, and with every file as a root a hub makes it as large as all pairs.
     """
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
-    frontier = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
+    step = edges.select("repo", F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
+    frontier = roots.select("repo", "root", F.col("root").alias("node")).distinct()
     seen = frontier
     found = None
     for depth in range(1, max_depth + 1):
         frontier = (
-            frontier.join(step, "node")
-            .select("root", F.col("_next").alias("node"))
+            frontier.join(step, ["repo", "node"])
+            .select("repo", "root", F.col("_next").alias("node"))
             .distinct()
-            .join(seen, ["root", "node"], "left_anti")
+            .join(seen, ["repo", "root", "node"], "left_anti")
         )
         if depth < max_depth:
             frontier = cut_lineage(frontier)
@@ -178,7 +180,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def upstream(edges: DataFrame, roots: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -209,10 +211,10 @@ def related_tests(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def dependency_bundle(edges: DataFrame, tests: DataFrame, roots: DataFrame, max_depth: int = 1) -> DataFrame:
-    """(root, relation, node, depth): upstream, downstream and tests of every root in one table."""
+    """(repo, root, relation, node, depth): upstream, downstream and tests of every root in one table."""
     up = upstream(edges, roots, max_depth).withColumn("relation", F.lit("upstream"))
     down = downstream(edges, roots, 1).withColumn("relation", F.lit("downstream"))
-    test = tests.join(roots.withColumnRenamed("root", "path"), "path", "left_semi").select(
-        F.col("path").alias("root"), F.col("test_path").alias("node"), F.lit(0).alias("depth"), F.lit("test").alias("relation")
+    test = tests.join(roots.withColumnRenamed("root", "path"), ["repo", "path"], "left_semi").select(
+        "repo", F.col("path").alias("root"), F.col("test_path").alias("node"), F.lit(0).alias("depth"), F.lit("test").alias("relation")
     )
-    return up.unionByName(down).unionByName(test).select("root", "relation", "node", "depth")
+    return up.unionByName(down).unionByName(test).select("repo", "root", "relation", "node", "depth")

@@ -1,6 +1,6 @@
 """Relevance of context items for a reviewed file, and what each review strategy keeps.
 
-All rankers yield the same long table: file, category, item_key, score, reason, content. Scores are built
+All rankers yield the same long table: repo, file, category, item_key, score, reason, content. Scores are built
 from whole hundredths, so equal sums compare equal; ties go to the item key.
 """
 
@@ -18,7 +18,7 @@ from corpuslens.operators.symbols import count_mentions, find_all
 CRITICAL_IMPORTS = ["config", "schema", "type", "interface", "model", "api"]
 MIN_SCORE = {"import": 0.3, "import_plain": 0.3, "pattern": 0.4, "type": 0.3, "test": 0.3, "dependency": 0.3}
 MAX_ITEMS = {"import": 5, "import_plain": 3, "pattern": 3, "type": 5, "test": 3, "dependency": 5}
-ITEM = ["file", "category", "item_key", "score", "reason", "content"]
+ITEM = ["repo", "file", "category", "item_key", "score", "reason", "content"]
 
 # Items kept per strategy and category; None keeps all.
 STRATEGY_LIMITS = [
@@ -47,16 +47,15 @@ def _says(*parts) -> Column:
 
 
 def keep_best(scored: DataFrame, category: str, max_items: int | None = None) -> DataFrame:
-    """Items that reach the category's least score, best first, up to its limit per file."""
+    """Items that reach the category's least score, best first, up to its limit per file (0 keeps none)."""
     enough = scored.filter(F.col("score") >= MIN_SCORE[category])
-    best = top_per_group(
-        enough, ["file"], [F.col("score").desc(), F.col("item_key")], max_items or MAX_ITEMS[category]
-    )
+    most = MAX_ITEMS[category] if max_items is None else max_items
+    best = top_per_group(enough, ["repo", "file"], [F.col("score").desc(), F.col("item_key")], most)
     return best.withColumn("category", F.lit(category)).select(*ITEM)
 
 
 def import_uses(files: DataFrame, code: str = "content") -> DataFrame:
-    """(file, import_path, names, uses, mentions) of static imports, all within the row of the file.
+    """(repo, file, import_path, names, uses, mentions) of static imports, all within the row of the file.
 
     ``uses`` counts whole-word occurrences of the local names, ``mentions`` the base name of the path.
     """
@@ -75,8 +74,8 @@ def import_uses(files: DataFrame, code: str = "content") -> DataFrame:
 
         return F.transform(find_all(F.col(code), IMPORT_CLAUSE, 0), one)
 
-    rows = open_array(files, [F.col("path").alias("file")], let(find_all(F.col(code), r"\w+", 0), build), "ordinal", "_u")
-    return rows.select("file", "ordinal", "_u.*")
+    rows = open_array(files, ["repo", F.col("path").alias("file")], let(find_all(F.col(code), r"\w+", 0), build), "ordinal", "_u")
+    return rows.select("repo", "file", "ordinal", "_u.*")
 
 
 def score_imports(uses: DataFrame, plain_too: bool = False) -> DataFrame:
@@ -97,7 +96,7 @@ def score_imports(uses: DataFrame, plain_too: bool = False) -> DataFrame:
         (critical, F.lit("critical import")), (u > 3, F.lit("heavily used")),
     )
     return uses.select(
-        "file", "category", F.col("import_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
+        "repo", "file", "category", F.col("import_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
         reason.alias("reason"), F.array_join("names", ", ").alias("content"),
     )
 
@@ -114,7 +113,7 @@ def score_patterns(patterns: DataFrame) -> DataFrame:
         F.when(n > 0, _says(n, " matching concepts")), F.when(s > 0.95, "potential duplicate"),
     )
     return patterns.select(
-        "file", F.col("file_path").alias("item_key"), score.alias("score"), reason.alias("reason"),
+        "repo", "file", F.col("file_path").alias("item_key"), score.alias("score"), reason.alias("reason"),
         F.col("code").alias("content"),
     )
 
@@ -138,7 +137,7 @@ def score_types(types: DataFrame, usage: str | None = None) -> DataFrame:
         (exported, F.lit("exported type")), (wide, F.lit("widely used")),
     )
     return measured.select(
-        "file", F.col("name").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
+        "repo", "file", F.col("name").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
         reason.alias("reason"), F.col("definition").alias("content"),
     )
 
@@ -152,7 +151,7 @@ def score_tests(tests: DataFrame) -> DataFrame:
         (near, F.lit("matching path")), (n > 0, _says(n, " tests")), (covered, _says(c, "% coverage"))
     )
     return tests.select(
-        "file", F.col("test_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
+        "repo", "file", F.col("test_path").alias("item_key"), (F.least(points, F.lit(100)) / 100).alias("score"),
         reason.alias("reason"), F.array_join("tests", "\n").alias("content"),
     )
 
@@ -165,7 +164,7 @@ def score_dependencies(deps: DataFrame) -> DataFrame:
         ", ", _says("depth ", F.col("depth")), F.when(up, "direct dependency").otherwise("dependent")
     )
     return deps.select(
-        "file", F.col("node").alias("item_key"), (points / 100).alias("score"), reason.alias("reason"),
+        "repo", "file", F.col("node").alias("item_key"), (points / 100).alias("score"), reason.alias("reason"),
         F.col("relation").alias("content"),
     )
 
@@ -199,7 +198,7 @@ def _rank_within() -> Column:
     from pyspark.sql import Window
 
     order = [F.col("score").desc(), F.col("item_key")]
-    return F.row_number().over(Window.partitionBy("file", "category").orderBy(*order))
+    return F.row_number().over(Window.partitionBy("repo", "file", "category").orderBy(*order))
 
 
 # ---------------------------------------------------------------- prompt text
@@ -229,31 +228,35 @@ def _by_strategy(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("strategy")]
 
 
-def context_parts(selected: DataFrame, files: DataFrame, strategies: list[str]) -> DataFrame:
-    """Ordered text parts of every prompt: (file, strategy, section, item_rank, part).
+def context_parts(
+    selected: DataFrame, files: DataFrame, strategies: list[str], truncate: dict[str, int | None] = TRUNCATE
+) -> DataFrame:
+    """Ordered text parts of every prompt: (repo, file, strategy, section, item_rank, part).
 
-    Section 0 carries the changed code. Parts stay separate rows, because a strategy may keep a whole
-    dependency list with full file contents; a reader joins them in order.
+    ``truncate``: characters of a similar code shown, per strategy; None shows all. Section 0 carries the
+    changed code. Parts stay separate rows, because a strategy may keep a whole
+    dependency list; a reader joins them in order.
     """
+    cuts = {s: 2**31 - 1 if n is None else n for s, n in truncate.items()}
     place = {(s, c): i + 1 for s, cats in SECTIONS.items() for i, c in enumerate(cats)}
     order = F.create_map(*[x for (s, c), i in place.items() for x in (F.lit(f"{s}/{c}"), F.lit(i))])
     title = F.create_map(*[F.lit(x) for item in TITLES.items() for x in item])
     body = F.when(
-        (F.col("category") == "pattern") & (F.length("content") > _by_strategy(TRUNCATE)),
+        (F.col("category") == "pattern") & (F.length("content") > _by_strategy(cuts)),
         F.concat(F.expr("substring(content, 1, _cut)"), F.lit(MARKER)),
     ).otherwise(F.col("content"))
-    rows = selected.filter(F.col("strategy").isin(strategies)).withColumn("_cut", _by_strategy(TRUNCATE))
+    rows = selected.filter(F.col("strategy").isin(strategies)).withColumn("_cut", _by_strategy(cuts))
     items = rows.select(
-        "file", "strategy", order[F.concat_ws("/", "strategy", "category")].alias("section"), "item_rank",
+        "repo", "file", "strategy", order[F.concat_ws("/", "strategy", "category")].alias("section"), "item_rank",
         F.col("item_key"),
         F.concat(
             F.lit("## "), title[F.col("category")], F.lit(": "), F.col("item_key"), F.lit("\n"), F.coalesce(body, F.lit(""))
         ).alias("part"),
     )
     heads = files.select(
-        "file", F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"), "language", "changed_code"
+        "repo", "file", F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"), "language", "changed_code"
     ).select(
-        "file", "strategy", F.lit(0).alias("section"), F.lit(0).alias("item_rank"), F.lit("").alias("item_key"),
+        "repo", "file", "strategy", F.lit(0).alias("section"), F.lit(0).alias("item_rank"), F.lit("").alias("item_key"),
         F.concat(
             _by_strategy(FOCUS), F.lit("\n# File: "), "file", F.lit("\nLanguage: "), "language", F.lit("\n"), "changed_code"
         ).alias("part"),
@@ -263,7 +266,7 @@ def context_parts(selected: DataFrame, files: DataFrame, strategies: list[str])
 
 def assemble_context(parts: DataFrame) -> DataFrame:
     """One prompt text per file and strategy, for strategies whose limits bound the number of parts."""
-    return parts.groupBy("file", "strategy").agg(
+    return parts.groupBy("repo", "file", "strategy").agg(
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("section", "item_rank", "item_key", "part"))), lambda x: x["part"]
@@ -306,12 +309,12 @@ STACK_NOTES = [
 def enrich_context(
     imports: DataFrame, types: DataFrame, patterns: DataFrame, bundle: DataFrame
 ) -> DataFrame:
-    """All context of all reviewed files as one long table: file, category, item_key, detail."""
+    """All context of all reviewed files as one long table: repo, file, category, item_key, detail."""
     parts = [
-        imports.select("file", F.lit("import").alias("category"), F.col("import_path").alias("item_key"), F.col("uses").cast("string").alias("detail")),
-        types.select("file", F.lit("type").alias("category"), F.col("name").alias("item_key"), F.col("rendered").alias("detail")),
-        patterns.select("file", F.lit("pattern").alias("category"), F.col("file_path").alias("item_key"), F.col("similarity").cast("string").alias("detail")),
-        bundle.select(F.col("root").alias("file"), F.col("relation").alias("category"), F.col("node").alias("item_key"), F.col("depth").cast("string").alias("detail")),
+        imports.select("repo", "file", F.lit("import").alias("category"), F.col("import_path").alias("item_key"), F.col("uses").cast("string").alias("detail")),
+        types.select("repo", "file", F.lit("type").alias("category"), F.col("name").alias("item_key"), F.col("rendered").alias("detail")),
+        patterns.select("repo", "file", F.lit("pattern").alias("category"), F.col("file_path").alias("item_key"), F.col("similarity").cast("string").alias("detail")),
+        bundle.select("repo", F.col("root").alias("file"), F.col("relation").alias("category"), F.col("node").alias("item_key"), F.col("depth").cast("string").alias("detail")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -283,13 +283,15 @@ SNIPPET_NAMES = ["snippet", "summary", "text", "content"]
 TOTAL_NAMES = ["total", "total_count", "totalHits", "count"]
 DURATION_NAMES = ["duration_ms", "duration", "durationMs", "took"]  # letter case of a name does not matter
 LIST_NAMES = ["results", "hits", "items"]
+HIGHLIGHT_NAMES = ["highlights", "matches", "fragments"]
 
 HIT = T.StructType(
     [
         *_object(
-            *REPO_NAMES, *SCORE_NAMES, *CONTENT_NAMES, "file_path", "path", "location", "filename",
+            *REPO_NAMES, *SCORE_NAMES, *CONTENT_NAMES, "file_path", "path", "location", "filename", "name",
             "line_start", "start_line", "startLine", "line_end", "end_line", "endLine",
         ).fields,
+        *[T.StructField(n, T.ArrayType(T.StringType())) for n in HIGHLIGHT_NAMES],
         T.StructField("file", _object("path")),
         T.StructField("start", _object("line")),
         T.StructField("end", _object("line")),
@@ -354,6 +356,11 @@ def normalize_hits(responses: DataFrame, json: str) -> DataFrame:
         F.coalesce(*[_number(h[n]) for n in SCORE_NAMES], F.lit(0.0)).alias("score"),
         F.coalesce(*[h[n] for n in CONTENT_NAMES], F.lit("")).alias("content"),
         F.coalesce(*[h[n] for n in SNIPPET_NAMES], F.lit("")).alias("snippet"),
+        F.coalesce(*[h[n] for n in HIGHLIGHT_NAMES]).alias("highlights"),
+        F.coalesce(h["repo_full_name"], *[h[n] for n in REPO_NAMES], F.col("_repo")).alias("repo_full_name"),
+        F.coalesce(h["filename"], h["name"]).alias("filename"),
+        _number(h["similarity"]).alias("similarity"),
+        "_h.summary",
         "total",
         "duration_ms",
     )
@@ -363,7 +370,7 @@ def build_context(hits: DataFrame) -> DataFrame:
     """Context items: repo, file_path, snippet, score and a range when both ends are known."""
     both = F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
     blank = F.lit("")
-    rest = [c for c in hits.columns if c not in {"repo", "file_path", "snippet", "content", "score", "line_start", "line_end"}]
+    rest = [c for c in hits.columns if c not in {"highlights", "repo_full_name", "filename", "similarity", "summary", "repo", "file_path", "snippet", "content", "score", "line_start", "line_end"}]
     return hits.select(
         *rest,
         F.coalesce("repo", blank).alias("repo"),

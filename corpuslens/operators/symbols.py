@@ -60,8 +60,14 @@ def exports_js(content: Column) -> Column:
     return F.array_distinct(F.concat(names, find_all(content, EXPORT_DECLARATION), default))
 
 
-def signatures_js(content: Column) -> Column:
-    """Short forms of functions, arrow functions, classes, interfaces and type aliases, twenty at most."""
+def signatures_js(
+    content: Column, max_signatures: int | None = MAX_SIGNATURES, alias_chars: int | None = ALIAS_CHARS
+) -> Column:
+    """Short forms of functions, arrow functions, classes, interfaces and type aliases.
+
+    At most ``max_signatures``, with at most ``alias_chars`` characters of an alias; None lifts a limit.
+    """
+    most, chars = (2**31 - 1 if n is None else n for n in (max_signatures, alias_chars))
 
     def prefixed(before, value, after=""):
         return F.when(value != "", F.concat(F.lit(before), value, F.lit(after))).otherwise("")
@@ -87,10 +93,10 @@ def signatures_js(content: Column) -> Column:
             F.lit("interface "), g(1), prefixed("<", g(2), ">"), prefixed(" extends ", g(3)))),
         each(TYPE_ALIAS, lambda m, g: F.concat(
             F.lit("type "), g(1), prefixed("<", g(2), ">"), F.lit(" = "),
-            F.when(F.length(F.trim(g(3))) > ALIAS_CHARS, F.concat(F.substring(F.trim(g(3)), 1, ALIAS_CHARS), F.lit("...")))
+            F.when(F.length(F.trim(g(3))) > chars, F.concat(F.substring(F.trim(g(3)), 1, chars), F.lit("...")))
             .otherwise(F.trim(g(3))))),
     ]
-    return F.slice(F.concat(*groups), 1, MAX_SIGNATURES)
+    return F.slice(F.concat(*groups), 1, most)
 
 
 def test_names(content: Column) -> Column:
@@ -346,51 +352,77 @@ def type_kinds(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("kind").isin(TYPE_KINDS)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-TYPE_BODY = r"(?:export\s+)?(interface|type)\s+(\w+)(?:\s+extends\s+([\w,\s]+?))?\s*=?\s*\{([^}]*)\}"
+TYPE_BODY = r"(?:export\s+)?(interface|type|class)\s+(\w+)(?:<([^>{]*)>)?(?:\s+extends\s+([\w,\s]+?))?(?:\s+implements\s+([\w,\s]+?))?\s*=?\s*\{([^}]*)\}"
+METHOD = r"(\w+)\(([^)]*)\)\s*:\s*([^;,\n{]+)"
 PROPERTY = r"(\w+)(\??)\s*:\s*([^;,\n]+)"
 SHOWN_PROPERTIES = 10
 SHOWN_METHODS = 5
 
 
 def type_definitions(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Interfaces and object types with their properties and a one-line rendering.
+    """Interfaces, object types and classes with their properties, methods and a one-line rendering.
 
     ``keep`` carries further columns of the file along, which saves a join back to it.
     """
     found = open_array(files, ["repo", "path", *keep], find_all(F.col("content"), TYPE_BODY, 0), "ordinal", "_m")
     part = lambda i: F.regexp_extract("_m", TYPE_BODY, i)
     props = F.transform(
-        find_all(part(4), PROPERTY, 0),
+        find_all(F.regexp_replace(part(6), METHOD, ""), PROPERTY, 0),
         lambda p: F.struct(
             F.regexp_extract(p, PROPERTY, 1).alias("name"),
             (F.regexp_extract(p, PROPERTY, 2) == "?").alias("optional"),
             F.trim(F.regexp_extract(p, PROPERTY, 3)).alias("type"),
         ),
     )
-    return found.select(
-        "repo", "path", *keep, "ordinal", part(1).alias("kind"), part(2).alias("name"),
-        F.nullif(F.trim(part(3)), F.lit("")).alias("extends"), F.col("_m").alias("definition"), props.alias("properties"),
-    ).withColumn(
-        "rendered", render_type(F.col("kind"), F.col("name"), F.col("extends"), F.col("properties"))
+    calls = F.transform(
+        find_all(part(6), METHOD, 0),
+        lambda m: F.concat(
+            F.regexp_extract(m, METHOD, 1), F.lit("("), F.regexp_extract(m, METHOD, 2), F.lit("): "),
+            F.trim(F.regexp_extract(m, METHOD, 3)),
+        ),
     )
+    filled = lambda i: F.nullif(F.trim(part(i)), F.lit(""))
+    columns = ["kind", "name", "extends", "properties", "generics", "implements", "methods"]
+    return found.select(
+        "repo", "path", *keep, "ordinal", part(1).alias("kind"), part(2).alias("name"), filled(3).alias("generics"),
+        filled(4).alias("extends"), filled(5).alias("implements"), F.col("_m").alias("definition"),
+        props.alias("properties"), calls.alias("methods"),
+    ).withColumn("rendered", render_type(*[F.col(c) for c in columns]))
 
 
-def render_type(kind: Column, name: Column, extends: Column, properties: Column) -> Column:
-    """``kind name extends base { a: T, b?: U, ... (n more) }`` with at most ten properties."""
+def render_type(
+    kind: Column, name: Column, extends: Column, properties: Column, generics: Column | None = None,
+    implements: Column | None = None, methods: Column | None = None,
+    shown_properties: int | None = SHOWN_PROPERTIES, shown_methods: int | None = SHOWN_METHODS,
+) -> Column:
+    """``kind name<G> extends base implements i { a: T, b?: U, ... (n more) }``.
+
+    Methods are shown where there are no properties. None lifts a limit.
+    """
+    most, most_methods = (2**30 if n is None else n for n in (shown_properties, shown_methods))
     shown = F.transform(
-        F.slice(properties, 1, SHOWN_PROPERTIES),
+        F.slice(properties, 1, most),
         lambda p: F.concat(
             p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(": "),
             F.coalesce(F.nullif(p["type"], F.lit("")), F.lit("any")),
         ),
     )
-    more = F.size(properties) - SHOWN_PROPERTIES
+    more = F.size(properties) - most
     tail = F.when(more > 0, F.concat(F.lit(", ... ("), more.cast("string"), F.lit(" more)"))).otherwise("")
-    body = F.when(
-        F.size(properties) > 0, F.concat(F.lit(" { "), F.array_join(shown, ", "), tail, F.lit(" }"))
-    ).otherwise("")
-    base = F.when(extends.isNotNull(), F.concat(F.lit(" extends "), extends)).otherwise("")
-    return F.concat(kind, F.lit(" "), name, base, body)
+    body = F.when(F.size(properties) > 0, F.concat(F.lit(" { "), F.array_join(shown, ", "), tail, F.lit(" }")))
+    if methods is not None:
+        rest = F.size(methods) - most_methods
+        note = F.when(rest > 0, F.concat(F.lit("; ... ("), rest.cast("string"), F.lit(" more)"))).otherwise("")
+        listed = F.array_join(F.slice(methods, 1, most_methods), "; ")
+        body = body.when(F.size(methods) > 0, F.concat(F.lit(" { "), listed, note, F.lit(" }")))
+
+    def part(before: str, value: Column | None, after: str = "") -> Column:
+        if value is None:
+            return F.lit("")
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value, F.lit(after))).otherwise("")
+
+    heads = [part("<", generics, ">"), part(" extends ", extends), part(" implements ", implements)]
+    return F.concat(kind, F.lit(" "), name, *heads, body.otherwise(""))
 
 
 # Forms of a definition in the order tried, with the characters shown after each.
@@ -404,9 +436,10 @@ DEFINITION_FORMS = [
 ]
 
 
-def _definitions_of(form: int, pattern: str, chars: int) -> Column:
+def _definitions_of(form: int, pattern: str, chars: int | None) -> Column:
+    reach = "*" if chars is None else f"{{0,{chars}}}"
     # a look-ahead consumes nothing, so definitions that lie close together are all found in one pass
-    around = find_all(F.col("content"), f"(?=({pattern}[\\s\\S]{{0,{chars}}}))", 1)
+    around = find_all(F.col("content"), f"(?=({pattern}[\\s\\S]{reach}))", 1)
 
     def row(text, at):
         snippet = F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -418,13 +451,14 @@ def _definitions_of(form: int, pattern: str, chars: int) -> Column:
     return F.transform(around, row)
 
 
-def definitions(files: DataFrame) -> DataFrame:
+def definitions(files: DataFrame, forms: list[tuple[str, int | None]] = DEFINITION_FORMS) -> DataFrame:
     """(repo, path, name, snippet): each defined name once per file, by the first form that has it.
 
+    ``forms`` lists the patterns in the order tried, each with the characters shown after it (None: all).
     All definitions of a file are cut in its own row, so looking up imported names is an equality join.
     """
     every = F.flatten(
-        F.array(*[_definitions_of(i, p, chars) for i, (p, chars) in enumerate(DEFINITION_FORMS)])
+        F.array(*[_definitions_of(i, p, chars) for i, (p, chars) in enumerate(forms)])
     )
     opened = open_array(files, ["repo", "path"], every, "_p", "_d").select("repo", "path", "_d.*")
     return (

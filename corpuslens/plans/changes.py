@@ -240,10 +240,10 @@ QUERIES["changed_files"] = _changed_files
 ORACLE["changed_files"] = with_derived("files", "select repo, path, count(*) as times from worktree group by 1, 2", worktree=WORKTREE)
 
 COMMITS = """
-select concat('file', cast(user_id as varchar(20))) as path, md5(cast(event_id as varchar(20))) as sha, ts,
+select concat('r', cast(event_id % 2 as varchar(20))) as repo, concat('file', cast(user_id as varchar(20))) as path, md5(cast(event_id as varchar(20))) as sha, ts,
   event_type as message, cast(user_id % 7 as varchar(20)) as author from {events}
 """
-QUERIES["file_history"] = lambda spark, sf: D.file_history(run_sql(spark, sf, COMMITS)).select("path", "sha", "message", "author")
+QUERIES["file_history"] = lambda spark, sf: D.file_history(run_sql(spark, sf, COMMITS)).select("repo", "path", "sha", "message", "author")
 ORACLE["file_history"] = with_derived("", """
-select path, sha, message, author from (
-  select *, row_number() over (partition by path order by ts desc, sha) as rn from commits) s where rn <= 10""", commits=COMMITS)
+select repo, path, sha, message, author from (
+  select *, row_number() over (partition by repo, path order by ts desc, sha) as rn from commits) s where rn <= 10""", commits=COMMITS)

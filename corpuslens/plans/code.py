@@ -196,11 +196,14 @@ QUERIES["render_types"] = lambda spark, sf: Y.type_definitions(table(spark, sf,
 )
 ORACLE["render_types"] = with_derived("code_files", rf"""
 with m as (select repo, path, regexp_extract_all(content, {_q(Y.TYPE_BODY)}) as ms from code_files),
-t as (select repo, path, i - 1 as ordinal, regexp_extract(ms[i], {_q(Y.TYPE_BODY)}, ['kind', 'name', 'ext', 'body']) as d from (select *, unnest(range(1, len(ms) + 1)) as i from m) s),
-p as (select *, list_transform(regexp_extract_all(d.body, {_q(Y.PROPERTY)}), lambda x: concat(regexp_extract(x, {_q(Y.PROPERTY)}, 1),
-  regexp_extract(x, {_q(Y.PROPERTY)}, 2), ': ', trim(regexp_extract(x, {_q(Y.PROPERTY)}, 3)))) as ps from t)
-select repo, path, cast(ordinal as int) as ordinal, d.kind as kind, d.name as name, concat(d.kind, ' ', d.name, case when trim(d.ext) <> '' then concat(' extends ', trim(d.ext)) else '' end,
-  case when len(ps) > 0 then concat(' {{ ', array_to_string(ps[1:10], ', '), case when len(ps) > 10 then concat(', ... (', len(ps) - 10, ' more)') else '' end, ' }}') else '' end) as rendered from p""")
+t as (select repo, path, i - 1 as ordinal, regexp_extract(ms[i], {_q(Y.TYPE_BODY)}, ['kind', 'name', 'gen', 'ext', 'imp', 'body']) as d from (select *, unnest(range(1, len(ms) + 1)) as i from m) s),
+p as (select *, list_transform(regexp_extract_all(regexp_replace(d.body, {_q(Y.METHOD)}, '', 'g'), {_q(Y.PROPERTY)}), lambda x: concat(regexp_extract(x, {_q(Y.PROPERTY)}, 1),
+  regexp_extract(x, {_q(Y.PROPERTY)}, 2), ': ', trim(regexp_extract(x, {_q(Y.PROPERTY)}, 3)))) as ps,
+  list_transform(regexp_extract_all(d.body, {_q(Y.METHOD)}), lambda x: concat(regexp_extract(x, {_q(Y.METHOD)}, 1), '(', regexp_extract(x, {_q(Y.METHOD)}, 2), '): ', trim(regexp_extract(x, {_q(Y.METHOD)}, 3)))) as ms from t)
+select repo, path, cast(ordinal as int) as ordinal, d.kind as kind, d.name as name, concat(d.kind, ' ', d.name, case when trim(d.gen) <> '' then concat('<', trim(d.gen), '>') else '' end,
+  case when trim(d.ext) <> '' then concat(' extends ', trim(d.ext)) else '' end, case when trim(d.imp) <> '' then concat(' implements ', trim(d.imp)) else '' end,
+  case when len(ps) > 0 then concat(' {{ ', array_to_string(ps[1:10], ', '), case when len(ps) > 10 then concat(', ... (', len(ps) - 10, ' more)') else '' end, ' }}')
+    when len(ms) > 0 then concat(' {{ ', array_to_string(ms[1:5], '; '), case when len(ms) > 5 then concat('; ... (', len(ms) - 5, ' more)') else '' end, ' }}') else '' end) as rendered from p""")
 
 # ------------------------------------------------------------ resolution and graph
 
@@ -266,20 +269,20 @@ select * from py union all select * from go union all select * from rs""", other
 
 
 def _roots(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("root"))
+    return table(spark, sf, "documents").select(F.concat(F.lit("g"), (F.col("doc_id") % 2).cast("string")).alias("repo"), F.col("doc_id").alias("root"))
 
 
 REACH = """
-walk as (select doc_id as root, doc_id as node, 0 as depth from documents
-  union select w.root, e.{to}, w.depth + 1 from walk w join edges e on e.{fr} = w.node where w.depth < {k})"""
+walk as (select concat('g', doc_id % 2) as repo, doc_id as root, doc_id as node, 0 as depth from documents
+  union select w.repo, w.root, e.{to}, w.depth + 1 from walk w join edges e on e.repo = w.repo and e.{fr} = w.node where w.depth < {k})"""
 QUERIES["upstream_k"] = lambda spark, sf: G.upstream(table(spark, sf, "edges"), _roots(spark, sf), 3)
 ORACLE["upstream_k"] = with_derived("edges", f"""
 with recursive {REACH.format(fr='src', to='dst', k=3)}
-select root, node, min(depth) as depth from walk group by 1, 2 having min(depth) > 0""")
+select repo, root, node, min(depth) as depth from walk group by 1, 2, 3 having min(depth) > 0""")
 QUERIES["downstream_k"] = lambda spark, sf: G.downstream(table(spark, sf, "edges"), _roots(spark, sf), 2)
 ORACLE["downstream_k"] = with_derived("edges", f"""
 with recursive {REACH.format(fr='dst', to='src', k=2)}
-select root, node, min(depth) as depth from walk group by 1, 2 having min(depth) > 0""")
+select repo, root, node, min(depth) as depth from walk group by 1, 2, 3 having min(depth) > 0""")
 
 
 def _file_edges(spark, sf):
@@ -287,10 +290,10 @@ def _file_edges(spark, sf):
 
 
 def _file_roots(spark, sf):
-    return table(spark, sf, "code_files").select(F.col("path").alias("root"))
+    return table(spark, sf, "code_files").select("repo", F.col("path").alias("root"))
 
 
-QUERIES["downstream"] = lambda spark, sf: G.downstream(_file_edges(spark, sf), _file_roots(spark, sf), 1, near=True)
+QUERIES["downstream"] = lambda spark, sf: G.downstream(_file_edges(spark, sf), _file_roots(spark, sf), 1, near=True).select("root", "node", "depth")
 ORACLE["downstream"] = with_derived("code_files", f"""
 with {IMPORTED}
 select distinct resolved as root, path as node, 1 as depth from re
@@ -316,7 +319,7 @@ from tc join test_files t on t.path = tc.t""")
 
 QUERIES["dependency_bundle"] = lambda spark, sf: G.dependency_bundle(
     _file_edges(spark, sf), _tests(spark, sf), _file_roots(spark, sf), 1
-)
+).drop("repo")
 ORACLE["dependency_bundle"] = with_derived("code_files test_files", f"""
 with {IMPORTED}, {TESTS}
 select distinct path as root, 'upstream' as relation, resolved as node, 1 as depth from re where resolved is not null and resolved <> path

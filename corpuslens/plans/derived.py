@@ -183,9 +183,9 @@ from {documents}
 """
 
 DERIVED["edges"] = """
-select doc_id as src, (doc_id * 7 + 1) % (select count(*) from {documents}) as dst from {documents}
+select concat('g', cast(doc_id % 3 % 2 as varchar(20))) as repo, doc_id as src, (doc_id * 7 + 1) % (select count(*) from {documents}) as dst from {documents}
 union
-select doc_id as src, (doc_id * 13 + 5) % (select count(*) from {documents}) as dst from {documents}
+select concat('g', cast(doc_id % 2 as varchar(20))) as repo, doc_id as src, (doc_id * 13 + 5) % (select count(*) from {documents}) as dst from {documents}
 """
 
 # One multi-file unified diff per document: two files, the first with two hunks; the text is the new content.

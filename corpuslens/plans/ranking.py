@@ -62,12 +62,12 @@ def _patterns(spark, sf):
     asked = _queries(spark, sf)
     hits = S.search_each_repo(table(spark, sf, "vectors"), asked, 3)
     names = _code_path(spark, sf)
-    own = asked.join(names, asked["vec_id"] == names["chunk_id"]).select("query_id", F.col("code_path").alias("file"))
+    own = asked.join(names, asked["vec_id"] == names["chunk_id"]).select("query_id", F.lit("main").alias("repo"), F.col("code_path").alias("file"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"))
     return (
-        hits.join(names, "chunk_id").join(own, "query_id").join(docs, "chunk_id")
+        hits.drop("repo").join(names, "chunk_id").join(own, "query_id").join(docs, "chunk_id")
         .filter(F.col("code_path") != F.col("file"))
-        .select("file", F.col("code_path").alias("file_path"), F.col("score").alias("similarity"), (F.col("chunk_id") % 3).alias("concepts"), "code")
+        .select("repo", "file", F.col("code_path").alias("file_path"), F.col("score").alias("similarity"), (F.col("chunk_id") % 3).alias("concepts"), "code")
     )
 
 
@@ -111,7 +111,7 @@ ORACLE["rank_types"] = with_derived("code_files", f"with {TYPES} {_top('ty', 0.3
 def _tests(spark, sf):
     found = G.related_tests(_files(spark, sf), table(spark, sf, "test_files"))
     return found.select(
-        F.col("path").alias("file"), "test_path", "tests", (F.length("path") * 7 % 101).alias("coverage")
+        "repo", F.col("path").alias("file"), "test_path", "tests", (F.length("path") * 7 % 101).alias("coverage")
     )
 
 
@@ -190,7 +190,7 @@ select file, strategy, category, item_key, score from se""")
 
 def _heads(spark, sf):
     return _files(spark, sf).select(
-        F.col("path").alias("file"), P.language_of(F.col("path")).alias("language"), F.col("content").alias("changed_code")
+        "repo", F.col("path").alias("file"), P.language_of(F.col("path")).alias("language"), F.col("content").alias("changed_code")
     )
 
 
@@ -218,7 +218,7 @@ ORACLE["context_parts"] = with_derived("vectors code_files test_files", f"""
 with recursive {ALL_ITEMS}, {PARTS}
 select file, strategy, cast(section as int) as section, cast(item_rank as int) as item_rank, item_key, md5(part) as part_hash from pr""")
 
-QUERIES["assemble_context"] = lambda spark, sf: R.assemble_context(_parts(spark, sf, ["security", "performance"]))
+QUERIES["assemble_context"] = lambda spark, sf: R.assemble_context(_parts(spark, sf, ["security", "performance"])).drop("repo")
 ORACLE["assemble_context"] = with_derived("vectors code_files test_files", f"""
 with recursive {ALL_ITEMS}, {PARTS}
 select file, strategy, string_agg(part, concat(chr(10), chr(10)) order by section, item_rank, item_key) as prompt, count(*) as n_parts

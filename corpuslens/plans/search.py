@@ -118,8 +118,8 @@ select query_id, chunk_id, substr(text, 1, 300) as snippet, coalesce(preview, ''
 RESPONSES = """
 select vec_id as response_id,
   case vec_id % 6
-    when 0 then concat('{"results":[{"repo":"r', S, '","file_path":"a/', S, '.ts","line_start":3,"line_end":"9","score":0.5,"content":"c', S, '"}],"total":7,"duration_ms":12}')
-    when 1 then concat('{"results":[],"hits":[{"repository":"h', S, '","path":"b/', S, '.py","start_line":"4","end_line":8,"similarity":"0.25","text":"t', S, '","summary":"s"}],"took":"31"}')
+    when 0 then concat('{"results":[{"repo":"r', S, '","file_path":"a/', S, '.ts","line_start":3,"line_end":"9","score":0.5,"content":"c', S, '","highlights":["h1","h', S, '"],"name":"n.ts"}],"total":7,"duration_ms":12}')
+    when 1 then concat('{"results":[],"hits":[{"repository":"h', S, '","path":"b/', S, '.py","start_line":"4","end_line":8,"similarity":"0.25","text":"t', S, '","summary":"s","fragments":["f"],"repo_full_name":"o/h"}],"took":"31"}')
     when 2 then concat('{"repo":"fall', S, '","items":[{"file":{"path":"c/', S, '.go"},"startLine":1,"endLine":2,"rank":3,"snippet":"sn"},{"location":"loc', S, '","start":{"line":5},"end":{"line":6},"score_percent":"90","body":"b"}]}')
     when 3 then concat('{"repo_full_name":"o/r', S, '","data":{"results":[],"hits":[{"owner":"own","filename":"f', S, '.rs","range":{"start":10,"end":"20"},"score":"bad","rank":"2"}],"total_count":"5","duration_ms":4},"meta":{"duration_ms":"6"}}')
     when 4 then concat('{"data":{"items":[{"file_path":"z/', S, '.ts","line_start":null,"start_line":7}]},"count":9}')
@@ -129,7 +129,7 @@ from {embeddings}
 
 
 def _normalized(spark, sf):
-    return S.normalize_hits(run_sql(spark, sf, RESPONSES), "body")
+    return S.normalize_hits(run_sql(spark, sf, RESPONSES), "body").withColumn("highlights", F.array_join("highlights", "|"))
 
 
 NORMALIZED = r"""
@@ -148,6 +148,9 @@ norm as (select response_id, cast(ordinal as int) as ordinal,
   coalesce(try_cast(h->>'$.score' as double), try_cast(h->>'$.similarity' as double), try_cast(h->>'$.rank' as double), try_cast(h->>'$.score_percent' as double), 0) as score,
   coalesce(h->>'$.content', h->>'$.text', h->>'$.snippet', h->>'$.summary', h->>'$.body', '') as content,
   coalesce(h->>'$.snippet', h->>'$.summary', h->>'$.text', h->>'$.content', '') as snippet,
+  array_to_string(cast(coalesce(h->'$.highlights', h->'$.matches', h->'$.fragments') as varchar[]), '|') as highlights,
+  coalesce(h->>'$.repo_full_name', h->>'$.repo', h->>'$.repository', h->>'$.owner', j->>'$.repo', j->>'$.repo_full_name') as repo_full_name,
+  coalesce(h->>'$.filename', h->>'$.name') as filename, try_cast(h->>'$.similarity' as double) as similarity, h->>'$.summary' as summary,
   coalesce(try_cast(j->>'$.total' as double), try_cast(j->>'$.total_count' as double), try_cast(j->>'$.totalHits' as double), try_cast(j->>'$.count' as double),
     try_cast(j->>'$.data.total' as double), try_cast(j->>'$.data.total_count' as double), json_array_length(hs)) as total,
   coalesce(try_cast(j->>'$.duration_ms' as double), try_cast(j->>'$.duration' as double), try_cast(j->>'$.durationMs' as double),

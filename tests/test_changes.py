@@ -117,3 +117,9 @@ def test_a_hunk_of_many_lines_is_numbered_in_linear_time(spark):
     for r, mark in zip(sorted(rows), marks, strict=True):
         assert (r.old_no, r.new_no) == (old if mark != "+" else None, new if mark != "-" else None)
         old, new = old + (mark != "+"), new + (mark != "-")
+
+
+def test_methods_count_and_statements_do_not(spark):
+    code = "class A {\n  async load(x) {\n    if (x) {\n    }\n  }\n  static make(): A {\n  }\n}"
+    got = spark.createDataFrame([(code,)], "c string").select(A.complexity_tenths(F.col("c"))).first()[0]
+    assert got == 5 + 2 * 5 + 10

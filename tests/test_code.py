@@ -66,8 +66,9 @@ def test_definitions_close_together(spark):
 def test_reach_is_least_depth(spark):
     rng = random.Random(5)
     edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)} | {(i, 0) for i in range(40)}  # node 0 is a hub
-    df = spark.createDataFrame(list(edges), "src long, dst long")
-    roots = spark.range(40).select(F.col("id").alias("root"))
+    other = [("s", i, i + 1) for i in range(40)]  # another repository with the same names
+    df = spark.createDataFrame([("r", *e) for e in edges] + other, "repo string, src long, dst long")
+    roots = spark.range(40).select(F.lit("r").alias("repo"), F.col("id").alias("root"))
     got = {(r.root, r.node): r.depth for r in G.upstream(df, roots, 3).collect()}
     want = {}
     for root in range(40):
@@ -102,13 +103,13 @@ def test_other_languages(spark):
 
 
 def test_rank_scores(spark):
-    uses = spark.createDataFrame([("f", "./config", ["a"], 4, 2), ("f", "./x", ["b"], 1, 0)], "file string, import_path string, names array<string>, uses int, mentions int")
+    uses = spark.createDataFrame([("r", "f", "./config", ["a"], 4, 2), ("r", "f", "./x", ["b"], 1, 0)], "repo string, file string, import_path string, names array<string>, uses int, mentions int")
     rows = R.keep_best(R.score_imports(uses), "import").collect()
     assert [(r.item_key, r.score, r.reason) for r in rows] == [("./config", 1.0, "used 2 times, 4 direct references, critical import, heavily used")]
-    pats = spark.createDataFrame([("a/x.ts", "a/y.ts", 0.5, 1, "c"), ("a/x.ts", "b/z.ts", 0.96, 0, "c"), ("a/x.ts", "b/q.ts", 0.3, 0, "c")], "file string, file_path string, similarity double, concepts long, code string")
+    pats = spark.createDataFrame([("r", "a/x.ts", "a/y.ts", 0.5, 1, "c"), ("r", "a/x.ts", "b/z.ts", 0.96, 0, "c"), ("r", "a/x.ts", "b/q.ts", 0.3, 0, "c")], "repo string, file string, file_path string, similarity double, concepts long, code string")
     got = {r.item_key: r.score for r in R.keep_best(R.score_patterns(pats), "pattern").collect()}
     assert got == {"a/y.ts": 0.8, "b/z.ts": 0.672}
-    deps = spark.createDataFrame([("f", "u", "upstream", 1), ("f", "d", "downstream", 4), ("f", "d1", "downstream", 1)], "file string, node string, relation string, depth int")
+    deps = spark.createDataFrame([("r", "f", "u", "upstream", 1), ("r", "f", "d", "downstream", 4), ("r", "f", "d1", "downstream", 1)], "repo string, file string, node string, relation string, depth int")
     assert {r.item_key: r.score for r in R.keep_best(R.score_dependencies(deps), "dependency").collect()} == {"u": 1.0, "d1": 0.8}
 
 
@@ -120,3 +121,52 @@ def test_semantic_query_and_comments(spark):
     for r in df.withColumn("got", Y.semantic_query(F.col("code"))).collect():
         assert r.got == r.want
     assert spark.range(1).select(Y.strip_comments(F.lit("a # b\n<!x\ny!>c"), "#", "<!", "!>")).first()[0] == "a \nc"
+
+
+def test_repositories_with_the_same_paths_stay_apart(spark):
+    edges = spark.createDataFrame([("r1", "a", "b"), ("r2", "b", "c")], "repo string, src string, dst string")
+    roots = spark.createDataFrame([("r1", "a"), ("r2", "a"), ("r2", "b")], "repo string, root string")
+    assert {tuple(r) for r in G.upstream(edges, roots, 3).collect()} == {("r1", "a", "b", 1), ("r2", "b", "c", 1)}
+    deps = spark.createDataFrame(
+        [(f"r{i % 2}", "f", f"n{i}", "upstream", 1) for i in range(8)], "repo string, file string, node string, relation string, depth int"
+    )
+    best = R.keep_best(R.score_dependencies(deps), "dependency", 3)
+    assert {r["repo"]: r["count"] for r in best.groupBy("repo").count().collect()} == {"r0": 3, "r1": 3}
+    assert R.keep_best(R.score_dependencies(deps), "dependency", 0).count() == 0
+
+
+def test_register_language(spark):
+    Y.register_language("shout", lambda line: Y._maybe(line.startswith("DEF "), Y._symbol("function", F.substring(line, 5, 100))))
+    try:
+        files = spark.createDataFrame([("r", "p", "DEF one\nx\nDEF two")], FILES)
+        assert [(r.line, r.name) for r in Y.symbol_rows(files, "shout").orderBy("line").collect()] == [(1, "one"), (3, "two")]
+    finally:
+        del Y.LINE_RULES["shout"]
+
+
+def test_type_rendering(spark):
+    code = (
+        "interface Box<T, U> extends Base, Other { a: T; b?: U }\nexport class Car<W> extends Auto implements Fast, Red { }\n"
+        "interface Api { get(id: string): Item; put(x: Item): void }\ntype P = { " + "; ".join(f"p{i}: T{i}" for i in range(12)) + " }"
+    )
+    files = spark.createDataFrame([("r", "p", code)], FILES)
+    got = [r.rendered for r in Y.type_definitions(files).orderBy("ordinal").collect()]
+    assert got[:3] == [
+        "interface Box<T, U> extends Base, Other { a: T, b?: U }", "class Car<W> extends Auto implements Fast, Red",
+        "interface Api { get(id: string): Item; put(x: Item): void }",
+    ]
+    assert got[3].endswith("p9: T9, ... (2 more) }")
+    all_of_it = Y.type_definitions(files).select(
+        Y.render_type(*[F.col(c) for c in ("kind", "name", "extends", "properties")], shown_properties=None).alias("r")
+    )
+    assert any(r.r.endswith("p11: T11 }") for r in all_of_it.collect())
+
+
+def test_limits_are_arguments(spark):
+    code = "\n".join(f"function f{i}(a) {{ return {i} }}" for i in range(30))
+    df = spark.createDataFrame([(code,)], "c string")
+    assert len(df.select(Y.signatures_js(F.col("c"))).first()[0]) == 20
+    assert len(df.select(Y.signatures_js(F.col("c"), None, None)).first()[0]) == 30
+    files = spark.createDataFrame([("r", "p", "enum E {" + "x, " * 400 + "}")], FILES)
+    whole = Y.definitions(files, [(form, None) for form, _ in Y.DEFINITION_FORMS]).first()
+    assert whole.snippet.endswith("}") and not Y.definitions(files).first().snippet.endswith("}")
