@@ -173,6 +173,71 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from marked group by doc_id
 """
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_RATES = {
+    "symbol_rate": ("n_symbols", "n_words"), "length_rate": ("word_chars", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "repeat_rate": ("n_repeat_words", "n_words"), "upper_rate": ("n_upper", "word_chars"),
+}
+
+
+def _fences(keys: list[str]) -> str:
+    """The fences of every rate in each group of a sketch table, as DuckDB text."""
+    by = ", ".join([*keys, "rate"])
+    spread = " ".join(f"when '{k}' then {v}" for k, v in quality.LEAST_SPREAD.items())
+    at = lambda q: f"min(case when 4 * upto >= {q} * total then bucket end)"
+    return f"""(
+    select {by}, max(total) as n_docs, greatest({at(3)} + {quality.FENCE_WIDTH} * ({at(3)} - {at(1)}), {at(2)} + case rate {spread} end) as fence
+    from (select *, sum(n) over (partition by {by} order by bucket) as upto, sum(n) over (partition by {by}) as total
+      from (select {by}, bucket, sum(n) as n from sketch group by {by}, bucket) m) r group by {by})"""
+
+
+ORACLE["op4_adaptive_quality"] = f"""
+with text_of as (select doc_id, lang, source, coalesce(text, '') as text, {_WORDS} as w from documents),
+lined as (
+  select *, list_filter(string_split(text, chr(10)), lambda x: trim(x, {SPACES_SQL}) <> '') as ls from text_of
+),
+gram as (
+  select doc_id, i, array_to_string(w[i:i + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from text_of where len(w) >= 5) x
+),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as times from gram) x where times > 1),
+covered as (
+  select doc_id, count(distinct k) as n_repeat_words
+  from (select doc_id, unnest(range(i, i + 5)) as k from twice) x group by doc_id
+),
+counted as (
+  select doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(ls) as n_lines,
+    len(ls) - len(list_distinct(ls)) as n_dup_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) as n_upper,
+    coalesce(n_repeat_words, 0) as n_repeat_words
+  from lined left join covered using (doc_id)
+),
+rated as (
+  {" union all ".join(f"select doc_id, lang, source, '{k}' as rate, 1000 * {a} // nullif({b}, 0) as value from counted" for k, (a, b) in _RATES.items())}
+),
+sketch as (
+  select lang, source, 1 as every, rate, value - value % cast(pow(2, greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0)) as bigint) as bucket,
+    count(*) as n
+  from rated where value is not null group by all
+),
+own as {_fences(["lang", "source"])}, wide as {_fences(["lang"])}, whole as {_fences(["every"])},
+groups as (select lang, source, max(n_docs) as n_own from own group by 1, 2),
+langs as (select lang, max(n_docs) as n_lang from wide group by 1),
+outside as (
+  select distinct r.doc_id from rated r
+  join groups g on r.lang is not distinct from g.lang and r.source is not distinct from g.source
+  join langs l on r.lang is not distinct from l.lang
+  left join own o on o.rate = r.rate and o.lang is not distinct from r.lang and o.source is not distinct from r.source
+  left join wide i on i.rate = r.rate and i.lang is not distinct from r.lang
+  left join whole a on a.rate = r.rate
+  where r.value > case when n_own >= {quality.LEAST_DOCS} then o.fence when n_lang >= {quality.LEAST_DOCS} then i.fence else a.fence end
+),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
+  not base_failed and doc_id not in (select doc_id from outside) as kept
+from judged
+"""
+
 ORACLE["op5_star_minhash"] = f"""
 with recursive word as (
   select doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w
