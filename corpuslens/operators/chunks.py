@@ -93,6 +93,21 @@ def chunks_of(content: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return let(let(F.split(content, "\n"), cut), drop_blank_tail)
 
 
+def chunk_count(content: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Number of chunks of a text, from the line lengths alone: no chunk text is built."""
+
+    def count(lines):
+        def without_blank_tail(ranges):
+            n = F.size(ranges)
+            last = F.get(ranges, n - 1)
+            tail = F.slice(lines, last["first"] + 1, last["last"] - last["first"] + 1)
+            return n - F.when((n > 0) & ~F.exists(tail, lambda x: x.rlike(r"\S")), 1).otherwise(0)
+
+        return let(chunk_ranges(lines, size, overlap), without_blank_tail)
+
+    return let(F.split(content, "\n"), count)
+
+
 def chunk_id(path: Column, index: Column) -> Column:
     return F.concat(path, F.lit("::chunk-"), index.cast("string"))
 

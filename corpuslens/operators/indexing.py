@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.let import open_array
 from corpuslens.functions.windows import join_null_safe, position_in_group
-from corpuslens.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, chunk_id
-from corpuslens.operators.chunks import chunks_of
+from corpuslens.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_count, chunk_files, chunk_id
 
 KEY = ["repo", "path"]
 
@@ -47,7 +46,7 @@ def with_content(files: DataFrame) -> DataFrame:
 
 def build_manifest(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per indexed file: its hash and the ids of its chunks, computed within the row."""
-    count = F.size(chunks_of(F.col("content"), size, overlap))
+    count = chunk_count(F.col("content"), size, overlap)
     ids = F.when(
         F.col("n_chunks") > 0,
         F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda k: chunk_id(F.col("path"), k)),
