@@ -20,8 +20,9 @@ def whole_text(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z in lower case, every other character as it is; ASCII text takes the built-in's fast path."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def words_of(text: Column) -> Column:

@@ -184,7 +184,7 @@ def stream_runs(sorted_lines: DataFrame, min_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_LINE_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, row_key, pos) of every line that goes."""
     order = [F.col("h"), F.col("g"), F.col("doc_id").desc_nulls_last()]
-    lines = long_lines(docs, min_chars)
+    lines = written(long_lines(docs, min_chars), "long-lines")  # else the sampling of ranges reads the texts again
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order, "row_key", "pos")
     found = written(stream_runs(dealt, min_docs), "line-runs")
     sums = (
@@ -197,7 +197,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_LINE_CHARS, min_docs: in
     opened = (
         found.filter("kind = 'open'")
         .drop("n_docs")
-        .join(sums, ["h", "g"])
+        .join(F.broadcast(sums), ["h", "g"])  # at most two rows a partition of the stream
         .filter(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
     )
     return settled.unionByName(opened.select("doc_id", "row_key", "pos"))
