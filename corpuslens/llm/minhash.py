@@ -9,9 +9,9 @@
 4. In each bucket the smallest node is the star centre: only (centre, member) pairs are made. They are
    confirmed on the full shingle sets. First each member meets its most frequent centre, then the others
    unless both are in one component by then.
-5. A member that is not in its centre's component may still be near another member. Where a bucket still
-   holds several components, its next nodes become centres, twice as many in each round, until every pair of
-   the bucket is compared or in one component. Nothing is capped.
+5. A member that is not in its centre's component may still be near another member. Where the other members
+   of a bucket lie in several components, they are cut into blocks that meet pairwise, and compared there; no
+   row per pair is made, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -132,17 +133,19 @@ def sketches(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``texts``: (node, n, text).
+def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(ca, cb): the components that pairs (a, b) join whose full shingle sets are similar enough.
 
-    Pairs whose sizes alone rule them out are dropped before any text moves.
+    Pairs in one component already, and those whose sizes alone rule them out, are dropped before any text
+    moves. ``nodes``: (node, n, comp); ``texts``: (node, text).
     """
-    sizes = texts.select("node", "n")
+    of = lambda side: nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "comp")])
     fitting = (
-        pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b")
+        pairs.join(of("a"), F.col("a") == F.col("node_a"))
+        .join(of("b"), F.col("b") == F.col("node_b"))
+        .filter("comp_a <> comp_b")
+        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .select("a", "b", F.col("comp_a").alias("ca"), F.col("comp_b").alias("cb"))
     )
     with_b = fitting.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -159,9 +162,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE_WORDS, perce
                 other = shingle_set(tb[i].as_py(), size)
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 good[i] = 100 * common >= percent * (len(own) + len(other) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["ca", "cb"]).filter(pa.array(good))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(walk, "a long, b long")
+    return both.select("a", "ta", "tb", "ca", "cb").mapInArrow(walk, "ca long, cb long")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -186,73 +189,101 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return written(spread.join(shared, "bucket"), "shared-buckets")
 
 
+BLOCK_NODES = 512  # nodes of a bucket in one block
+
+
 def link(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, comp) of every node that shares a bucket with another."""
     buckets = shared_buckets(classes)
-    nodes = buckets.select("node").distinct()
-    holders = classes.join(nodes, "node").select(
-        "node", "n", F.col("holder.doc_id").alias("_id"), F.col("holder.row_key").alias("_key")
-    )
+    shared = buckets.select("node").distinct()
+    holders = written(classes.join(shared, "node").select("node", "n", "holder"), "candidates")
+    nodes = holders.select("node", "n", F.col("node").alias("comp"))
+    wanted = holders.select("node", F.col("holder.doc_id").alias("_id"), F.col("holder.row_key").alias("_key"))
     same = (text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    found = docs.select("doc_id", "text").join(holders, same)
-    one = found.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))  # repeated rows
-    texts = written(one.withColumn("text", F.col("text").cast("binary")), "candidate-texts")
-    labels = written(nodes.select("node", F.col("node").alias("comp")), "component-labels")
+    found = docs.select("doc_id", "text").join(wanted, same)
+    texts = written(found.groupBy("node").agg(F.first(F.col("text").cast("binary")).alias("text")), "candidate-texts")
 
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
     stars = buckets.withColumnRenamed("node", "b").join(centres, "bucket").filter("a <> b")
-    stars = written(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "star-edges")
+    counted = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    ranked = stars.withColumn("turn", F.row_number().over(best))
-    for turn in (F.col("turn") == 1, F.col("turn") > 1):
-        pairs = apart(ranked.filter(turn).select("a", "b"), labels)
-        labels = merge_labels(labels, written(confirm(pairs, texts, size, percent), "links"))
-
-    done, step = 1, 1  # centres that every bucket has had, and those of the next round
-    while True:
-        buckets = unsettled(buckets, labels, done)
-        if buckets.isEmpty():
-            return labels
-        own = buckets.filter(F.col("place") <= done + step)
-        others = buckets.select("bucket", F.col("node").alias("b"), F.col("place").alias("later"), F.col("comp").alias("cb"))
-        pairs = (
-            own.join(others, "bucket")
-            .filter((F.col("place") < F.col("later")) & (F.col("comp") != F.col("cb")))
-            .select(F.col("node").alias("a"), "b")
-            .distinct()
-        )
-        labels = merge_labels(labels, written(confirm(pairs, texts, size, percent), "links"))
-        done, step = done + step, 2 * step
-
+    ranked = written(counted.withColumn("turn", F.row_number().over(best)), "star-edges")
+    for turn in ("turn = 1", "turn > 1"):
+        nodes = merge_labels(nodes, confirm(ranked.filter(turn).select("a", "b"), nodes, texts, size, percent))
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
-    return (
-        pairs.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-        .join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        .filter("ca <> cb")
-        .select("a", "b")
-    )
+    return merge_labels(nodes, compare_rest(buckets, nodes, texts, size, percent)).select("node", "comp")
 
 
-def unsettled(buckets: DataFrame, labels: DataFrame, done: int) -> DataFrame:
-    """(bucket, node, place, comp) of the buckets whose nodes after the first ``done`` lie in several components.
+def compare_rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(ca, cb): links among the nodes of a bucket that are not its centre and lie in several components.
 
-    Buckets that are settled by sums (smallest and largest component) never reach the window that numbers
-    the rest.
+    Such a bucket is cut into blocks by a hash, and every two blocks meet in one task, so what moves is nodes
+    times blocks and never a row per pair. A pair is compared in the first bucket that its nodes share, and
+    only while the two are in different components there. Buckets that the stars have settled take no part.
     """
-    now = buckets.drop("comp").join(labels, "node")
-    several = (
-        now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    )
-    rest = now.join(several, "bucket")
-    if "place" not in buckets.columns:
-        rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    rest = rest.filter(F.col("place") > done)
+    now = buckets.join(nodes, "node")
+    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"))
+    others = now.join(centres, "bucket").filter("node <> centre")
     open_ones = (
-        rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+        others.groupBy("bucket")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+        .filter("lo <> hi")
+        .select("bucket", F.ceil(F.col("members") / BLOCK_NODES).cast("int").alias("blocks"))
+    )
+    rest = written(
+        others.join(open_ones, "bucket").select(
+            "bucket", "node", "n", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        ),
+        "unsettled-buckets",
     )
-    return written(rest.join(open_ones, "bucket").select("bucket", "node", "place", "comp"), "unsettled-buckets")
+    known = rest.groupBy("node").agg(F.collect_set("bucket").alias("own")).join(texts, "node")  # a bucket a band at most
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = (
+        rest.select("bucket", "node", "n", "comp", "block", every.alias("other"))
+        .withColumn("x", F.least("block", "other"))
+        .withColumn("y", F.greatest("block", "other"))
+        .select("bucket", "x", "y", "block", "node", "n", "comp")
+    )
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        return compare_blocks(pdf, size, percent)
+
+    return cells.join(known, "node").groupBy("bucket", "x", "y").applyInPandas(meet, "ca long, cb long")
+
+
+def compare_blocks(pdf: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    """Links between two blocks of a bucket (or within one), at most one for each two components joined here."""
+    bucket, x, y = int(pdf["bucket"].iat[0]), int(pdf["x"].iat[0]), int(pdf["y"].iat[0])
+    own = [frozenset(b) for b in pdf["own"]]
+    n, comp, block = (pdf[c].to_numpy() for c in ("n", "comp", "block"))
+    texts, sets = pdf["text"].to_numpy(), {}
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], size)
+        return sets[i]
+
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    found = []
+    for i in left:
+        near = right[right > i] if x == y else right
+        fits = (comp[near] != comp[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))
+        for j in near[fits]:
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a == b or min(own[i] & own[j]) != bucket:
+                continue
+            one, two = shingles(i), shingles(j)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * common >= percent * (len(one) + len(two) - common):
+                parent[b] = a
+                found.append((int(comp[i]), int(comp[j])))
+    return pd.DataFrame({"ca": [f[0] for f in found], "cb": [f[1] for f in found]}, dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -57,7 +57,7 @@ def test_minima_borrow_only_for_empty_bins():
 
 def test_merge_labels_on_a_long_path(spark):
     nodes = spark.createDataFrame([(i, i) for i in range(60)], "node long, comp long")
-    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "ca long, cb long")
     found = {r.node: r.comp for r in merge_labels(nodes, edges).collect()}
     assert {found[i] for i in range(40)} == {0} and all(found[i] == i for i in range(40, 60))
 
