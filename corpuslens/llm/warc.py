@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.let import let
 from corpuslens.llm.common import whole_text
 
 BLANK = r"[ \t\r\n\x0B\f]"
@@ -55,7 +56,8 @@ def unescaped(text: Column) -> Column:
         whole = F.concat(F.lit("&"), part)
         return F.when(i == 0, part).when(name == "", whole).otherwise(F.coalesce(F.concat(found, rest), whole))
 
-    return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(F.split(text, "&"), one), ""))
+    # bound once: the text is a chain of replacements, and it is read several times here
+    return let(text, lambda t: F.when(~F.contains(t, F.lit("&")), t).otherwise(F.array_join(F.transform(F.split(t, "&"), one), "")))
 
 
 def tidy(text: Column) -> Column:
