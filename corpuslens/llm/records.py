@@ -5,7 +5,7 @@ A record is framed as
     length (8 bytes) | masked CRC-32C of the length (4) | payload | masked CRC-32C of the payload (4)
 
 all little-endian, as TFRecord readers expect. The payload is one flag word (1: the id is null), the doc_id
-and the ids as unsigned 32-bit integers. Beside each shard file stands its index, one fixed-size entry a
+and the ids as unsigned integers of 2 bytes, or 4 if the vocabulary needs them; the manifest names the width. Beside each shard file stands its index, one fixed-size entry a
 record (byte offset, length, flag, doc_id, ids before it in the shard, number of ids), so records can be read
 in any order.
 
@@ -16,34 +16,38 @@ file. The folder lies in the shared folder of the cluster.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.checksums import crc32c, masked
 from corpuslens.llm.common import new_folder, text_key, written
+from corpuslens.llm.tokens import byte_letters
 
-CACHE_CHUNKS = 300_000  # of one worker, twice at most
+CACHE_CHUNKS = 500_000  # of one worker, twice at most
 HEAD = 16  # bytes of a payload before the ids
 FRAME = 16  # bytes of a frame around a payload
 INDEX_ENTRY = np.dtype(
     [("offset", "<i8"), ("length", "<i8"), ("flag", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("n_ids", "<i8")]
 )
-MANIFEST = "shard int, data string, entries string, n_records long, n_ids long, n_bytes long"
-PLAIN_WORD = regex.compile(r"([a-z]+)([.,;:!?]*)")
+MANIFEST = "shard int, data string, entries string, n_records long, n_ids long, n_bytes long, width int"
+LAST_LATIN = "\u024f"
+MARKS = string.punctuation.replace("'", "")  # after a word they are one piece
 
 
 class ChunkEncoder:
     """Ids of texts by a vocabulary that drops white space, so that the chunks between spaces stand alone.
 
-    Chunks are encoded by the tokenizer library once and kept in a bounded cache. A plain ASCII word and the
-    punctuation after it are separate pieces for such a vocabulary, and case does not count.
+    A chunk is encoded by the tokenizer library once and kept in a bounded cache. For a Latin word with
+    ASCII marks after it, the library's normalizing and splitting is known (one lower-case word, one run of
+    punctuation), so its model encodes the two pieces directly; any other chunk takes the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -51,38 +55,49 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that the caches lack."""
-        parts = {}
-        for chunk in chunks:
-            plain = PLAIN_WORD.fullmatch(chunk.lower()) if chunk.isascii() else None
-            parts[chunk] = [p for p in plain.groups() if p] if plain else [chunk]
-        if len(self.words) > CACHE_CHUNKS:
-            self.words = {}
-        missing = list({p for found in parts.values() for p in found} - self.words.keys())
-        self.words.update(zip(missing, self._encode(missing), strict=True))
-        return {chunk: b"".join([self.words[p] for p in found]) for chunk, found in parts.items()}
+        self.young_pieces: dict[str, bytes] = {"": b""}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.young_pieces.get(piece)
+        if found is None:
+            found = self.old_pieces.get(piece)
+            if found is None:
+                letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                found = np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+            if len(self.young_pieces) >= CACHE_CHUNKS:
+                self.old_pieces, self.young_pieces = self.young_pieces, {"": b""}
+            self.young_pieces[piece] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+            word = low.rstrip(MARKS)
+            if not word or (word.isalpha() and max(word) <= LAST_LATIN):
+                found = self._piece(word) + self._piece(low[len(word) :])
+            else:
+                found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self.young) >= CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = found
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        known = {}
-        for chunks in split:
-            for chunk in set(chunks) - known.keys():
-                known[chunk] = self.young.get(chunk) or self.old.get(chunk)
-        known.update(self._learn([chunk for chunk, ids in known.items() if ids is None]))
-        if len(self.young) + len(known) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        if len(known) <= CACHE_CHUNKS:
-            self.young.update(known)
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        out = []
+        for text in texts:
+            chunks = text.replace("\n", " ").split(" ")
+            found = list(map(self.young.get, chunks))
+            if None in found:
+                found = [self.young.get(c) or self._chunk(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+            out.append(b"".join(found))
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -134,7 +149,8 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(path), np.uint32(end_id).astype("<u4").tobytes()
+        own = encoder(path)
+        last, width = np.array([end_id], own.kind).tobytes(), np.dtype(own.kind).itemsize
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         name = f"{root}/part-{task.partitionId():06d}"
@@ -152,7 +168,7 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
                     block, lengths = frame([h + i for h, i in zip(heads, ids, strict=True)])
                     out.write(block)
                     entries = np.zeros(len(ids), INDEX_ENTRY)
-                    entries["length"], entries["n_ids"] = lengths, [len(i) // 4 for i in ids]
+                    entries["length"], entries["n_ids"] = lengths, [len(i) // width for i in ids]
                     entries["offset"] = offset + np.cumsum(lengths) - lengths
                     entries["start"] = start + np.cumsum(entries["n_ids"]) - entries["n_ids"]
                     entries["flag"], entries["doc_id"] = [d is None for d in doc_ids[part]], [d or 0 for d in doc_ids[part]]
@@ -163,11 +179,11 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
             out.write(entries.tobytes())
         for ending in ("rec", "idx"):
             fs.move(f"{mine}.{ending}.tmp", f"{name}.{ending}")
-        row = [task.partitionId(), f"{name}.rec", f"{name}.idx", len(entries), start, offset]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        row = [task.partitionId(), f"{name}.rec", f"{name}.idx", len(entries), start, offset, width]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([v], k) for v, k in zip(row, kinds, strict=True)],
-            names=["shard", "data", "entries", "n_records", "n_ids", "n_bytes"],
+            names=["shard", "data", "entries", "n_records", "n_ids", "n_bytes", "width"],
         )
 
     order = F.col("doc_id").asc_nulls_last()
@@ -188,14 +204,14 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                     index = np.frombuffer(source.read(), INDEX_ENTRY)
                 with fs.open_input_file(shard["data"]) as source:
                     for part in _batches(index["length"], READ_BYTES):
-                        yield _rows(source, index[part], shard["base"])
+                        yield _rows(source, index[part], shard["base"], shard["width"])
 
     dealt = placed.repartition(F.col("shard"))
     return dealt.mapInArrow(walk, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def _rows(source, entries: np.ndarray, base: int) -> pa.RecordBatch:
-    """Rows of consecutive index entries."""
+def _rows(source, entries: np.ndarray, base: int, width: int) -> pa.RecordBatch:
+    """Rows of consecutive index entries; ids come as 32-bit integers whatever their width in the file."""
     first = int(entries["offset"][0])
     block = source.read_at(int(entries["length"].sum()), first)
     payloads = unframe(block, entries["offset"] - first, entries["length"])
@@ -204,14 +220,14 @@ def _rows(source, entries: np.ndarray, base: int) -> pa.RecordBatch:
         [
             pa.array(heads[:, 1], mask=heads[:, 0] == 1),
             pa.array(entries["start"] + base),
-            pa.array([len(p) // 4 - HEAD // 4 for p in payloads], pa.int64()),
-            pa.array([p[HEAD:] for p in payloads], pa.binary()),
+            pa.array([(len(p) - HEAD) // width for p in payloads], pa.int64()),
+            pa.array([np.frombuffer(p, f"<u{width}", offset=HEAD).astype("<u4").tobytes() for p in payloads], pa.binary()),
         ],
         names=["doc_id", "start", "n_tokens", "ids"],
     )
 
 
-def read_at(folder: str, data: str, entries: str, picks: list[int]) -> list[tuple[int | None, np.ndarray]]:
+def read_at(folder: str, data: str, entries: str, picks: list[int], width: int) -> list[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of some records of a shard, in the order asked for: one small read a record."""
     fs, _ = pafs.FileSystem.from_uri(folder)
     with fs.open_input_stream(entries) as source:
@@ -222,7 +238,7 @@ def read_at(folder: str, data: str, entries: str, picks: list[int]) -> list[tupl
             offset, length = int(index["offset"][k]), int(index["length"][k])
             (payload,) = unframe(source.read_at(length, offset), np.array([0]), np.array([length]))
             flag, doc_id = np.frombuffer(payload[:HEAD], "<i8")
-            found.append((None if flag else int(doc_id), np.frombuffer(payload[HEAD:], "<u4")))
+            found.append((None if flag else int(doc_id), np.frombuffer(payload[HEAD:], f"<u{width}").astype("<u4")))
     return found
 
 

@@ -30,7 +30,7 @@ PIECE = regex.compile(public_tokenizers.PATTERN)
 UNIT = regex.compile(r"\s*(?:(?<! )'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable character that byte-level vocabularies write for each byte, and its byte."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     letters = {chr(b): b for b in plain}
@@ -45,7 +45,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
-        letters = _byte_letters()
+        letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items()}
         self.special = [t["content"] for t in spec["added_tokens"]]
         special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))

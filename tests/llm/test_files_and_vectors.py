@@ -67,13 +67,13 @@ def test_caches_stay_bounded(monkeypatch):
         len(e.ids) for e in Tokenizer.from_file(BYTES).encode_batch(many, add_special_tokens=False)
     ]
     assert max(map(len, (counter.young, counter.old, counter.young_chunks, counter.old_chunks))) <= 50
-    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(many, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(many, add_special_tokens=False)]
     assert [encoder.ids([t])[0] for t in many] == want and len(encoder.young) <= 50
 
 
 def test_chunk_ids_equal_the_library():
     found = [*texts(800, 9), "<|endoftext|> x", "a<|startoftext|>", "ΣΑΣ Σ", "İ I"]
-    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(found, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(found, add_special_tokens=False)]
     assert records.encoder(WORDS).ids(found) == want
 
 
@@ -102,7 +102,7 @@ def test_record_files_round_trip(spark):
     shard = manifest.orderBy(F.desc("n_records")).first()
     picks = [shard.n_records - 1, 0, shard.n_records // 2]
     base = sum(r.n_records for r in manifest.collect() if r.shard < shard.shard)
-    for k, (doc_id, ids) in zip(picks, records.read_at(folder, shard.data, shard["entries"], picks), strict=True):
+    for k, (doc_id, ids) in zip(picks, records.read_at(folder, shard.data, shard["entries"], picks, shard.width), strict=True):
         assert doc_id == got[base + k].doc_id and ids.tobytes() == got[base + k].ids
     empty = records.round_trip(spark, docs(spark, []), WORDS)
     assert empty.count() == 0
