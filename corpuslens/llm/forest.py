@@ -93,7 +93,7 @@ def nearest_in_shard(shard: pd.DataFrame, queries: pd.DataFrame, k: int, trees:
     vectors = np.stack(shard["vector"].to_numpy()).astype(np.float64)
     points = np.stack(queries["vector"].to_numpy()).astype(np.float64)
     forest = Forest(vectors, trees, LABEL_BITS, SEED)
-    least = max(4 * k, int(np.ceil(share * len(vectors))))
+    least = max(trees * k, int(np.ceil(share * len(vectors))))  # k a tree at least, so small shards are searched whole
     ids = shard["ids"].to_numpy()
     lengths = np.array([len(x) for x in ids])
     flat, starts = np.concatenate(ids), np.cumsum(lengths) - lengths
