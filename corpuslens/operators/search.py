@@ -59,8 +59,9 @@ class TopHits:
             if kind in self.groups:
                 found += self._score(rows, *self.groups[kind])
         self.best = pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)
-        if not self.per_repo and len(self.best) > self.most:
+        if len(self.best) > self.most:
             self.best = self.cut()
+            self.most = max(self.most, 2 * len(self.best))
 
     def cut(self) -> pd.DataFrame:
         keys = ["query_id", "repo"] if self.per_repo else ["query_id"]
@@ -74,14 +75,18 @@ class TopHits:
         chunk, path = rows["chunk_id"].to_numpy(), rows["file_path"].to_numpy()
         sections = [np.flatnonzero(repo == r) for r in range(repo.max() + 1)] if self.per_repo else [np.arange(len(rows))]
         step = max(1, SCORE_CELLS // len(rows))
+        places, asked, scores = [], [], []
         for lo in range(0, len(ids), step):
             block = np.round(vectors @ unit[lo : lo + step].T, SCORE_DIGITS)
             for j in range(block.shape[1]):
                 for section in sections:
                     picks = self._first(block[section, j], chunk[section], repo[section], path[section], current[lo + j])
                     at = section[picks]
-                    hits = rows.iloc[at][["repo", "chunk_id", "file_path"]]
-                    yield hits.assign(query_id=ids[lo + j], score=block[at, j])[HIT_COLUMNS]
+                    places.append(at)
+                    asked.append(np.full(len(at), lo + j))
+                    scores.append(block[at, j])
+        hits = rows.iloc[np.concatenate(places)][["repo", "chunk_id", "file_path"]]
+        yield hits.assign(query_id=ids[np.concatenate(asked)], score=np.concatenate(scores))[HIT_COLUMNS]
 
     def _first(self, score, chunk, repo, path, current) -> np.ndarray:
         """Places of the k best: a partial selection, widened only while the queried file takes places."""

@@ -13,7 +13,7 @@ from corpuslens.operators import symbols as Y
 from corpuslens.plans import code as C
 from corpuslens.plans.corpus import MARKER_SQL, ROOT_FILES
 from corpuslens.plans.derived import run_sql, table, with_derived
-from corpuslens.plans.search import QUERY_SQL, SCORED, _queries
+from corpuslens.plans.search import QUERY_SQL, SCORED
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -58,16 +58,22 @@ def _code_path(spark, sf):
 
 
 def _patterns(spark, sf):
-    """Search hits as patterns: the queried file, the file found, its similarity and text."""
-    asked = _queries(spark, sf)
-    hits = S.search_each_repo(table(spark, sf, "vectors"), asked, 3)
+    """Similar code of every file that has a vector: the file, the file found, its similarity and text.
+
+    Three of each repository; the file itself is left out while scoring, so three come back where there are three.
+    """
     names = _code_path(spark, sf)
-    own = asked.join(names, asked["vec_id"] == names["chunk_id"]).select("query_id", F.lit("main").alias("repo"), F.col("code_path").alias("file"))
+    vectors = (
+        table(spark, sf, "vectors").join(names, "chunk_id")
+        .select("repo", "chunk_id", F.col("code_path").alias("file_path"), "embedding")
+    )
+    asked = vectors.select(F.col("chunk_id").alias("query_id"), F.col("file_path").alias("current_file"), "embedding")
+    hits = S.search_each_repo(vectors, asked, 3)
+    own = names.select(F.col("chunk_id").alias("query_id"), F.lit("main").alias("repo"), F.col("code_path").alias("file"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"))
     return (
-        hits.drop("repo").join(names, "chunk_id").join(own, "query_id").join(docs, "chunk_id")
-        .filter(F.col("code_path") != F.col("file"))
-        .select("repo", "file", F.col("code_path").alias("file_path"), F.col("score").alias("similarity"), (F.col("chunk_id") % 3).alias("concepts"), "code")
+        hits.drop("repo").join(own, "query_id").join(docs, "chunk_id")
+        .select("repo", "file", "file_path", F.col("score").alias("similarity"), (F.col("chunk_id") % 3).alias("concepts"), "code")
     )
 
 
