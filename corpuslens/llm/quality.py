@@ -30,6 +30,9 @@ LEAST_SPREAD = {
     "upper_rate": 250,  # capital letters a character of a word
 }
 FENCE_WIDTH = 4  # interquartile ranges beyond the upper quartile
+# LEAST_SPREADs above the median (and twice FENCE_WIDTH lower half ranges) that no fence passes: one symbol a word,
+# 25 characters a word; the other rates cannot get there.
+MOST_SPREADS = 10
 LEAST_DOCS = 50  # a smaller group is judged by the merged sketch of its language, or of all documents
 BASE_COUNTS = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -130,10 +133,11 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: the number of documents and a map from each rate to its fence.
+    """One row per group: the number of documents, the fence and the bound of each rate.
 
     A fence lies ``FENCE_WIDTH`` interquartile ranges above the upper quartile, and at least
-    ``LEAST_SPREAD`` above the median.
+    ``LEAST_SPREAD`` above the median, but never above the bound. The bound is made of the median and the
+    range below it only, so it holds while less than half of the group is junk.
     """
     upto = Window.partitionBy(*keys, "rate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn(
@@ -144,25 +148,29 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
         at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("total").alias("n_docs")
     )
     spread = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])[F.col("rate")]
-    fence = F.greatest(
-        F.col("q3") + FENCE_WIDTH * (F.col("q3") - F.col("q1")), F.col("q2") + spread.cast("long")
-    )
+    spread = spread.cast("long")
+    bound = F.col("q2") + 2 * FENCE_WIDTH * (F.col("q2") - F.col("q1")) + MOST_SPREADS * spread
+    fence = F.greatest(F.col("q3") + FENCE_WIDTH * (F.col("q3") - F.col("q1")), F.col("q2") + spread)
     return (
-        quarters.withColumn("fence", fence)
+        quarters.withColumn("fence", F.least(fence, bound)).withColumn("bound", bound)
         .groupBy(*keys)
         .agg(
             F.max("n_docs").alias("n_docs"),
             *[F.max(F.when(F.col("rate") == k, F.col("fence"))).alias(f"max_{k}") for k in LEAST_SPREAD],
+            *[F.max(F.when(F.col("rate") == k, F.col("bound"))).alias(f"bound_{k}") for k in LEAST_SPREAD],
         )
     )
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """Fences of each (lang, source); a group under ``LEAST_DOCS`` takes those of its language, and that of all."""
+    """Fences of each (lang, source); a group under ``LEAST_DOCS`` takes those of its language, and that of all.
+
+    A group's own fence stays within the bound of its language, so a source of junk does not set its own rule.
+    """
     own = fences(sketches, ["lang", "source"]).withColumnRenamed("n_docs", "n_own")
-    names = [f"max_{k}" for k in LEAST_SPREAD]
+    names, bounds = [f"max_{k}" for k in LEAST_SPREAD], [f"bound_{k}" for k in LEAST_SPREAD]
     wide = fences(merge(sketches, ["lang"]), ["lang"]).select(
-        F.col("lang").alias("_lang"), F.col("n_docs").alias("n_lang"), *[F.col(c).alias(f"{c}_lang") for c in names]
+        F.col("lang").alias("_lang"), F.col("n_docs").alias("n_lang"), *[F.col(c).alias(f"{c}_lang") for c in names + bounds]
     )
     everything = fences(merge(sketches.withColumn("every", F.lit(1)), ["every"]), ["every"]).select(
         F.col("every").alias("_every"), *[F.col(c).alias(f"{c}_all") for c in names]
@@ -170,7 +178,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     both = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     both = both.withColumn("every", F.lit(1)).join(everything, F.col("every") == F.col("_every"), "left")
     pick = lambda c: (
-        F.when(F.col("n_own") >= LEAST_DOCS, F.col(c))
+        F.when(F.col("n_own") >= LEAST_DOCS, F.least(c, c.replace("max_", "bound_") + "_lang"))
         .when(F.col("n_lang") >= LEAST_DOCS, F.col(f"{c}_lang"))
         .otherwise(F.col(f"{c}_all"))
     )

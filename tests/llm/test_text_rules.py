@@ -27,6 +27,19 @@ def test_fences_drop_outliers_and_keep_the_rest(spark):
     assert [d for d, k in kept.items() if not k] == [900, 901]
 
 
+def test_sources_with_much_junk_do_not_set_their_own_fence(spark):
+    good = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    junk = lambda i: " ".join(f"$$${i}%%%{j}###" for j in range(40))
+    marked = lambda i: " ".join(f"|cell{i}x{j}" if j % 5 < 3 else f"word{j}" for j in range(40))
+    data = [(i, good(i), "en", "clean", 0) for i in range(110)]
+    data += [(1000 + i, junk(i) if i % 3 == 0 else good(i), "en", "a third", 0) for i in range(90)]
+    data += [(2000 + i, junk(i), "en", "all", 0) for i in range(60)]
+    data += [(3000 + i, junk(i), "en", "few", 0) for i in range(20)]  # too few for a fence of their own
+    data += [(4000 + i, marked(i), "en", "tables", 0) for i in range(60)]  # another kind of text, but no junk
+    gone = {r.doc_id for r in quality.judge(docs(spark, data)).filter("not kept").collect()}
+    assert gone == {d for d, text, *_ in data if text.startswith("$")}
+
+
 def test_sketches_merge_by_adding(spark):
     counts = quality.text_counts(docs(spark), ["doc_id", "lang", "source"])
     halves = [quality.sketch(counts.filter(f"coalesce(doc_id, 0) % 2 = {k}")) for k in (0, 1)]
