@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import forest, lines, minhash, mixing, packing, quality, records, shards, tokens, warc
+from corpuslens.llm import (
+    automaton,
+    forest,
+    lines,
+    merkle,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    records,
+    shards,
+    tokens,
+    warc,
+    whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +73,19 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], components=4)
+    return whitening.by_component(done, ["vec_id"])
+
+
+def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_prefix_forest": op2_prefix_forest,
@@ -70,6 +97,9 @@ QUERIES = {
     "op8_record_files": op8_record_files,
     "op9_conflict_packing": op9_conflict_packing,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_block_whitening": op11_block_whitening,
+    "op12_butterfly_manifest": op12_butterfly_manifest,
+    "op13_merge_automaton": op13_merge_automaton,
 }
 
 # White space that the contracts name, as DuckDB text.
@@ -268,3 +298,66 @@ least as (select a as doc_id, min(b) as component_id from reach group by a)
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join size using (doc_id) join least using (doc_id)
 """
+
+
+def _field(value: str) -> str:
+    text = f"cast({value} as varchar)"
+    return f"case when {value} is null then '-' else strlen({text}) || ':' || {text} end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+# CRC-32 of a decimal number, bit by bit.
+_BITS = "list_reduce([xor(c, b)] || range(8), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))"
+_DIGITS = "list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))"
+_CRC = f"xor(list_reduce([4294967295] || {_DIGITS}, lambda c, b: {_BITS}), 4294967295)"
+_UP = "select grp, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i))"
+
+ORACLE["op12_butterfly_manifest"] = f"""
+with recursive leaf as (
+  select row_number() over () as r, doc_id, lang as grp, {_leaf("text")} as leaf,
+    case when {_CRC} % 3 = 0 then {_leaf(LOWER_SQL.format("text"))} else {_leaf("text")} end as tampered
+  from documents
+),
+placed as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by grp) as n
+  from leaf
+),
+node as (
+  select grp, 0 as level, i, n, leaf as h from placed
+  union all
+  {_UP} from node where n > 1 group by grp, level, i // 8, n
+),
+subroot as (
+  select grp as lang, level as steps, h as subroot, row_number() over (order by grp nulls first) - 1 as place, count(*) over () as langs
+  from node where n = 1
+),
+over as (
+  select '' as grp, 0 as level, place as i, langs as n, subroot as h from subroot
+  union all
+  {_UP} from over where n > 1 group by grp, level, i // 8, n
+),
+run as (select grp, level, i // 8 as run, list(h order by i) as hs from node where n > 1 group by 1, 2, 3),
+over_run as (select level, i // 8 as run, list(h order by i) as hs from over where n > 1 group by 1, 2),
+step as (
+  select p.r, u.level, p.i // cast(pow(8, u.level) as bigint) % 8 as own, hs
+  from placed p join run u on u.grp is not distinct from p.grp and u.run = p.i // cast(pow(8, u.level + 1) as bigint)
+  union all
+  select p.r, s.steps + u.level, s.place // cast(pow(8, u.level) as bigint) % 8, hs
+  from placed p join subroot s on s.lang is not distinct from p.grp
+  join over_run u on u.run = s.place // cast(pow(8, u.level + 1) as bigint)
+),
+side as (select r, level, array_to_string(hs[1:own], '') as before, array_to_string(hs[own + 2:], '') as after from step),
+folded as (
+  select r, 0 as level, tampered as h from placed
+  union all
+  select f.r, f.level + 1, sha256(before || h || after) from folded f join side s on s.r = f.r and s.level = f.level
+),
+proof as (select r, sha256(string_agg(before || after, '' order by level)) as proof_sha256 from side group by r),
+root as (select h as root from over where n = 1)
+select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, f.h as folded_root, f.h = root as verified
+from placed p join subroot s on s.lang is not distinct from p.grp cross join root left join proof using (r)
+join (select r, arg_max(h, level) as h from folded group by r) f using (r)
+"""
