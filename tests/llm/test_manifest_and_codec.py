@@ -210,7 +210,8 @@ def test_merges_that_the_automaton_refuses():
 
 
 def test_small_caches_change_nothing(monkeypatch):
-    want = [automaton.Codec(WORDS).encode(t) for t in texts(300, 4)]
+    large = automaton.Codec(WORDS)
+    want = [large.encode(t) for t in texts(300, 4)]
     for name in ("CACHE_ARCS", "CACHE_CHUNKS", "LONGEST_CACHED"):
         monkeypatch.setattr(automaton, name, 3)
     own = automaton.Codec(WORDS)
