@@ -7,6 +7,10 @@ base rules, are rejected. Expressions only, no Python code on the executors.
 The sketch is a log-linear histogram: a rate falls into the bucket made of its leading ``SKETCH_BITS``
 bits, so a quantile is off by less than one part in ``2 ** (SKETCH_BITS - 1)``. Sketches are rows
 (lang, source, rate, bucket, n); two sketches merge by adding ``n``, in any order, with the same result.
+
+A group is judged by a blend: its own documents and ``PRIOR_DOCS`` more that are spread like its language's, as
+a language's are blended with ``PRIOR_DOCS`` spread like all documents'. So a small group leans on its language
+and a large one on itself, without a size at which the rule changes.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.let import let
+from corpuslens.functions.windows import join_null_safe
 from corpuslens.llm.common import SPACES, whole_text, words_of, written
 
 WINDOW_WORDS = 5
@@ -33,7 +38,7 @@ FENCE_WIDTH = 4  # interquartile ranges beyond the upper quartile
 # LEAST_SPREADs above the median (and twice FENCE_WIDTH lower half ranges) that no fence passes: one symbol a word,
 # 25 characters a word; the other rates cannot get there.
 MOST_SPREADS = 10
-LEAST_DOCS = 50  # a smaller group is judged by the merged sketch of its language, or of all documents
+PRIOR_DOCS = 50  # so many documents of the language's distribution count with those of each of its sources
 BASE_COUNTS = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -132,30 +137,42 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: the number of documents, the fence and the bound of each rate.
+def blend(sketches: DataFrame, keys: list[str], prior: DataFrame, shared: list[str]) -> DataFrame:
+    """(keys, rate, bucket, w, total): the shares w / total of each group, blended with those of ``prior``.
+
+    ``prior`` has w and total by ``shared`` keys, rate and bucket. Shares are kept as whole numbers, so that the
+    result does not depend on the order of any sum.
+    """
+    own = merge(sketches, keys)
+    groups = own.groupBy(*keys, "rate").agg(F.sum("n").cast("decimal(38,0)").alias("docs"))
+    every = join_null_safe(groups, prior, [*shared, "rate"])
+    counted = join_null_safe(every, own, [*keys, "rate", "bucket"], "left")
+    weight = F.coalesce("n", F.lit(0)).cast("decimal(38,0)") * F.col("total") + PRIOR_DOCS * F.col("w")
+    return counted.select(
+        *keys, "rate", "bucket", weight.cast("decimal(38,0)").alias("w"),
+        (F.col("total") * (F.col("docs") + PRIOR_DOCS)).cast("decimal(38,0)").alias("total"),
+    )
+
+
+def fences(shares: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: the fence and the bound of each rate, from (keys, rate, bucket, w, total).
 
     A fence lies ``FENCE_WIDTH`` interquartile ranges above the upper quartile, and at least
-    ``LEAST_SPREAD`` above the median, but never above the bound. The bound is made of the median and the
-    range below it only, so it holds while less than half of the group is junk.
+    ``LEAST_SPREAD`` above the median. The bound is made of the median and the range below it only, so it holds
+    while less than half of the group is junk.
     """
     upto = Window.partitionBy(*keys, "rate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*keys, "rate"))
-    )
+    ranked = shares.withColumn("upto", F.sum("w").over(upto))
     at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("total"), F.col("bucket")))
-    quarters = ranked.groupBy(*keys, "rate").agg(
-        at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("total").alias("n_docs")
-    )
+    quarters = ranked.groupBy(*keys, "rate").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
     spread = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])[F.col("rate")]
     spread = spread.cast("long")
     bound = F.col("q2") + 2 * FENCE_WIDTH * (F.col("q2") - F.col("q1")) + MOST_SPREADS * spread
     fence = F.greatest(F.col("q3") + FENCE_WIDTH * (F.col("q3") - F.col("q1")), F.col("q2") + spread)
     return (
-        quarters.withColumn("fence", F.least(fence, bound)).withColumn("bound", bound)
+        quarters.withColumn("fence", fence).withColumn("bound", bound)
         .groupBy(*keys)
         .agg(
-            F.max("n_docs").alias("n_docs"),
             *[F.max(F.when(F.col("rate") == k, F.col("fence"))).alias(f"max_{k}") for k in LEAST_SPREAD],
             *[F.max(F.when(F.col("rate") == k, F.col("bound"))).alias(f"bound_{k}") for k in LEAST_SPREAD],
         )
@@ -163,27 +180,23 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """Fences of each (lang, source); a group under ``LEAST_DOCS`` takes those of its language, and that of all.
-
-    A group's own fence stays within the bound of its language, so a source of junk does not set its own rule.
-    """
-    own = fences(sketches, ["lang", "source"]).withColumnRenamed("n_docs", "n_own")
-    names, bounds = [f"max_{k}" for k in LEAST_SPREAD], [f"bound_{k}" for k in LEAST_SPREAD]
-    wide = fences(merge(sketches, ["lang"]), ["lang"]).select(
-        F.col("lang").alias("_lang"), F.col("n_docs").alias("n_lang"), *[F.col(c).alias(f"{c}_lang") for c in names + bounds]
-    )
-    everything = fences(merge(sketches.withColumn("every", F.lit(1)), ["every"]), ["every"]).select(
-        F.col("every").alias("_every"), *[F.col(c).alias(f"{c}_all") for c in names]
+    """Fences of each (lang, source), within the bound of the language, so that a source of junk does not set its
+    own rule."""
+    merged = merge(sketches, [])
+    totals = merged.groupBy(F.col("rate").alias("_rate")).agg(F.sum("n").cast("decimal(38,0)").alias("total"))
+    whole = merged.join(totals, F.col("rate") == F.col("_rate")).select(
+        "rate", "bucket", F.col("n").cast("decimal(38,0)").alias("w"), "total"
     )
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    both = both.withColumn("every", F.lit(1)).join(everything, F.col("every") == F.col("_every"), "left")
-    pick = lambda c: (
-        F.when(F.col("n_own") >= LEAST_DOCS, F.least(c, c.replace("max_", "bound_") + "_lang"))
-        .when(F.col("n_lang") >= LEAST_DOCS, F.col(f"{c}_lang"))
-        .otherwise(F.col(f"{c}_all"))
+    by_lang = written(blend(sketches, ["lang"], whole, []), "quality-languages")
+    own = fences(blend(sketches, ["lang", "source"], by_lang, ["lang"]), ["lang", "source"])
+    wide = fences(by_lang, ["lang"]).select(
+        F.col("lang").alias("_lang"), *[F.col(f"bound_{k}").alias(f"limit_{k}") for k in LEAST_SPREAD]
     )
+    both = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
     return both.select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(c).alias(c) for c in names]
+        F.col("lang").alias("_lang"),
+        F.col("source").alias("_source"),
+        *[F.least(f"max_{k}", f"limit_{k}").alias(f"max_{k}") for k in LEAST_SPREAD],
     )
 
 
@@ -202,7 +215,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made and not c.startswith("_")]
     need = list(dict.fromkeys([*keep, "lang", "source"]))
     counts = written(text_counts(docs, need), "text-counts")
-    cutoffs = written(thresholds(sketch(counts)), "quality-cutoffs")
+    cutoffs = written(thresholds(written(sketch(counts), "quality-sketches")), "quality-cutoffs")
     inside = F.lit(True)
     for name, rate in rates().items():
         inside = inside & F.coalesce(rate <= F.col(f"max_{name}"), F.lit(True))

@@ -210,15 +210,30 @@ _RATES = {
 }
 
 
-def _fences(keys: list[str]) -> str:
-    """The fences of every rate in each group of a sketch table, as DuckDB text."""
+_SPREAD = "case rate " + " ".join(f"when '{k}' then {v}" for k, v in quality.LEAST_SPREAD.items()) + " end"
+
+
+def _same(a: str, b: str, keys: list[str]) -> str:
+    return " and ".join(f"{a}.{k} is not distinct from {b}.{k}" for k in keys)
+
+
+def _blend(keys: list[str], prior: str, shared: list[str]) -> str:
+    """Shares of each group of a sketch table, blended with those of its prior, as DuckDB text."""
     by = ", ".join([*keys, "rate"])
-    spread = " ".join(f"when '{k}' then {v}" for k, v in quality.LEAST_SPREAD.items())
-    at = lambda q: f"min(case when 4 * upto >= {q} * total then bucket end)"
     return f"""(
-    select {by}, max(total) as n_docs, greatest({at(3)} + {quality.FENCE_WIDTH} * ({at(3)} - {at(1)}), {at(2)} + case rate {spread} end) as fence
-    from (select *, sum(n) over (partition by {by} order by bucket) as upto, sum(n) over (partition by {by}) as total
-      from (select {by}, bucket, sum(n) as n from sketch group by {by}, bucket) m) r group by {by})"""
+    select {", ".join(f"g.{k}" for k in [*keys, "rate"])}, p.bucket,
+      coalesce(o.n, 0) * p.total + {quality.PRIOR_DOCS} * p.w as w, p.total * (g.docs + {quality.PRIOR_DOCS}) as total
+    from (select {by}, cast(sum(n) as hugeint) as docs from sketch group by {by}) g
+    join {prior} p on {_same("g", "p", [*shared, "rate"])}
+    left join (select {by}, bucket, cast(sum(n) as hugeint) as n from sketch group by {by}, bucket) o
+      on {_same("g", "o", [*keys, "rate"])} and o.bucket = p.bucket)"""
+
+
+def _quarters(shares: str, keys: list[str]) -> str:
+    by = ", ".join([*keys, "rate"])
+    at = lambda q: f"min(case when 4 * upto >= {q} * total then bucket end)"
+    return f"""(select {by}, {at(1)} as q1, {at(2)} as q2, {at(3)} as q3
+    from (select *, sum(w) over (partition by {by} order by bucket) as upto from {shares} x) y group by {by})"""
 
 
 ORACLE["op4_adaptive_quality"] = f"""
@@ -246,21 +261,28 @@ rated as (
   {" union all ".join(f"select doc_id, lang, source, '{k}' as rate, 1000 * {a} // nullif({b}, 0) as value from counted" for k, (a, b) in _RATES.items())}
 ),
 sketch as (
-  select lang, source, 1 as every, rate, value - value % cast(pow(2, greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0)) as bigint) as bucket,
+  select lang, source, rate, value - value % cast(pow(2, greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0)) as bigint) as bucket,
     count(*) as n
   from rated where value is not null group by all
 ),
-own as {_fences(["lang", "source"])}, wide as {_fences(["lang"])}, whole as {_fences(["every"])},
-groups as (select lang, source, max(n_docs) as n_own from own group by 1, 2),
-langs as (select lang, max(n_docs) as n_lang from wide group by 1),
+whole as (
+  select rate, bucket, cast(sum(n) as hugeint) as w, cast(sum(sum(n)) over (partition by rate) as hugeint) as total
+  from sketch group by rate, bucket
+),
+by_lang as {_blend(["lang"], "whole", [])}, by_source as {_blend(["lang", "source"], "by_lang", ["lang"])},
+wide as (
+  select lang, rate, q2 + {2 * quality.FENCE_WIDTH} * (q2 - q1) + {quality.MOST_SPREADS} * {_SPREAD} as bound
+  from {_quarters("by_lang", ["lang"])} q
+),
+own as (
+  select lang, source, rate, greatest(q3 + {quality.FENCE_WIDTH} * (q3 - q1), q2 + {_SPREAD}) as fence
+  from {_quarters("by_source", ["lang", "source"])} q
+),
 outside as (
   select distinct r.doc_id from rated r
-  join groups g on r.lang is not distinct from g.lang and r.source is not distinct from g.source
-  join langs l on r.lang is not distinct from l.lang
-  left join own o on o.rate = r.rate and o.lang is not distinct from r.lang and o.source is not distinct from r.source
-  left join wide i on i.rate = r.rate and i.lang is not distinct from r.lang
-  left join whole a on a.rate = r.rate
-  where r.value > case when n_own >= {quality.LEAST_DOCS} then o.fence when n_lang >= {quality.LEAST_DOCS} then i.fence else a.fence end
+  join own o on {_same("o", "r", ["lang", "source", "rate"])}
+  join wide w on {_same("w", "r", ["lang", "rate"])}
+  where r.value > least(fence, bound)
 ),
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,

@@ -40,6 +40,39 @@ def test_sources_with_much_junk_do_not_set_their_own_fence(spark):
     assert gone == {d for d, text, *_ in data if text.startswith("$")}
 
 
+def test_no_size_of_a_group_changes_the_rule(spark):
+    plain = [(i, " ".join(f"word{i}x{j}" for j in range(40)), "en", "plain", 0) for i in range(400)]
+    marked = lambda i: " ".join(["######", *(f"word{i}x{j}" for j in range(39))])
+    verdicts = []
+    for n in (48, 49, 50, 51):
+        data = plain + [(1000 + i, marked(i), "en", "other", 0) for i in range(n)]
+        kept = quality.judge(docs(spark, data)).filter("kept").groupBy("source").count().collect()
+        verdicts.append({r["source"]: r["count"] for r in kept})
+    assert verdicts == [{"plain": 400, "other": n} for n in (48, 49, 50, 51)]
+
+
+def test_blended_shares_equal_plain_python(spark):
+    counted = quality.sketch(quality.text_counts(docs(spark), ["doc_id", "lang", "source"]))
+    seen = Counter()
+    for r in counted.collect():
+        for key in ((r.rate,), (r.lang, r.rate), (r.lang, r.source, r.rate)):
+            seen[(*key, r.bucket)] += r.n
+    total = Counter()
+    for key, n in seen.items():
+        total[key[:-1]] += n
+    share = lambda key, b: seen[(*key, b)] / total[key]
+    mixed = lambda own, n, prior: (own * n + quality.PRIOR_DOCS * prior) / (n + quality.PRIOR_DOCS)
+    cut = quality.written(counted, "test")
+    whole = quality.merge(cut, []).withColumn("w", F.col("n").cast("decimal(38,0)"))
+    sums = whole.groupBy(F.col("rate").alias("r")).agg(F.sum("n").cast("decimal(38,0)").alias("total"))
+    whole = whole.join(sums, F.col("rate") == F.col("r")).select("rate", "bucket", "w", "total")
+    by_lang = quality.blend(cut, ["lang"], whole, [])
+    for r in quality.blend(cut, ["lang", "source"], by_lang, ["lang"]).collect():
+        lang = mixed(share((r.lang, r.rate), r.bucket), total[r.lang, r.rate], share((r.rate,), r.bucket))
+        key = (r.lang, r.source, r.rate)
+        assert abs(float(r.w) / float(r.total) - mixed(share(key, r.bucket), total[key], lang)) < 1e-12
+
+
 def test_sketches_merge_by_adding(spark):
     counts = quality.text_counts(docs(spark), ["doc_id", "lang", "source"])
     halves = [quality.sketch(counts.filter(f"coalesce(doc_id, 0) % 2 = {k}")) for k in (0, 1)]
