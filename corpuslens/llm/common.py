@@ -69,25 +69,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def position_in_group(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+def position_in_group(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str, weight: Column | None = None
+) -> DataFrame:
     """``name``: how many rows of the group come before the row, in the order of bucket, then ``order``.
 
     Rows are counted per (keys, bucket) and ranked inside a bucket only, so that no task holds a whole hot
-    group; rows that are equal in ``order`` get the same position. Keys are compared null-safe.
+    group; rows that are equal in ``order`` get the same position. Keys are compared null-safe. With ``weight``
+    a row counts as so many; the rows must then differ in ``order``.
     """
     own = [f"_k{i}" for i in range(len(keys))]
     rows = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
         .select(
             *[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)],
             F.col("_bucket").alias("_b"),
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
         )
     )
-    local = F.rank().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    local = F.rank().over(inside)
+    if weight is not None:
+        earlier = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        local = F.coalesce(earlier, F.lit(0)) + 1
     same = F.col("_bucket") == F.col("_b")
     for k, o in zip(keys, own, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(o))

@@ -10,7 +10,7 @@ find them. A step is one aggregation over rows (source, size, number of document
 than documents and are dealt by source once. Expressions only, no Python code on the executors.
 
 Rates become copies by error diffusion over the sizes of a source, and the small rest that rounding leaves
-is made up with the smallest documents.
+is made up with single documents, the largest that fit first.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import windows
 from corpuslens.llm.common import one_row, position_in_group, text_key, word_count, written
 from corpuslens.session import cut_lineage
 
@@ -25,6 +26,8 @@ MAX_COPIES = 3
 TOLERANCE = 1e-7  # of a source's target
 MAX_STEPS = 60
 RANK_ROWS = 100_000  # documents of one (source, size) ranked in one task
+REPEATED_ROWS = 100_000  # of equal rows that one task writes out
+MENDS = 5  # passes that make up the rest of rounding
 
 
 def cycled_weights(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -176,29 +179,41 @@ def copy_plan(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     rounded = rated.withColumn("upto", upto).withColumn(
         "more", (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("wanted") + 0.5))
     )
-    rounded = rounded.withColumn("more", F.least(F.greatest("more", F.lit(0)), F.col("n"))).withColumn(
-        "rest", F.col("target") - F.sum(F.col("size") * (F.col("n") * F.col("copies") + F.col("more"))).over(whole)
-    )
-    room = F.when(F.col("size") == 0, F.lit(0)).when(
-        F.col("rest") > 0, F.when(F.col("copies") < MAX_COPIES, F.col("n") - F.col("more")).otherwise(F.lit(0))
-    ).otherwise(F.col("more"))
-    rising = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    mended = rounded.withColumn("room", room)
-    mended = mended.withColumn("before", F.coalesce(F.sum(F.col("room") * F.col("size")).over(rising), F.lit(0)))
-    units = F.round((F.abs(F.col("rest")) - F.col("before")) / F.greatest(F.col("size"), F.lit(1))).cast("long")
+    rounded = rounded.withColumn("more", F.least(F.greatest("more", F.lit(0)), F.col("n")).cast("long"))
+    for _ in range(MENDS):
+        rounded = mend(rounded)
+    return rounded.select("source", "size", "n", F.col("copies").cast("long").alias("copies"), "more")
+
+
+def mend(plan: DataFrame) -> DataFrame:
+    """``plan`` with the rest to the target made up by sizes that fit into it, the largest first.
+
+    The size at which the rest runs out leaves less than itself; the next pass goes on with smaller sizes.
+    """
+    taken = F.col("size") * (F.col("n") * F.col("copies") + F.col("more"))
+    open_plan = plan.withColumn("rest", F.col("target") - F.sum(taken).over(Window.partitionBy("source")))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.abs("rest"))
+    spare = F.when(F.col("copies") < MAX_COPIES, F.col("n") - F.col("more")).otherwise(F.lit(0))
+    room = F.when(fits, F.when(F.col("rest") > 0, spare).otherwise(F.col("more"))).otherwise(F.lit(0))
+    falling = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    open_plan = open_plan.withColumn("room", room.cast("long"))
+    before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(falling), F.lit(0))
+    units = F.floor((F.abs("rest") - before) / F.greatest("size", F.lit(1))).cast("long")
     moved = F.least(F.greatest(units, F.lit(0)), F.col("room")) * F.signum("rest").cast("long")
-    return mended.select(
-        "source", "size", "n", F.col("copies").cast("long").alias("copies"), (F.col("more") + moved).cast("long").alias("more")
-    )
+    return open_plan.withColumn("more", F.col("more") + moved).drop("rest", "room")
+
+
+KEYS = ["doc_id", "key", "source", "size"]
 
 
 def decide(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """``rows`` (doc_id, key, source, size) with source_size, target and copies.
+    """(doc_id, key, source, size) of ``rows``, each once, with source_size, target, m, copies and extra.
 
-    Which of the documents of one source and size get one copy more is decided by a hash of id and key, so
-    reruns agree, and rows equal in both are decided alike.
+    m equal rows are taken ``copies`` times each, and ``extra`` of them once more. Which of the documents of one
+    source and size get one copy more is decided by a hash of id and key, so reruns agree.
     """
-    sizes = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    once = written(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m")), "mix-documents")
+    sizes = written(once.groupBy("source", "size").agg(F.sum("m").alias("n")), "mix-sizes")
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     totals = written(totals, "mix-totals")
     goals = written(targets(totals, cycled_weights(totals) if weights is None else weights), "mix-goals")
@@ -209,12 +224,12 @@ def decide(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     plan = written(
         plan.join(goal, F.col("_ps").eqNullSafe(F.col("_gs"))).drop("_gs"), "mix-plan"
     )
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz"))).drop("_ps", "_pz")
+    joined = once.join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz"))).drop("_ps", "_pz")
     joined = joined.withColumn("_draw", F.xxhash64("doc_id", "key"))
-    parts = F.ceil(F.col("_n") / RANK_ROWS)
-    placed = position_in_group(joined, ["source", "size"], F.pmod("_draw", parts), ["_draw", "doc_id", "key"], "_place")
-    copies = F.col("copies") + (F.col("_place") < F.col("_more")).cast("long")
-    return placed.withColumn("copies", copies).drop("_n", "_more", "_draw", "_place")
+    bucket = F.pmod("_draw", F.ceil(F.col("_n") / RANK_ROWS))
+    placed = position_in_group(joined, ["source", "size"], bucket, ["_draw", "doc_id", "key"], "_place", F.col("m"))
+    extra = F.least(F.greatest(F.col("_more") - F.col("_place"), F.lit(0)), F.col("m"))
+    return placed.withColumn("extra", extra.cast("long")).drop("_n", "_more", "_draw", "_place")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -224,11 +239,18 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix_report(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of all copies) of every document.
 
-    A null or empty text has size 0 and takes nothing; a null source is a source of its own; repeated rows
-    are decided alike; an empty table gives an empty table.
+    A null or empty text has size 0 and takes nothing; a null source is a source of its own; of repeated rows each
+    is decided for itself; an empty table gives an empty table.
     """
-    decided = decide(written(sized(docs), "mix-rows"), weights)
-    return decided.select(
+    decided = written(decide(written(sized(docs), "mix-rows"), weights), "mix-decisions")
+    single = decided.filter("m = 1").withColumn("copies", F.col("copies") + F.col("extra"))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / REPEATED_ROWS))
+    dealt = decided.filter("m > 1").withColumn("_part", F.explode(parts)).repartition("doc_id", "key", "_part")
+    first = F.col("_part") * REPEATED_ROWS
+    turns = F.sequence(first, F.least(first + REPEATED_ROWS, F.col("m")) - 1)
+    repeated = dealt.withColumn("_turn", F.explode(turns))
+    repeated = repeated.withColumn("copies", F.col("copies") + (F.col("_turn") < F.col("extra")).cast("long"))
+    return single.unionByName(repeated.drop("_part", "_turn")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
@@ -236,18 +258,30 @@ def mix_report(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns they came with.
 
-    The texts move once, to meet their number of copies by id and key.
+    The texts move once, to meet their number of copies by id and key; rows repeated with id, text and source are
+    numbered in the order of a hash of all their columns.
     """
-    decided = decide(written(sized(docs), "mix-rows"), weights)
-    copies = (
-        decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_src"))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (text_key(F.col("text")) == F.col("_key"))
-        & F.col("source").eqNullSafe(F.col("_src"))
-    )
-    taken = docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*[F.col(c) for c in docs.columns])
+    decided = written(decide(written(sized(docs), "mix-rows"), weights), "mix-decisions")
+    taken = decided.filter("copies + extra > 0").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_src"), "m",
+        F.col("copies").alias("_copies"), F.col("extra").alias("_extra"),
+    )
+
+    def of(choice: DataFrame) -> DataFrame:
+        same = (
+            F.col("doc_id").eqNullSafe(F.col("_id"))
+            & (text_key(F.col("text")) == F.col("_key"))
+            & F.col("source").eqNullSafe(F.col("_src"))
+        )
+        return hidden.join(choice.drop("m"), same)
+
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    own = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    hidden = docs.select(*own, "doc_id", "text", "source")
+    single = of(taken.filter("m = 1")).withColumn("_copies", F.col("_copies") + F.col("_extra"))
+    several = of(taken.filter("m > 1")).withColumn("_hash", F.xxhash64(*names))
+    several = windows.position_in_group(several, ["_id", "_key", "_src"], [F.col("_hash")], "_turn")
+    several = several.withColumn("_copies", F.col("_copies") + (F.col("_turn") <= F.col("_extra")).cast("long"))
+    both = single.select(*names, "_copies").unionByName(several.select(*names, "_copies")).filter("_copies > 0")
+    copied = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return copied.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
