@@ -37,6 +37,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def full_join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left.join(right, keys, "full_outer")`` in which a null key meets a null key."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & same(k, f"_right_{k}")
+    rest = [c for c in [*left.columns, *right.columns] if c not in keys]
+    both = left.join(named, condition, "full_outer")
+    return both.select(*[F.coalesce(k, f"_right_{k}").alias(k) for k in keys], *rest)
+
+
 def position_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Exact 1-based position of every row in its group, in the total order of ``order``; null keys are groups.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.let import open_array
-from corpuslens.functions.windows import join_null_safe, position_in_group
+from corpuslens.functions.windows import full_join_null_safe, join_null_safe, position_in_group
 from corpuslens.operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_count, chunk_files, chunk_id
 
 KEY = ["repo", "path"]
@@ -64,7 +64,7 @@ def index_report(files: DataFrame, manifest: DataFrame) -> DataFrame:
     kept = manifest.groupBy("repo").agg(
         F.count(F.lit(1)).alias("files_in_manifest"), F.sum("n_chunks").alias("chunks")
     )
-    return offered.join(kept, "repo", "left").fillna(0, ["files_in_manifest", "chunks"])
+    return join_null_safe(offered, kept, ["repo"], "left").fillna(0, ["files_in_manifest", "chunks"])
 
 
 def index_diff(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def index_diff(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged")
         .otherwise("changed")
     )
-    return old.join(new, KEY, "full_outer").withColumn("change", change)
+    return full_join_null_safe(old, new, KEY).withColumn("change", change)
 
 
 def update_index(
@@ -96,14 +96,14 @@ def update_index(
     """
     offered = with_content(files).select(*KEY, "content", content_hash(F.col("content")).alias("_hash"))
     known = manifest.select(*KEY, F.col("hash").alias("_hash"))
-    fresh = offered.join(known, [*KEY, "_hash"], "left_anti")
+    fresh = join_null_safe(offered, known, [*KEY, "_hash"], "left_anti")
     touched = fresh.select(*KEY)
     if deleted is not None:
         touched = touched.unionByName(deleted.select(*KEY))
     touched = touched.distinct()
-    kept_manifest = manifest.join(touched, KEY, "left_anti")
+    kept_manifest = join_null_safe(manifest, touched, KEY, "left_anti")
     paths = touched.withColumnRenamed("path", "file_path")
-    kept_chunks = chunks.join(paths, ["repo", "file_path"], "left_anti")
+    kept_chunks = join_null_safe(chunks, paths, ["repo", "file_path"], "left_anti")
     return (
         kept_chunks.unionByName(chunk_files(fresh, size, overlap)),
         kept_manifest.unionByName(build_manifest(fresh, size, overlap)),
@@ -112,14 +112,14 @@ def update_index(
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Paths of the manifest that a whole new snapshot no longer has."""
-    return manifest.select(*KEY).join(files.select(*KEY), KEY, "left_anti")
+    return join_null_safe(manifest.select(*KEY), files.select(*KEY), KEY, "left_anti")
 
 
 def update_report(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Per repository: files processed, chunks added and chunks deleted by an update to the snapshot."""
     new = build_manifest(files).select(*KEY, F.col("hash").alias("new_hash"), F.col("n_chunks").alias("new_n"))
     old = manifest.select(*KEY, F.col("hash").alias("old_hash"), F.col("n_chunks").alias("old_n"))
-    pairs = old.join(new, KEY, "full_outer")
+    pairs = full_join_null_safe(old, new, KEY)
     same = F.coalesce(F.col("old_hash") == F.col("new_hash"), F.lit(False))
     zero = F.lit(0)
     return pairs.groupBy("repo").agg(

@@ -34,6 +34,10 @@ STRATEGY_LIMITS = [
 IMPORT_CLAUSE = r"""import\s+([\w{},\s*$]+?)\s+from\s+['"]([^'"]+)['"]"""
 
 
+# Fixed output values: the reason texts of the rankers below ("used n times", "n direct references", "critical import",
+# "heavily used", "n% similar", "related location", "n matching concepts", "potential duplicate" and so on).
+
+
 def _points(condition: Column, points) -> Column:
     return F.when(condition, points).otherwise(F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -492,11 +492,110 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+WEIGHT_CELLS = 4_000_000  # queries times distinct words whose weights may travel to every task: 32 MB
+LEXICAL_HITS = "query_id {}, repo string, chunk_id {}, score double"
+
+
+class TopTexts:
+    """The k best chunks seen so far of every query, by word weights, over all batches of a task."""
+
+    def __init__(self, weights: np.ndarray, k: int):
+        self.weights, self.k = weights, k
+        self.least = np.zeros(len(weights))  # a score that the k-th best of a query reaches already
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.names: list[tuple] = []
+        self.held = 0
+
+    def add(self, names: list[tuple], chunk: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
+        """Chunks ``names`` with the values of their words: row ``i`` is word ``word[i]`` of chunk ``chunk[i]``."""
+        cells = np.zeros((len(names), self.weights.shape[1]))
+        cells[chunk, word] = value
+        scores = np.round(self.weights @ cells.T, SCORE_DIGITS)
+        query, at = np.nonzero((scores > 0) & (scores >= self.least[:, None]))
+        used, place = np.unique(at, return_inverse=True)
+        self.found.append((query, place + len(self.names), scores[query, at]))
+        self.names += [names[i] for i in used]
+        self.held += len(query)
+        if self.held > 8 * self.k * len(self.weights):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keeps the k best of each query, ties to the lower chunk id and repository, and forgets other chunks."""
+        query, at, score = (np.concatenate(part) for part in zip(*self.found, strict=True))
+        order = sorted(range(len(self.names)), key=lambda i: (self.names[i][1], self.names[i][0] is None, self.names[i][0] or ""))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.lexsort((place[at], -score, query))
+        query, at, score = query[by], at[by], score[by]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        full = rank == self.k - 1
+        self.least[query[full]] = score[full]
+        kept = rank < self.k
+        used, at = np.unique(at[kept], return_inverse=True)
+        self.names = [self.names[i] for i in used]
+        self.found = [(query[kept], at, score[kept])]
+        self.held = int(kept.sum())
+        return self.found[0]
+
+
+def best_texts(tf: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """At most k rows a query and task from ``tf`` (repo, chunk_id, len, word, tf), whose chunks lie in one piece.
+
+    The weights are collected: the caller has counted them to be at most ``WEIGHT_CELLS``.
+    """
+    asked = weights.toPandas()
+    queries, of_query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    words, of_word = np.unique(asked["word"].to_numpy(str), return_inverse=True)
+    matrix = np.zeros((len(queries), len(words)))
+    matrix[of_query, of_word] = asked["w"]
+    number = {w: i for i, w in enumerate(words.tolist())}
+    kinds = dict(tf.dtypes) | dict(weights.dtypes)
+    cells = BATCH_CELLS // max(1, len(words))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = TopTexts(matrix, k)
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            first = np.flatnonzero(rows["first"].to_numpy())
+            if len(first) > 1:
+                score_rows(top, rows[: first[-1]])
+            held = rows[first[-1] :].reset_index(drop=True) if len(first) else rows
+        if held is not None and len(held):
+            score_rows(top, held)
+        if top.found:
+            query, at, score = top.cut()
+            yield pd.DataFrame(
+                {"query_id": queries[query], "repo": [top.names[i][0] for i in at], "chunk_id": [top.names[i][1] for i in at], "score": score}
+            )
+
+    def score_rows(top: TopTexts, rows: pd.DataFrame) -> None:
+        chunk = np.cumsum(rows["first"].to_numpy()) - 1
+        word = rows["word"].map(number).to_numpy()
+        value = rows["tf"].to_numpy() / np.sqrt(rows["len"].to_numpy())
+        heads = rows[rows["first"].to_numpy()]
+        repos = [r if isinstance(r, str) else None for r in heads["repo"]]
+        names = list(zip(repos, heads["chunk_id"].tolist(), strict=True))
+        for start in range(0, len(names), max(1, cells)):
+            end = min(len(names), start + max(1, cells))
+            here = slice(*np.searchsorted(chunk, [start, end]))
+            top.add(names[start:end], chunk[here] - start, word[here], value[here])
+
+    return tf.mapInPandas(walk, LEXICAL_HITS.format(kinds["query_id"], kinds["chunk_id"]))
+
+
+BATCH_CELLS = 4_000_000  # chunks times words scored at once
+
+
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, cells: int = WEIGHT_CELLS) -> DataFrame:
     """Text search when no vectors are at hand: tf-idf over whole lower-case words, by chunk length.
 
     Chunks are known by repository and id, of any type. Every chunk counts its own words and sends one row
     per distinct word that is asked for. Scores are rounded, ties go to the lower chunk id, then repository.
+
+    As long as queries times asked words are at most ``cells``, the weights go to the chunks: each task scores
+    its own and hands on k a query, so nothing grows with queries times chunks. Beyond that the words are
+    joined, with the same result.
     """
     one = F.lit(1)
     asked = (
@@ -517,15 +616,25 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) ->
     total = chunks.agg(F.count(one).alias("n_chunks")).withColumn("_one", one)
     weights = asked.join(idf, "word").join(F.broadcast(total), "_one")  # a single row
     idf2 = F.pow(F.log(1 + F.col("n_chunks") / F.col("df")), 2)
-    weights = weights.select("query_id", "word", (F.col("qf") * idf2).alias("w"))
-    scored = (
-        tf.join(weights, "word")
-        .groupBy("query_id", "repo", "chunk_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("tf") / F.sqrt("len")), SCORE_DIGITS).alias("score"))
-    )
+    weights = weights.select("query_id", "word", (F.col("qf") * idf2).alias("w")).filter("query_id is not null")
+    size = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("word").alias("w")).first()
+    if size["q"] * size["w"] <= cells:
+        scored = best_texts(_in_pieces(tf), weights, k)
+    else:
+        scored = (
+            tf.join(weights, "word")
+            .groupBy("query_id", "repo", "chunk_id")
+            .agg(F.round(F.sum(F.col("w") * F.col("tf") / F.sqrt("len")), SCORE_DIGITS).alias("score"))
+        )
     return top_per_group(scored, ["query_id"], best_first(), k)
 
 
+def _in_pieces(tf: DataFrame) -> DataFrame:
+    """The rows of each chunk one after the other, ``first`` at its first."""
+    own = Window.partitionBy("repo", "chunk_id").orderBy("word")
+    return tf.withColumn("first", F.row_number().over(own) == 1)
+
+
 def fuzzy_score(target: Column, query: str) -> Column:
     """1000 exact, 900 prefix, 800 minus position for a substring; else 10 per consecutive and 1 per other
     matched character; null when the characters do not occur in order."""

@@ -13,7 +13,6 @@ from corpuslens.operators import symbols as Y
 from corpuslens.plans import code as C
 from corpuslens.plans.corpus import MARKER_SQL, ROOT_FILES
 from corpuslens.plans.derived import run_sql, table, with_derived
-from corpuslens.plans.search import QUERY_SQL, SCORED
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -80,11 +79,12 @@ def _patterns(spark, sf):
 RELATED = r"""(regexp_replace({a}, '/?[^/]*$', '') = regexp_replace({b}, '/?[^/]*$', '') or
   regexp_replace(regexp_extract({a}, '[^/]*$'), '\.(test|spec)\.(ts|js|tsx|jsx)$', '') = regexp_replace(regexp_extract({b}, '[^/]*$'), '\.(test|spec)\.(ts|js|tsx|jsx)$', ''))"""
 PATTERNS = f"""
-{QUERY_SQL}, {SCORED},
-each as (select * from (select *, row_number() over (partition by query_id, repo order by score desc, chunk_id) as rn from scored) s where rn <= 3),
-pa as (select o.path as file, f.path as file_path, e.score as similarity, e.chunk_id % 3 as concepts, f.text as code
-  from each e join q on q.query_id = e.query_id join code_files o on o.doc_id = q.vec_id
-  join (select c.doc_id, c.path, d.text from code_files c join documents d using (doc_id)) f on f.doc_id = e.chunk_id where o.path <> f.path),
+vf as (select v.repo, v.chunk_id, c.path as file, cast(v.embedding as double[]) as embedding from vectors v join code_files c on c.doc_id = v.chunk_id),
+each as (select * from (
+  select a.file, b.file as file_path, b.chunk_id, round(list_cosine_similarity(b.embedding, a.embedding), 6) as similarity,
+    row_number() over (partition by a.chunk_id, b.repo order by round(list_cosine_similarity(b.embedding, a.embedding), 6) desc, b.chunk_id) as rn
+  from vf a join vf b on not contains(b.file, a.file)) s where rn <= 3),
+pa as (select e.file, e.file_path, e.similarity, e.chunk_id % 3 as concepts, d.text as code from each e join documents d on d.doc_id = e.chunk_id),
 ps as (select *, {RELATED.format(a='file', b='file_path')} as near from pa),
 pt as (select file, file_path as item_key, code as content, round(least(1.0, case when similarity > 0.95 then 0.7::double else 1 end * (similarity + case when near then 0.2::double else 0 end + concepts * 0.1::double)), 6) as score,
   concat_ws(', ', concat(cast(round(similarity * 100) as int), '% similar'), case when near then 'related location' end,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import extension
+from corpuslens.functions.windows import join_null_safe
 from corpuslens.operators.chunks import chunk_files
 from corpuslens.operators.ignore import DEFAULT_EXTENSIONS
 from corpuslens.operators.indexing import build_manifest, with_content
@@ -64,7 +65,7 @@ def current_chunks(spark: SparkSession, location: str) -> DataFrame:
         "repo", F.col("path").alias("file_path"), F.col("text_seq").alias("seq")
     )
     rows = _read(spark, location, "chunks", CHUNKS).drop("run", "batch")
-    own = rows.join(valid, ["repo", "file_path", "seq"], "left_semi")
+    own = join_null_safe(rows, valid, ["repo", "file_path", "seq"], "left_semi")
     return own.dropDuplicates(["repo", "file_path", "seq", "chunk_index"]).drop("seq")
 
 
@@ -83,9 +84,10 @@ def write_batch(
         rows = _read(spark, location, "manifest", MANIFEST)
         repos = [r.repo for r in last.select("repo").distinct().limit(PRUNED_REPOS + 1).collect()]
         if len(repos) <= PRUNED_REPOS:
-            rows = rows.filter(F.col("repo").isin([r for r in repos if r is not None]))
+            named = F.col("repo").isin([r for r in repos if r is not None])
+            rows = rows.filter(named | F.col("repo").isNull() if None in repos else named)
         known = _valid(rows).select("repo", "path", *[F.col(c).alias(f"_{c}") for c in VERSION])
-        newer = last.join(known, ["repo", "path"], "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
+        newer = join_null_safe(last, known, ["repo", "path"], "left").filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
         gone = newer.filter("op = 'unlink'").select(
             "repo", "path", F.lit(None).cast("string").alias("hash"), F.lit(0).alias("n_chunks"),
             F.array().cast("array<string>").alias("chunk_ids"), F.lit(True).alias("deleted"), "seq", F.col("seq").alias("text_seq"),
@@ -98,8 +100,8 @@ def write_batch(
         )
         fresh = kept.filter(~equal).select("repo", "path", "content", "seq")
         seqs = fresh.select("repo", "path", "seq")
-        made = build_manifest(fresh).join(seqs, ["repo", "path"]).withColumn("deleted", F.lit(False)).withColumn("text_seq", F.col("seq"))
-        chunks = chunk_files(fresh).join(seqs.withColumnRenamed("path", "file_path"), ["repo", "file_path"])
+        made = join_null_safe(build_manifest(fresh), seqs, ["repo", "path"]).withColumn("deleted", F.lit(False)).withColumn("text_seq", F.col("seq"))
+        chunks = join_null_safe(chunk_files(fresh), seqs.withColumnRenamed("path", "file_path"), ["repo", "file_path"])
         # chunks first: a manifest row never points at chunks that are not there
         for table, kind in ((chunks, "chunks"), (made.unionByName(gone).unionByName(same), "manifest")):
             table.write.mode("overwrite").partitionBy("repo").parquet(f"{location}/{kind}/run={run}/batch={batch}")
@@ -131,7 +133,8 @@ def compact(spark: SparkSession, location: str, target: str) -> None:
     """Write the valid versions alone to a new location, to which readers and streams can then change."""
     valid = _valid(_read(spark, location, "manifest", MANIFEST))
     texts = valid.filter(~F.col("deleted")).select("repo", F.col("path").alias("file_path"), F.col("text_seq").alias("seq"))
-    chunks = _read(spark, location, "chunks", CHUNKS).drop("run", "batch").join(texts, ["repo", "file_path", "seq"], "left_semi")
+    rows = _read(spark, location, "chunks", CHUNKS).drop("run", "batch")
+    chunks = join_null_safe(rows, texts, ["repo", "file_path", "seq"], "left_semi")
     chunks = chunks.dropDuplicates(["repo", "file_path", "seq", "chunk_index"])
     for table, kind in ((chunks, "chunks"), (valid, "manifest")):
         table.write.partitionBy("repo").parquet(f"{target}/{kind}/run=compact/batch=0")

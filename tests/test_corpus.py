@@ -136,3 +136,24 @@ def test_bytes_that_are_not_utf8_do_not_fail_the_read(spark, tmp_path):
     assert got == {"a.ts": "caf\ufffd", "b.ts": "ok"}
     df = spark.createDataFrame([(None, "Y2Fm6Q=="), ("", "!not base64!"), ("x", None)], "content string, b string")
     assert [r.c for r in df.select(X.decode_content(F.col("content"), F.col("b")).alias("c")).collect()] == ["caf\ufffd", "", "x"]
+
+
+def test_null_repositories_in_diffs_and_updates(spark):
+    kind = "repo string, path string, content string"
+    old = spark.createDataFrame([(None, "a", "one\n" * 900), (None, "b", "two"), (None, "c", "three"), ("r", "a", "four")], kind)
+    new = spark.createDataFrame([(None, "a", "one"), (None, "b", "two"), (None, "d", "five"), ("r", "a", "four")], kind)
+    manifest = X.build_manifest(old)
+    change = {(r.repo, r.path): r.change for r in X.index_diff(manifest, new).collect()}
+    assert change == {(None, "a"): "changed", (None, "b"): "unchanged", (None, "c"): "deleted", (None, "d"): "added", ("r", "a"): "unchanged"}
+    gone = X.missing_files(manifest, new)
+    assert [(r.repo, r.path) for r in gone.collect()] == [(None, "c")]
+    chunks, after = X.update_index(C.chunk_files(old), manifest, new, gone)
+    assert {(r.repo, r.file_path, r.text) for r in chunks.collect()} == {
+        (None, "a", "one"), (None, "b", "two"), (None, "d", "five"), ("r", "a", "four")
+    }
+    assert sorted(map(repr, ((r.repo, r.path, r.hash) for r in after.collect()))) == sorted(
+        map(repr, ((r.repo, r.path, r.hash) for r in X.build_manifest(new).collect()))
+    )
+    report = {r.repo: (r.files_processed, r.chunks_added) for r in X.update_report(manifest, new).collect()}
+    assert report[None] == (2, 2) and report["r"] == (0, 0)
+    assert {r.repo: r.files_in_manifest for r in X.index_report(old, manifest).collect()} == {None: 3, "r": 1}

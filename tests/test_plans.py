@@ -1,6 +1,10 @@
 """Shape of the plans: no products, group limits before shuffles, no Python where expressions do."""
 
 import io
+import os
+import shutil
+import subprocess
+import sys
 from contextlib import redirect_stdout
 
 import pytest
@@ -51,3 +55,17 @@ def test_severity_filter_is_pushed_and_columns_pruned(spark):
 def test_registry_names_match():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
     assert len(registry.QUERIES) > 125
+
+
+def test_the_entry_imports_without_the_training_operators(tmp_path):
+    """With the subpackage and its tests deleted, with and without the pipeline module."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    run = [sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()))"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for _ in range(2):
+        done = subprocess.run(run, cwd=copy, env=env, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr
+        assert int(done.stdout.split()[-1]) == len(registry.QUERIES)
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)

@@ -1,5 +1,7 @@
 """Vector and text search against brute force."""
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -156,3 +158,36 @@ def test_related_files_with_odd_names_and_arguments(spark):
     assert {(r.path, r.related) for r in S.related_files(df).collect()} == pairs | {(b, a) for a, b in pairs}
     got = S.related_files(df, directory="e", pattern="*.test.*").collect()
     assert {(r.path, r.related) for r in got} == {(p, "e/b.test.ts") for p in ("d/y.(bak", "d/x.(bak", "d/a.ts", "e/c.ts")}
+
+
+def test_lexical_search_is_the_same_by_weights_and_by_joins(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + ["É", "hot"]
+    data = [(rng.choice(["a", "b", None]), f"c{i:04d}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))) for i in range(700)]
+    data += [("a", f"same{i}", "hot w1 w2") for i in range(40)] + [("b", "same3", "hot w1 w2"), ("a", "none", None)]
+    chunks = spark.createDataFrame(data, "repo string, chunk_id string, text string").repartition(7)
+    asked = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(30)] + [(90, "hot W1"), (91, ""), (92, None), (93, "unknown"), (94, "é é")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    scored, joined = S.lexical_search(chunks, queries, 5), S.lexical_search(chunks, queries, 5, cells=0)
+    rows_ = lambda df: sorted((r.query_id, -r.score, r.chunk_id, repr(r.repo)) for r in df.collect())
+    assert rows_(scored) == rows_(joined) and len(rows_(scored)) > 150
+    assert S.lexical_search(chunks, queries.limit(0), 5).count() == 0
+
+
+def test_top_texts_hold_no_more_than_they_need():
+    rng = np.random.default_rng(3)
+    weights = rng.random((6, 20))
+    top, names, cells = S.TopTexts(weights, 3), [], []
+    for batch in range(50):
+        here = [("r", f"c{batch:02d}{i:02d}") for i in range(30)]
+        chunk, word = np.divmod(np.arange(600), 20)
+        value = rng.integers(0, 3, 600).astype(float)
+        top.add(here, chunk, word, value)
+        names += here
+        cells.append(value.reshape(30, 20))
+        assert len(top.names) <= 8 * 3 * 6 + 30 * 2
+    scores = np.round(weights @ np.concatenate(cells).T, 6)
+    query, at, score = top.cut()
+    for q in range(6):
+        want = sorted((-s, n[1]) for s, n in zip(scores[q], names, strict=True))[:3]
+        assert [(-s, top.names[a][1]) for a, s in zip(at[query == q], score[query == q], strict=True)] == want

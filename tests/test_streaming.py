@@ -181,3 +181,16 @@ def test_long_answers_are_cut_into_segments(spark):
         "usage", F.lit(None).cast("struct<total_tokens:long>")
     )
     assert D.reassemble(events).first().text == "".join(f"{i}," for i in range(5000))
+
+
+def test_a_null_repository_is_one_like_others(spark, tmp_path):
+    location = str(tmp_path / "index")
+    rows = [(None, "a.ts", "add", "x\n" * 5, 0), ("r", "a.ts", "add", "y", 0), (None, "b.ts", "add", "z", 1)]
+    later = [(None, "a.ts", "change", "new", 2), (None, "b.ts", "unlink", None, 3), (None, "a.ts", "change", "old", 1)]
+    for batch, part in enumerate((rows, later)):
+        S.write_batch(spark.createDataFrame(part, S.CHANGE), batch, location)
+    found = {(r.repo, r.file_path, r.text) for r in S.current_chunks(spark, location).collect()}
+    assert found == {(None, "a.ts", "new"), ("r", "a.ts", "y")}
+    assert {(r.repo, r.path) for r in S.current_manifest(spark, location).collect()} == {(None, "a.ts"), ("r", "a.ts")}
+    S.compact(spark, location, str(tmp_path / "small"))
+    assert {(r.repo, r.text) for r in S.current_chunks(spark, str(tmp_path / "small")).collect()} == {(None, "new"), ("r", "y")}
