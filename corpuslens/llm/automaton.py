@@ -12,20 +12,21 @@ state is not copied when it is split: it holds the arcs taken away by its own ga
 points to the state it was split from as of the rank of the split. A merge whose two tokens can no longer meet
 gets no gadget and its token no arc.
 
-A word is encoded by table-driven transitions: from each of its positions the tokens that begin there are
-read off a trie, and those that leave the automaton's state at the position as arcs are taken. Every prefix of
-a word has one encoding, so every position has one state and the walk is linear in the word. Decoding emits
-the labels of the arcs.
+A word is encoded by table-driven transitions: the tokens that begin at a position are read off a trie, and
+the longest that leaves the automaton's state as an arc is taken; a position from which no arc leads on is
+left for good. Every prefix of a word has one encoding, so a position has one state, is entered once, and the
+walk is linear in the word. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,13 @@ from pyspark.sql import functions as F
 from corpuslens.llm.tokens import byte_letters
 
 NEVER = 1 << 40  # a rank after all merges
+TOKEN = -1  # key of a trie node for its token
 CACHE_ARCS = 1_000_000  # of one worker
-CACHE_CHUNKS = 300_000  # of one worker, twice at most
+CACHE_CHUNKS = 300_000  # of one worker, twice at most, and as many words
 LONGEST_CACHED = 200  # characters of a chunk that is kept
-BATCH_CHARS = 4 << 20  # of the texts that are encoded and handed back at a time
+MARKS = ".,;:!?()"
+LAST_LATIN = 0x24F
+BATCH_BYTES = 4 << 20  # of the texts or ids that are worked on at a time
 
 
 class MergeAutomaton:
@@ -97,41 +101,50 @@ class MergeAutomaton:
         for k in sorted(names, key=self.made.__getitem__):
             spelled[k] = (k,) if self.left[k] < 0 else spelled[self.left[k]] + spelled[self.right[k]]
         self.lengths = [0] * self.size
-        self.step: dict[int, int] = {}  # (node, symbol) -> node
-        self.token_at = [-1]
+        self.trie: dict = {}  # symbol -> node; under TOKEN the token that ends at the node
         for k, symbols in spelled.items():
             self.lengths[k] = len(symbols)
-            if not self.live[k]:
-                continue
-            node = 0
-            for s in symbols:
-                key = node * self.size + s
-                if key not in self.step:
-                    self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = self.step[key]
-            self.token_at[node] = k
+            if self.live[k]:
+                node = self.trie
+                for s in symbols:
+                    node = node.setdefault(s, {})
+                node[TOKEN] = k
 
     def encode(self, symbols: list[int]) -> list[int]:
         """Tokens of a word given in symbols."""
-        n = len(symbols)
-        last = [-1] * (n + 1)  # the token that ends at each position, that is the state there
-        step, token_at, size, arc = self.step, self.token_at, self.size, self.arc
-        for start in range(n):
-            before, node = last[start], 0
-            for end in range(start, n):
-                node = step.get(node * size + symbols[end])
-                if node is None:
+        n, at, last = len(symbols), 0, -1
+        lengths, arc = self.lengths, self.arc
+        path: list[int] = []
+        open_arcs: list[list[int]] = []  # for each token of the path the shorter ones that begin there
+        dead = set()  # positions that cannot reach the end
+        options = self._begin(symbols, 0)
+        while at < n:
+            while options:
+                token = options.pop()
+                if (last < 0 or arc(last, token)) and at + lengths[token] not in dead:
+                    path.append(token)
+                    open_arcs.append(options)
+                    at, last = at + lengths[token], token
+                    options = self._begin(symbols, at) if at < n else []
                     break
-                token = token_at[node]
-                if token >= 0 and last[end + 1] < 0 and (start == 0 or arc(before, token)):
-                    last[end + 1] = token
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= self.lengths[last[at]]
-        out.reverse()
-        return out
+            else:
+                dead.add(at)
+                at -= lengths[path.pop()]
+                last = path[-1] if path else -1
+                options = open_arcs.pop()
+        return path
+
+    def _begin(self, symbols: list[int], at: int) -> list[int]:
+        """The tokens that begin at a position, the longest last."""
+        node, found = self.trie, []
+        for k in range(at, len(symbols)):
+            node = node.get(symbols[k])
+            if node is None:
+                break
+            token = node.get(TOKEN)
+            if token is not None:
+                found.append(token)
+        return found
 
 
 class Codec:
@@ -159,6 +172,7 @@ class Codec:
         self.automaton = MergeAutomaton(ids, merges)
         self.symbols = {t: k for t, k in ids.items() if self.automaton.made[k] < 0}
         self.by_blanks = _drops_blanks(spec)
+        self.plain = self._plain_chunks() if self.by_blanks else None
         kind = (spec["decoder"] or {}).get("type")
         if kind not in (None, "ByteLevel"):
             raise ValueError("unknown decoder")
@@ -166,32 +180,68 @@ class Codec:
         self.labels: list[str | bytes | None] = [None] * (max(names.values()) + 1)
         letters = byte_letters()
         for token, k in names.items():
-            own = bytes(letters[c] for c in token) if kind and token not in self.special else token.encode()
-            self.labels[k] = own if kind else token
+            self.labels[k] = token if kind is None or token in self.special else bytes(letters[c] for c in token)
         self.joined = kind is None  # labels are joined by blanks, else their bytes are strung together
+        self.label_table = pa.array([x.encode() if isinstance(x, str) else x for x in self.labels], pa.binary())
+        self.letter_of = {byte: letter for letter, byte in letters.items()}
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.young_pieces: dict[str, bytes] = {"": b""}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, normalized, in byte letters."""
+        whole = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [letters for letters, _ in self.splitter.pre_tokenize_str(whole)]
+
+    def _plain_chunks(self) -> regex.Pattern | None:
+        """A pattern of chunks that are one word and one run of marks: Latin letters and marks that the file's own
+        normalizing and splitting, asked for each of them, treats so."""
+        in_bytes = {byte: letter for letter, byte in byte_letters().items()}
+        spelled = lambda word: "".join(map(in_bytes.__getitem__, word.encode()))
+        letters = [c for c in map(chr, range(LAST_LATIN + 1)) if c.isalpha() and self._split(f"a{c}{c}a") == [spelled(f"a{c}{c}a".lower())]]
+        marks = [c for c in MARKS if self._split(f"a{c}{c}") == ["a", c + c] and self._split(f"{c}{c}") == [c + c]]
+        if not letters or not marks:
+            return None
+        return regex.compile(f"([{''.join(letters)}]+)([{regex.escape(''.join(marks))}]*)")
 
     def _word(self, letters: str) -> list[int]:
-        spelled = [*letters[:-1], letters[-1] + self.ends]
-        return self.automaton.encode([self.symbols[s] for s in spelled])
+        symbols = list(map(self.symbols.__getitem__, letters[:-1]))
+        symbols.append(self.symbols[letters[-1] + self.ends])
+        return self.automaton.encode(symbols)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one lower-case word or run of marks."""
+        found = self.young_pieces.get(piece)
+        if found is None:
+            found = self.old_pieces.get(piece)
+            if found is None:
+                letters = piece if piece.isascii() else "".join(map(self.letter_of.__getitem__, piece.encode()))
+                found = np.array(self._word(letters), "<u4").tobytes()
+            if len(piece) <= LONGEST_CACHED:
+                if len(self.young_pieces) >= CACHE_CHUNKS:
+                    self.old_pieces, self.young_pieces = self.young_pieces, {"": b""}
+                self.young_pieces[piece] = found
+        return found
 
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        if text:
-            whole = self.normalizer.normalize_str(text) if self.normalizer else text
-            for letters, _ in self.splitter.pre_tokenize_str(whole):
-                out += self._word(letters)
-        return out
+    def _text(self, text: str) -> bytes:
+        ids: list[int] = []
+        for part in self.special_at.split(text) if self.special_at else [text]:
+            if part in self.special:
+                ids.append(self.special[part])
+            elif part:
+                for letters in self._split(part):
+                    ids += self._word(letters)
+        return np.array(ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            parts = self.special_at.split(chunk) if self.special_at else [chunk]
-            out: list[int] = []
-            for part in parts:
-                out += [self.special[part]] if part in self.special else self._plain(part)
-            found = np.array(out, "<u4").tobytes()
+            plain = self.plain.fullmatch(chunk) if self.plain else None
+            if plain:
+                found = self._piece(plain[1].lower()) + self._piece(plain[2])
+            else:
+                found = self._text(chunk)
         if len(chunk) <= LONGEST_CACHED:
             if len(self.young) >= CACHE_CHUNKS:
                 self.old, self.young = self.young, {"": b""}
@@ -201,20 +251,29 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not self.by_blanks:
-            return self._chunk(text)
+            return self._text(text)
         chunks = text.replace("\n", " ").split(" ")
         found = list(map(self.young.get, chunks))
         if None in found:
             found = [self._chunk(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
         return b"".join(found)
 
-    def decode(self, ids: bytes) -> str:
-        """The labels of the ids; unknown ids have none. Bytes that are no UTF-8 are replaced."""
-        labels, n = self.labels, len(self.labels)
-        found = [labels[k] for k in np.frombuffer(ids, "<u4").tolist() if k < n]
+    def decode(self, batch: pa.Array) -> pa.Array:
+        """The labels of each row of ids; unknown ids have none, a null row is empty. What is no UTF-8 is replaced."""
+        rows = pc.fill_null(batch, b"")
+        sizes = pc.binary_length(rows).to_numpy(zero_copy_only=False) // 4
+        ids = np.frombuffer(b"".join(rows.to_pylist()), "<u4")
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        known = ids < len(self.labels)
+        labels = self.label_table.take(pa.array(np.where(known, ids, 0), mask=~known))
+        if labels.null_count:
+            here = labels.is_valid().to_numpy(zero_copy_only=False)
+            offsets = np.append(0, np.cumsum(here))[offsets].astype(np.int32)
+            labels = labels.drop_null()
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), labels), b" " if self.joined else b"")
         if self.joined:
-            return " ".join([x for x in found if x is not None])
-        return b"".join([x for x in found if x is not None]).decode("utf-8", "replace")
+            return texts.cast(pa.string())
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 def _drops_blanks(spec: dict) -> bool:
@@ -244,10 +303,10 @@ def codec(path: str) -> Codec:
 
 
 def _parts(sizes: list[int]) -> Iterator[slice]:
-    """Runs of rows of about BATCH_CHARS, one row at least."""
+    """Runs of rows of about BATCH_BYTES, one row at least."""
     start = total = 0
     for k, size in enumerate(sizes):
-        if k > start and total + size > BATCH_CHARS:
+        if k > start and total + size > BATCH_BYTES:
             yield slice(start, k)
             start, total = k, 0
         total += size
@@ -255,19 +314,16 @@ def _parts(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def _mapped(df: DataFrame, column: str, name: str, kind: str, one) -> DataFrame:
-    """``df`` with ``name``: what ``one`` makes of ``column``, in slices so that a batch stays small."""
+def _mapped(df: DataFrame, column: str, name: str, kind: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with ``name``: what ``work`` makes of ``column``, in slices so that a batch stays small."""
     schema = ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], f"`{name}` {kind}"])
-    arrow = {"binary": pa.binary(), "string": pa.string()}[kind]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = one()
         for batch in batches:
-            values = batch.column(column).to_pylist()
-            for part in _parts([len(v or "") for v in values]):
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            for part in _parts(sizes):
                 rows = batch.slice(part.start, part.stop - part.start)
-                made = pa.array([work(v) for v in values[part]], arrow)
-                yield pa.RecordBatch.from_arrays([*rows.columns, made], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*rows.columns, work(rows.column(column))], names=[*batch.schema.names, name])
 
     return df.mapInArrow(walk, schema)
 
@@ -278,13 +334,17 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     As the tokenizer library encodes without added tokens; special strings inside a text are special tokens.
     A null or empty text has no ids; repeated rows have a result each; nothing moves between tasks.
     """
-    found = _mapped(docs.select("doc_id", "text"), "text", "ids", "binary", lambda: lambda text: codec(path).encode(text or ""))
-    return found.select("doc_id", "ids")
+
+    def work(texts: pa.Array) -> pa.Array:
+        own = codec(path)
+        return pa.array([own.encode(t or "") for t in texts.to_pylist()], pa.binary())
+
+    return _mapped(docs.select("doc_id", "text"), "text", "ids", "binary", work).select("doc_id", "ids")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the text that the ids stand for; null ids are none."""
-    return _mapped(encoded, "ids", "decoded", "string", lambda: lambda ids: codec(path).decode(ids or b""))
+    return _mapped(encoded, "ids", "decoded", "string", lambda ids: codec(path).decode(ids))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import docs, rows
@@ -164,11 +165,13 @@ def texts(n, seed):
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_the_automaton_encodes_and_decodes_as_the_library(path):
     library, own = Tokenizer.from_file(path), automaton.Codec(path)
-    for text in [*texts(2000, 9), "", "a" * 3000, "ab" * 1500, "#" * 999]:
+    latin = [chr(k) for k in range(0x250)]
+    pairs = [a + b + c for a in latin for b, c in (("", "."), ("a", ",;"), ("É", "'s"), ("\u0301", "!"))]
+    for text in [*texts(2000, 9), *pairs, "", "a" * 3000, "ab" * 1500, "#" * 999]:
         want = library.encode(text, add_special_tokens=False).ids
         ids = own.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
-        assert own.decode(ids) == library.decode(want, skip_special_tokens=False), repr(text)
+        assert own.decode(pa.array([ids]))[0].as_py() == library.decode(want, skip_special_tokens=False), repr(text)
 
 
 def brute_merges(word, merges):
@@ -216,7 +219,16 @@ def test_small_caches_change_nothing(monkeypatch):
         monkeypatch.setattr(automaton, name, 3)
     own = automaton.Codec(WORDS)
     assert [own.encode(t) for t in texts(300, 4)] == want
-    assert len(own.young) <= 4 and len(own.automaton.arcs) <= 3
+    assert len(own.young) <= 4 and len(own.young_pieces) <= 4 and len(own.automaton.arcs) <= 3
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_rows_of_ids_are_decoded_apart(path):
+    library, own = Tokenizer.from_file(path), automaton.Codec(path)
+    lists = [[5, 300], [], [70_000, 1, 2, 4_000_000_000], [70_000], list(range(256)), [49_407, 3]]
+    got = own.decode(pa.array([*(np.array(ids, "<u4").tobytes() for ids in lists), None])).to_pylist()
+    known = [[k for k in ids if library.id_to_token(k) is not None] for ids in lists]
+    assert got == [library.decode(ids, skip_special_tokens=False) for ids in known] + [""]
 
 
 def test_digests_of_awkward_rows(spark):
