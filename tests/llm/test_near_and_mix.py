@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs, rows, sentence
 
@@ -40,10 +41,55 @@ def test_keep_one_keeps_columns(spark):
     table = docs(spark).withColumn("component_id", F.lit("own")).withColumn("row_key", F.lit(2)).withColumn("node", F.lit(3))
     out = minhash.keep_one(table)
     want = Counter(d for d, _, _, kept in brute.components([(r[0], r[1]) for r in rows()], 5) if kept)
+    want[3007] = 1  # of a row that is there twice one stays
     assert out.columns == table.columns and Counter(r.doc_id for r in out.collect()) == want
     assert minhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_a_group(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    data = [(1, text, "en", "a", 0)] * 5 + [(1, text + " more", "en", "b", 0), (2, text, "de", "c", 1), (None, text, "de", "c", 1)]
+    data += [(9, "other words that stand alone here", "en", "a", 0), (None, "no id and quite alone here", "en", "a", 0), (5, None, "en", "a", 0)]
+    data += [(5, None, "en", "a", 0)]
+    out = minhash.keep_one(docs(spark, data)).collect()
+    assert sorted(repr(r.doc_id) for r in out) == sorted(["1", "9", "None", "5", "5"])
+
+
+def test_no_filter_loses_a_pair_at_the_threshold():
+    """Pairs of sets at 0.8 or a little more pass the marks: exactly for small sets, of all sizes on both sides of SMALL."""
+    rng = np.random.default_rng(8)
+    lost = tried = 0
+    for k in range(20_000):
+        n = int(rng.integers(4, 21)) if k < 15_000 else int(rng.integers(20, 400))
+        values = np.unique(rng.integers(0, 2**63, 2 * n + 9, dtype=np.uint64) * np.uint64(2) + np.uint64(k % 2))
+        rng.shuffle(values)
+        common = n - n // 5 if k % 3 else n
+        own = (n - common) if k % 2 else 0  # the two sets differ on one side or on both
+        a, b = values[:n], np.concatenate([values[:common], values[n : n + (n // 4 if common == n else own)]])
+        together = len(np.intersect1d(a, b))
+        if 100 * together < 80 * (len(a) + len(b) - together):
+            continue
+        tried += 1
+        sets = [np.sort(a), np.sort(b)]
+        least = [minhash.minima(s) for s in sets]
+        bands = minhash.band_keys(np.array(least)).view(np.int64)
+        shared = np.flatnonzero(bands[0] == bands[1])
+        if not len(shared):
+            continue  # the bands' own loss
+        cell = minhash.Cell(
+            pa.table(
+                {
+                    "bucket": [int(bands[0][shared[0]])] * 2, "x": [0, 0], "y": [0, 0], "block": [0, 0], "node": [1, 2],
+                    "n": [len(a), len(b)], "comp": [1, 2], "bands": [x.tolist() for x in bands],
+                    "marks": [minhash.marks_of(s, v, 80) for s, v in zip(sets, least, strict=True)],
+                }
+            ),
+            80,
+        )
+        lost += len(cell.partners(0)) != 1
+    assert tried > 10_000 and lost == 0
+
+
 def test_minima_borrow_only_for_empty_bins():
     rng = np.random.default_rng(1)
     for n in (1, 3, 50, 400):
@@ -91,6 +137,25 @@ def test_mix_reaches_targets(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_repeated_rows_are_decided_one_by_one(spark):
+    """A source of 1,000 equal rows comes as near to its target as one of different rows."""
+    data = [(7, "ten words " * 5, "en", "a", 0)] * 1000 + [(100 + i, f"w{i} " * (5 + i % 40), "en", "bc"[i % 2], 0) for i in range(800)]
+    got = mixing.mix_report(docs(spark, data)).collect()
+    assert len(got) == len(data)
+    sums, goal = Counter(), {}
+    for r in got:
+        source = "a" if r.doc_id == 7 else "bc"[(r.doc_id - 100) % 2]
+        sums[source] += r.taken
+        goal[source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(sums[s] / goal[s] - 1) < 0.002 for s in goal), (sums, goal)
+    out = mixing.mix(docs(spark, data))
+    words = Counter()
+    for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.btrim("text"), " "))).alias("n")).collect():
+        words[r.source] = r.n
+    assert words == sums
+
+
 def test_tilt_is_the_entropy_optimum(spark):
     """The rates minimise the bounded entropy: no shift of words between two documents lowers it."""
     sizes = spark.createDataFrame([("a", s, n) for s, n in ((5, 40), (20, 30), (90, 10), (400, 3))], "source string, size long, n long")
