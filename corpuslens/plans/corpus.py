@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths as P
+from corpuslens.functions.tables import register_chunks_of
 from corpuslens.operators import chunks as C
 from corpuslens.operators import ignore as G
 from corpuslens.operators import indexing as X
@@ -142,6 +143,20 @@ with recursive {chunk_sql('files')}
 select repo, path as file_path, chunk_index, concat(path, '::chunk-', chunk_index) as chunk_id, line_start, line_end, text from cut""")
 
 
+def _chunks_by_function(spark, sf):
+    """The chunks again, asked for in SQL."""
+    register_chunks_of(spark)
+    return spark.sql(
+        """select repo, path as file_path, c.chunk_index, c.line_start, c.line_end, md5(c.text) as text_hash
+        from {files}, lateral chunks_of(content, 2000, 4) c""", files=table(spark, sf, "files"))
+
+
+QUERIES["chunks_function"] = _chunks_by_function
+ORACLE["chunks_function"] = with_derived("files", f"""
+with recursive {chunk_sql('files')}
+select repo, path as file_path, chunk_index, line_start, line_end, md5(text) as text_hash from cut""")
+
+
 def _manifest(spark, sf, name="files"):
     return X.build_manifest(table(spark, sf, name))
 

@@ -8,6 +8,7 @@ from corpuslens.operators import deltas as D
 from corpuslens.operators.chunks import chunk_files
 from corpuslens.plans.corpus import chunk_sql
 from corpuslens.plans.derived import run_sql, table, with_derived
+from corpuslens.streaming.activity import activity_sessions, activity_windows
 from corpuslens.streaming.index_stream import changes_after
 
 QUERIES: dict = {}
@@ -89,3 +90,38 @@ ORACLE["change_event_index"] = with_derived("change_events", f"""
 with recursive last as (select repo, path, arg_max(op, seq) as op, arg_max(content, seq) filter (where op <> 'unlink') as content from change_events group by 1, 2),
 kept as (select repo, path, content from last where op <> 'unlink' and content <> ''), {chunk_sql('kept')}
 select repo, path as file_path, concat(path, '::chunk-', chunk_index) as chunk_id, line_start, line_end, md5(text) as text_hash from cut""")
+
+# Review activity as it is delivered: every event at least once, an event with an error three times.
+DELIVERED = """
+select event_id, ts, user_id, event_type, value from {events}
+union all select event_id, ts, user_id, event_type, value from {events} where event_type = 'error'
+union all select event_id, ts, user_id, event_type, value from {events} where event_type = 'error'
+"""
+SHOWN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _shown(df, *columns):
+    return df.withColumns({c: F.date_format(c, SHOWN) for c in columns})
+
+
+QUERIES["activity_windows"] = lambda spark, sf: _shown(
+    activity_windows(run_sql(spark, sf, DELIVERED), ["event_type"], "6 hours", "2 hours", "value"), "window_start", "window_end"
+)
+ORACLE["activity_windows"] = with_derived("", """
+with once as (select distinct * from delivered where ts is not null),
+slots as (select *, unnest([0, 2, 4]) as back from once)
+select event_type, strftime(w, '%Y-%m-%d %H:%M:%S.%f') as window_start, strftime(w + interval 6 hour, '%Y-%m-%d %H:%M:%S.%f') as window_end,
+  count(*) as n_events, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total_cents
+from (select *, time_bucket(interval 2 hour, ts, timestamp '1970-01-01') - to_hours(back) as w from slots) s group by event_type, w""", delivered=DELIVERED)
+
+QUERIES["activity_sessions"] = lambda spark, sf: _shown(
+    activity_sessions(run_sql(spark, sf, DELIVERED), ["user_id"], "4 hours", "value"), "session_start", "session_end"
+)
+ORACLE["activity_sessions"] = with_derived("", """
+with once as (select distinct * from delivered where ts is not null),
+gaps as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from once),
+numbered as (select *, sum(case when before is null or ts > before + interval 4 hour then 1 else 0 end)
+  over (partition by user_id order by ts, event_id rows unbounded preceding) as session from gaps)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as session_start, strftime(max(ts) + interval 4 hour, '%Y-%m-%d %H:%M:%S.%f') as session_end,
+  count(*) as n_events, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total_cents
+from numbered group by user_id, session""", delivered=DELIVERED)
