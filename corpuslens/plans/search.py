@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.operators import nearest as N
 from corpuslens.operators import search as S
 from corpuslens.operators.chunks import chunk_files
 from corpuslens.plans.corpus import chunk_sql
@@ -54,6 +55,17 @@ select query_id, repo, chunk_id, file_path, score from (
   select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from scored
   where regexp_extract(file_path, '[^.]*$') in ('ts', 'py')) s where rn <= 10""")
 
+
+
+def _ann(spark, sf):
+    """Every fiftieth vector asks the whole index; approximate, so it is tested by its recall instead of SQL."""
+    vectors = table(spark, sf, "vectors")
+    asked = vectors.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return N.ann_search(N.build_index(vectors), asked)
+
+
+QUERIES["ann_search"] = _ann
+
 # An index has a manifest only for some repositories; the others get their name from the index name.
 MANIFESTS = "select distinct repo as index, case when label % 2 = 0 then concat('org/', repo) end as repo_full_name from (select concat('repo', cast(label as varchar(20))) as repo, label from {embeddings}) e"
 
