@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import nearest as N
 from corpuslens.operators import search as S
 from corpuslens.operators.chunks import chunk_files
+from corpuslens.operators.neighbours import similar_code
 from corpuslens.plans.corpus import chunk_sql
 from corpuslens.plans.derived import run_sql, table, with_derived
 
@@ -65,6 +66,8 @@ def _ann(spark, sf):
 
 
 QUERIES["ann_search"] = _ann
+# Also approximate: the neighbour graph over all vectors.
+QUERIES["similar_code"] = lambda spark, sf: similar_code(table(spark, sf, "vectors"))
 
 # An index has a manifest only for some repositories; the others get their name from the index name.
 MANIFESTS = "select distinct repo as index, case when label % 2 = 0 then concat('org/', repo) end as repo_full_name from (select concat('repo', cast(label as varchar(20))) as repo, label from {embeddings}) e"
