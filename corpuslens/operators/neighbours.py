@@ -25,6 +25,7 @@ from corpuslens.session import cut_lineage
 LIST = 24  # neighbours kept while the graph grows
 START = 8  # neighbours on either side in each of the start orders
 ORDERS = 3  # start orders by a projection
+OFFERS = 8  # new neighbours that one list offers to one of its members in a round
 MOST_ROUNDS = 12
 FEW_CHANGES = 0.01  # of all list entries: then the graph is done
 JOIN_BYTES = 4 << 20  # of vectors in one list: longer vectors make shorter lists
@@ -100,7 +101,8 @@ def grow(lists: DataFrame, nodes: DataFrame, length: int, turn: int) -> DataFram
     """Compare what meets in a list; (node, other, score) of pairs that beat the node's last neighbour.
 
     A list is a node's neighbours and as many of the nodes that name it, taken by a hash that changes with the
-    round, since a node may be named by very many. Only pairs with a new edge are compared.
+    round, since a node may be named by very many. Only pairs with a new edge are compared, and a list offers its
+    best ``OFFERS`` to each member, so the rows sent on are bounded by rows times list length times that.
     """
     back = lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
     drawn = top_per_group(back, ["node"], [F.col("fresh").desc(), F.xxhash64("node", "other", F.lit(turn)), F.col("other")], length)
@@ -117,10 +119,17 @@ def grow(lists: DataFrame, nodes: DataFrame, length: int, turn: int) -> DataFram
         score = np.round(units @ units.T, DIGITS)
         wanted = (fresh[:, None] | fresh[None, :]) & (score > last[:, None])
         np.fill_diagonal(wanted, False)
+        if len(ids) > OFFERS:  # a member is offered the best of the list; ties to the lower node, as ids are sorted
+            order = np.argsort(np.where(wanted, -score, np.inf), axis=1, kind="stable")[:, :OFFERS]
+            best = np.zeros_like(wanted)
+            np.put_along_axis(best, order, True, axis=1)
+            wanted &= best
         a, b = np.nonzero(wanted)
         return pd.DataFrame({"node": ids[a], "other": ids[b], "score": score[a, b]})
 
-    return met.groupBy("node").applyInPandas(lambda pdf: compare(pdf), EDGE)
+    # a named number of partitions: by their bytes alone, few lists would be put into one task
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "node").groupBy("node").applyInPandas(lambda pdf: compare(pdf), EDGE)
 
 
 def neighbour_graph(

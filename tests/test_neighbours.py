@@ -49,13 +49,13 @@ def test_recall(spark, kind):
 
 
 def test_work_grows_with_the_rows(spark):
-    """Pairs that a round looks at are bounded by rows times the square of a list, and no plan pairs all rows."""
+    """Pairs that a round looks at are bounded by rows times a list times its offers, and no plan pairs all rows."""
     df = table(spark, np.random.default_rng(5).normal(size=(600, 8)))
     nodes, _ = B.nodes_of(df, 8)
     nodes = B.cut_lineage(nodes)
     lists = B.top_per_group(B.start_lists(nodes, 8, 1), ["node"], B.by_score(), 6).withColumn("fresh", B.F.lit(True))
     found = B.grow(lists, nodes, 6, 0)
-    assert found.count() <= 600 * 12 * 11
+    assert found.count() <= 600 * 12 * B.OFFERS
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
