@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths as P
+from corpuslens.functions.code_text import plain_code
 from corpuslens.functions.let import let
 from corpuslens.operators.diffs import body_lines, diff_files, hunk_texts, marked_text
 
@@ -47,11 +48,18 @@ METHOD_HEAD = r"(?m)^\s*(?:public\s+|static\s+|async\s+)*[A-Za-z_]\w*\s*\([^)\n]
 
 
 def complexity_tenths(code: Column) -> Column:
-    """Weighted count of control flow and definitions, in tenths (an exact integer)."""
-    total = F.lit(0)
-    for weight, pattern in CONSTRUCTS:
-        total = total + F.regexp_count(code, F.lit(pattern)) * weight
-    return total
+    """Weighted count of control flow and definitions, in tenths (an exact integer).
+
+    Words inside literals and comments do not count.
+    """
+
+    def count(plain):
+        total = F.lit(0)
+        for weight, pattern in CONSTRUCTS:
+            total = total + F.regexp_count(plain, F.lit(pattern)) * weight
+        return total
+
+    return let(plain_code(code), count)
 
 
 def code_complexity(files: DataFrame, key: str = "diff_id") -> DataFrame:

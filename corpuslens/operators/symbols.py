@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.code_text import strip_comments  # noqa: F401  (part of this module's interface)
 from corpuslens.functions.let import open_array
 
 # Import, export and declaration patterns of whole scripts.
@@ -109,14 +110,6 @@ def test_count(content: Column) -> Column:
     return F.regexp_count(content, F.lit(TEST_CALL))
 
 
-def strip_comments(code: Column, single: str = "//", start: str = "/*", end: str = "*/") -> Column:
-    """Remove block comments, then line comments."""
-    import re
-
-    block = f"{re.escape(start)}[\\s\\S]*?{re.escape(end)}"
-    return F.regexp_replace(F.regexp_replace(code, block, ""), f"(?md){re.escape(single)}.*$", "")
-
-
 def count_word(text: Column, name: Column) -> Column:
     """Whole-word occurrences of a name that differs per row."""
     return F.size(F.filter(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)), lambda w: w == name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths as P
+from corpuslens.functions.code_text import LINE_COMMENT, LINE_LITERAL
 from corpuslens.operators import changes as A
 from corpuslens.operators import diffs as D
 from corpuslens.plans.corpus import LANG_SQL
@@ -80,10 +81,13 @@ select df.diff_id, cast(df.file_no as int) as file_no, df.path, df.status,
 from df left join parts using (diff_id, file_no) group by 1, 2, 3, 4""")
 
 TENTHS_SQL = " + ".join(f"{w} * len(regexp_extract_all(code, '{p}'))" for w, p in A.CONSTRUCTS)
-CODE = """
-code as (select df.diff_id, df.file_no, df.path, df.status,
+LITERAL, COMMENT = (p.replace("'", "''") for p in (LINE_LITERAL, LINE_COMMENT))
+CODE = rf"""
+fragment as (select df.diff_id, df.file_no, df.path, df.status,
   coalesce(string_agg(content, chr(10) order by hunk_no, i) filter (where mark <> ' '), '') as code
-  from df left join ln using (diff_id, file_no) group by 1, 2, 3, 4)"""
+  from df left join ln using (diff_id, file_no) group by 1, 2, 3, 4),
+code as (select diff_id, file_no, path, status,
+  regexp_replace(regexp_replace(code, '({LITERAL})|{COMMENT}', '\1', 'g'), '{LITERAL}', '""', 'g') as code from fragment)"""
 
 QUERIES["code_complexity"] = lambda spark, sf: A.code_complexity(D.diff_files(table(spark, sf, "diffs")))
 ORACLE["code_complexity"] = with_derived("diffs", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.code_text import LITERAL, comment_pattern
 from corpuslens.operators import graph as G
 from corpuslens.operators import symbols as Y
 from corpuslens.plans.derived import run_sql, table, with_derived
@@ -71,11 +72,11 @@ select repo, path, cast(len(regexp_extract_all(content, '\\b(it|test|describe)\\
   array_to_string(list_concat(regexp_extract_all(content, {_q(Y.TEST_NAME)}, 1),
     list_transform(regexp_extract_all(content, {_q(Y.SUITE_NAME)}, 1), lambda n: concat('[Suite] ', n))), '|') as names from test_files""")
 
-QUERIES["strip_comments"] = lambda spark, sf: table(spark, sf, "code_files").select(
+QUERIES["strip_comments"] = lambda spark, sf: table(spark, sf, "script_files").select(
     "path", Y.strip_comments(F.col("content")).alias("code")
 )
-ORACLE["strip_comments"] = with_derived("code_files", r"""
-select path, regexp_replace(regexp_replace(content, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') as code from code_files""")
+ORACLE["strip_comments"] = with_derived("script_files", rf"""
+select path, regexp_replace(content, {_q(f"({LITERAL})|{comment_pattern()}")}, '\1', 'g') as code from script_files""")
 
 QUERIES["semantic_query"] = lambda spark, sf: run_sql(spark, sf, SNIPPETS).select(
     "doc_id", Y.semantic_query(F.col("code")).alias("query")

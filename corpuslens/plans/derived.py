@@ -115,6 +115,26 @@ from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1,
       from {documents} d) s
 """
 
+# Each code file with types that have members of every form, marks of comments inside literals and the reverse.
+DERIVED["script_files"] = """
+select doc_id, repo, path, concat(content, chr(10),
+  '// it''s a note: class Hidden { x: number; }', chr(10),
+  'const link', cast(doc_id as varchar(20)), ' = "http://host/', cast(doc_id % 7 as varchar(20)), '"; /* "open */', chr(10),
+  'const both = `a // b ', chr(10), ' /* c ', cast(doc_id % 3 as varchar(20)), ' */ } {`; // gone', chr(10),
+  case doc_id % 3
+    when 0 then concat('export abstract class Store', cast(doc_id as varchar(20)), '<K, V extends Map<string, K>>', chr(10), '  extends Base', chr(10), '  implements Shape, Other {', chr(10),
+      '  private readonly cache: Map<string, T', cast(doc_id % 5 as varchar(20)), '[]> = new Map();', chr(10), '  static size?: number', chr(10),
+      '  constructor(private a: string,', chr(10), '    b = { c: 1 }) {', chr(10), '    if (a) { this.go({ x: a }); }', chr(10), '  }', chr(10),
+      '  protected async load<R>(key: K, more?: (x: R) => void): Promise<R> {', chr(10), '    return "};" as any;', chr(10), '  }', chr(10),
+      '  handler = async (e: Event) => {', chr(10), '    await e;', chr(10), '  };', chr(10), '}', chr(10))
+    when 1 then concat('interface Node', cast(doc_id as varchar(20)), ' extends Root, Other<string> {', chr(10), '  readonly id: number;', chr(10),
+      '  kind:', chr(10), '    | "a;b"', chr(10), '    | "c"', chr(10), '  meta?: { deep: { deeper: string }; other: number },', chr(10),
+      '  visit(fn: (n: Node', cast(doc_id as varchar(20)), ') => void, depth?: number): void;', chr(10), '  [key: string]: unknown', chr(10), '}', chr(10))
+    else concat('type Point', cast(doc_id as varchar(20)), ' = { x: number, y?: Pair<A, B>, at(z: number): Point };', chr(10),
+      'export enum Level', cast(doc_id % 9 as varchar(20)), ' { Low = 1, High = "x,y", }', chr(10)) end) as content
+from {code_files}
+"""
+
 # One test file per document, under one of the names a test may have (or one that matches nothing).
 DERIVED["test_files"] = """
 select repo,

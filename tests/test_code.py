@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.code_text import plain_code
 from corpuslens.operators import graph as G
 from corpuslens.operators import ranking as R
 from corpuslens.operators import symbols as Y
@@ -170,3 +171,34 @@ def test_limits_are_arguments(spark):
     files = spark.createDataFrame([("r", "p", "enum E {" + "x, " * 400 + "}")], FILES)
     whole = Y.definitions(files, [(form, None) for form, _ in Y.DEFINITION_FORMS]).first()
     assert whole.snippet.endswith("}") and not Y.definitions(files).first().snippet.endswith("}")
+
+
+def test_literals_and_comments_are_told_apart(spark):
+    cases = {
+        'a = "http://x"; // gone': 'a = "http://x"; ',
+        "b = 'it\\'s // in'; /* ' */ c": "b = 'it\\'s // in';  c",
+        "`a // b\n /* c */`/* d\n */e": "`a // b\n /* c */`e",
+        "x // \"open\ny = 'z": "x \ny = 'z",
+        "f /* never closed\n g": "f ",
+        "'line end\n// gone": "'line end\n",
+        "": "",
+    }
+    df = spark.createDataFrame([*cases.items(), (None, None)], "code string, want string")
+    for r in df.withColumn("got", Y.strip_comments(F.col("code"))).collect():
+        assert r.got == r.want
+    plain = {
+        'if (a) { b("if (c) {") }': 'if (a) { b("") }',
+        "a /* if ( */ b // while (\nc /* open\nif (d)": "a  b \nc \nif (d)",
+        "`x ${y}\nif (z) `w": '""\nif (z) ""',
+        "/***/a/* ** b *** */c": "ac",
+    }
+    df = spark.createDataFrame(list(plain.items()), "code string, want string")
+    for r in df.withColumn("got", plain_code(F.col("code"))).collect():
+        assert r.got == r.want
+
+
+def test_million_characters_of_one_literal_or_comment(spark):
+    texts = ['"' + "\\n" * 500_000 + '" // x', "`" + "\\`" * 500_000, "/*" + "/* " * 300_000, "/" * 1_000_000, "'\n/*\n" * 200_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", F.length(Y.strip_comments(F.col("t"))).alias("a"), F.length(plain_code(F.col("t"))).alias("b")).collect()}
+    assert got == {0: (1_000_003, 3), 1: (1_000_001, 2), 2: (0, 0), 3: (0, 0), 4: (2, 800_000)}
