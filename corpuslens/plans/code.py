@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.code_text import LITERAL, comment_pattern
 from corpuslens.operators import graph as G
+from corpuslens.operators import members as M
 from corpuslens.operators import symbols as Y
 from corpuslens.plans.derived import run_sql, table, with_derived
 
@@ -356,3 +357,36 @@ asked as (select path, src as imported, regexp_split_to_array(trim(unnest(string
   union all select path, src, regexp_split_to_array(trim(unnest(string_split(b, ','))), '\s*:\s*')[1] from rq)
 select a.path, a.imported, re.resolved, a.name, coalesce({SNIPPET}) as snippet
 from asked a join re on re.path = a.path and re.imported = a.imported join code_files f on f.path = re.resolved where a.name <> ''""")
+
+QUERIES["type_members"] = lambda spark, sf: M.type_members(table(spark, sf, "script_files"))
+SQUASHED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+MEMBER_OF = f"regexp_extract(regexp_replace({SQUASHED}, {_q(M.DECORATORS)}, ''), {_q(M.MEMBER)}, ['words', 'name', 'mark', 'rest'])"
+ORACLE["type_members"] = with_derived("script_files", rf"""
+with tk as (select repo, path, unnest(ts) as t, generate_subscripts(ts, 1) as i
+  from (select repo, path, regexp_extract_all(content, {_q(M.TOKEN)}) as ts from script_files) s),
+cl as (select *, case when starts_with(t, '//') or starts_with(t, '/*') then '' else t end as c,
+  case when t in ('{{', '(', '[') then 1 when t in ('}}', ')', ']') then -1 else 0 end as step from tk),
+dp as (select *, sum(step) over w as after, sum(length(t) - length(replace(t, chr(10), ''))) over w - (length(t) - length(replace(t, chr(10), ''))) + 1 as line,
+  coalesce(sum(case when t in (';', '{{', '}}') then 1 else 0 end) over (partition by repo, path order by i rows between unbounded preceding and 1 preceding), 0) as seg
+  from cl window w as (partition by repo, path order by i)),
+hd as (select repo, path, seg, max(i) filter (where t = '{{') as opened, max(after) filter (where t = '{{') as inside,
+  regexp_extract(coalesce(string_agg(c, '' order by i) filter (where t not in (';', '{{', '}}')), ''), {_q(M.HEAD)}, ['kind', 'owner', 'rest']) as m from dp group by 1, 2, 3),
+bo as (select repo, path, opened, inside, m.kind as owner_kind, m.owner as owner,
+  coalesce((select min(i) from dp where dp.repo = hd.repo and dp.path = hd.path and i > opened and after < inside), 2147483647) as closed
+  from hd where opened is not null and m.owner not in ('', 'extends') and regexp_matches(m.rest, {_q(M.REST)})
+    and regexp_matches(m.rest, '=\s*$') = (m.kind = 'type')),
+bt as (select bo.*, i, t, c, line, after = inside and t in (';', ',', chr(10)) as ends, t = '{{' and after = inside + 1 as opens
+  from bo join dp on dp.repo = bo.repo and dp.path = bo.path and i > opened and i < closed),
+bn as (select *, coalesce(sum(case when ends then 1 else 0 end) over (partition by repo, path, opened order by i rows between unbounded preceding and 1 preceding), 0) as no from bt),
+bc as (select *, min(case when opens then i end) over (partition by repo, path, opened, no) as cut from bn),
+mb as (select repo, path, owner, owner_kind, opened, no, min(line) filter (where not ends and trim(c, concat(' ', chr(9), chr(10), chr(13))) <> '') as line,
+  coalesce(string_agg(c, '' order by i) filter (where not ends), '') as whole,
+  coalesce(string_agg(c, '' order by i) filter (where not ends and (cut is null or i < cut)), '') as start from bc group by 1, 2, 3, 4, 5, 6),
+pa as (select *, {MEMBER_OF.format('whole')} as mw, {MEMBER_OF.format('start')} as ms from mb),
+pi as (select *, case when owner_kind = 'class' and (ms.rest like '(%' or ms.rest like '<%') then ms else mw end as m from pa),
+ki as (select *, trim(m.rest) as rest, case when owner_kind = 'enum' then 'value' when m.rest like '(%' or m.rest like '<%' then 'method' else 'property' end as kind,
+  string_split(m.words, ' ') as ws from pi where m.name <> '')
+select repo, path, owner, owner_kind, cast(line as int) as line, kind, m.name as name,
+  nullif(case kind when 'method' then rest when 'property' then regexp_extract(rest, {_q(M.TYPE)}, 1) else '' end, '') as type,
+  m.mark = '?' as optional, case when list_contains(ws, 'private') or starts_with(m.name, '#') then 'private' when list_contains(ws, 'protected') then 'protected' else 'public' end as visibility,
+  list_contains(ws, 'static') as is_static, list_contains(ws, 'async') as is_async, list_contains(ws, 'readonly') as is_readonly from ki""")
