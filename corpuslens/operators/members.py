@@ -15,9 +15,10 @@ COMMENT = comment_pattern()
 FLAT = r"[^<>(){};=\n]*"
 ARGUMENTS = f"<{FLAT}(?:<{FLAT}(?:<{FLAT}>{FLAT})*>{FLAT})*>"
 # A line break next to one of these signs ends no member.
-CONTINUED = r"(?:[|&:=]|=>)[ \t]*\n\s*|\n\s*[|&?:=.]"
+CONTINUED = r"(?:[|&:=]|=>)[ \t]*\n\s*|\n\s*[|&?:=.]?"
 TOKEN = rf"{COMMENT}|{LITERAL}|{ARGUMENTS}|{CONTINUED}|[^\"'`/<\[\](){{}};,\n|&:=]+|[\s\S]"
-OPENING, CLOSING, ENDS = ("{", "(", "["), ("}", ")", "]"), (";", ",", "\n")
+OPENING, CLOSING = ("{", "(", "["), ("}", ")", "]")
+ENDING = r"^(?:[;,]|\n\s*)$"
 BOUNDARIES = (";", "{", "}")
 # The last such word before a brace, its name, and what may stand between the name and the brace.
 HEAD = r"^[\s\S]*(?:^|\s)(interface|class|enum|type)\s+(\w+)([\s\S]*)$"
@@ -34,7 +35,7 @@ SCHEMA = (
 )
 
 _TOKEN = re.compile(possessive(TOKEN).replace(r"\z", r"\Z"), re.ASCII)
-_HEAD, _REST, _MEMBER, _TYPE = (re.compile(p, re.ASCII) for p in (HEAD, REST, MEMBER, TYPE))
+_ENDING, _HEAD, _REST, _MEMBER, _TYPE = (re.compile(p, re.ASCII) for p in (ENDING, HEAD, REST, MEMBER, TYPE))
 _SPACES, _DECORATORS = re.compile(r"\s+", re.ASCII), re.compile(DECORATORS, re.ASCII)
 
 
@@ -99,7 +100,7 @@ def members_of_text(code: str) -> Iterator[tuple]:
             if bodies and depth < bodies[-1].inside:
                 yield from _fields(bodies.pop(), parts, lines, i)
         body = bodies[-1] if bodies and bodies[-1].inside == depth else None
-        if body and token in ENDS:
+        if body and _ENDING.match(token):
             yield from _fields(body, parts, lines, i)
             body.start, body.cut = i + 1, None
         if token in OPENING:
@@ -136,3 +137,65 @@ def type_members(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("repo", "path", "content").mapInPandas(parse, SCHEMA)
+
+
+# A quote of a lifetime opens nothing, so a character is a literal only where its end follows.
+RUST_LITERAL = r""""(?:[^"\\]|\\[\s\S])*"?|'(?:[^'\\\n]|\\.[^'\n]*)'"""
+USE = r"(?:^|[;{}\n])[ \t\r]*(pub(?:\s*\([^)]*\))?\s+)?use\s+([^;]+)"
+USE_PART = r"[{},]|[^{},]+"
+USE_SCHEMA = "repo string, path string, line int, name string, alias string, source string, exported boolean"
+
+_USE, _USE_PART = re.compile(USE, re.ASCII), re.compile(USE_PART)
+_RUST_HIDDEN = re.compile(possessive(f"{RUST_LITERAL}|{COMMENT}").replace(r"\z", r"\Z"), re.ASCII)
+
+
+def imports_of_text(code: str) -> Iterator[tuple]:
+    """(line, name, alias, source, exported) of every leaf of every use tree, however deep and over any lines."""
+    plain = _RUST_HIDDEN.sub(lambda m: "\n" * m[0].count("\n"), code)
+    line, at = 1, 0
+    for statement in _USE.finditer(plain):
+        start = statement.start(2)
+        line, at = line + plain.count("\n", at, start), start
+        prefixes, pending = [""], None
+        for part in [*_USE_PART.findall(statement[2]), ","]:
+            if part == "{":
+                prefixes.append(prefixes[-1] + (pending or ""))
+                pending = None
+            elif part in ("}", ","):
+                if pending:
+                    yield (line, *_leaf(prefixes[-1], pending), statement[1] is not None)
+                pending = None
+                if part == "}" and len(prefixes) > 1:
+                    prefixes.pop()
+            else:
+                pending = _SPACES.sub(" ", part).strip(" ")
+
+
+def _leaf(prefix: str, item: str) -> tuple[str, str | None, str]:
+    """Name, alias and the path above the name; ``self`` stands for the last step of its prefix."""
+    path, _, alias = item.partition(" as ")
+    steps = [x.strip(" ") for x in (prefix + path).split("::")]
+    if steps[-1] == "self" and len(steps) > 1:
+        steps.pop()
+    return steps[-1], alias.strip(" ") or None, "::".join(steps[:-1])
+
+
+def rust_imports(files: DataFrame) -> DataFrame:
+    """(repo, path, line, name, alias, source, exported): one row a name that a Rust file imports.
+
+    ``use a::{b::{c, d as e}, self, f::*};`` gives c and d of ``a::b``, a itself and ``*`` of ``a::f``; ``line`` is the
+    line on which the tree begins. Statements in literals and comments are none; raw literals with quotes in them and
+    comments within comments are not told apart. Null and empty texts have no rows.
+    """
+    names = [c.split()[0] for c in USE_SCHEMA.split(", ")]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (repo, path, *row)
+                for repo, path, code in zip(batch["repo"], batch["path"], batch["content"], strict=True)
+                for row in imports_of_text(code or "")
+            ]
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("repo", "path", "content").mapInPandas(parse, USE_SCHEMA)

@@ -375,7 +375,7 @@ bo as (select repo, path, opened, inside, m.kind as owner_kind, m.owner as owner
   coalesce((select min(i) from dp where dp.repo = hd.repo and dp.path = hd.path and i > opened and after < inside), 2147483647) as closed
   from hd where opened is not null and m.owner not in ('', 'extends') and regexp_matches(m.rest, {_q(M.REST)})
     and regexp_matches(m.rest, '=\s*$') = (m.kind = 'type')),
-bt as (select bo.*, i, t, c, line, after = inside and t in (';', ',', chr(10)) as ends, t = '{{' and after = inside + 1 as opens
+bt as (select bo.*, i, t, c, line, after = inside and regexp_matches(t, {_q(M.ENDING)}) as ends, t = '{{' and after = inside + 1 as opens
   from bo join dp on dp.repo = bo.repo and dp.path = bo.path and i > opened and i < closed),
 bn as (select *, coalesce(sum(case when ends then 1 else 0 end) over (partition by repo, path, opened order by i rows between unbounded preceding and 1 preceding), 0) as no from bt),
 bc as (select *, min(case when opens then i end) over (partition by repo, path, opened, no) as cut from bn),
@@ -390,3 +390,22 @@ select repo, path, owner, owner_kind, cast(line as int) as line, kind, m.name as
   nullif(case kind when 'method' then rest when 'property' then regexp_extract(rest, {_q(M.TYPE)}, 1) else '' end, '') as type,
   m.mark = '?' as optional, case when list_contains(ws, 'private') or starts_with(m.name, '#') then 'private' when list_contains(ws, 'protected') then 'protected' else 'public' end as visibility,
   list_contains(ws, 'static') as is_static, list_contains(ws, 'async') as is_async, list_contains(ws, 'readonly') as is_readonly from ki""")
+
+QUERIES["rust_imports"] = lambda spark, sf: M.rust_imports(table(spark, sf, "rust_trees")).drop("line")
+ORACLE["rust_imports"] = with_derived("rust_trees", rf"""
+with us as (select repo, path, unnest(range(1, len(ms) + 1)) as n, unnest(ms) as m from (
+  select repo, path, regexp_extract_all(regexp_replace(content, {_q(f"{M.RUST_LITERAL}|{M.COMMENT}")}, '', 'g'), {_q(M.USE)}) as ms from rust_trees) s),
+tr as (select repo, path, n, regexp_extract(m, {_q(M.USE)}, 1) <> '' as exported, regexp_extract_all(regexp_extract(m, {_q(M.USE)}, 2), {_q(M.USE_PART)}) as ps from us),
+pt as (select repo, path, n, exported, unnest(range(1, len(ps) + 1)) as i, trim(regexp_replace(unnest(ps), '\s+', ' ', 'g')) as p from tr),
+dp as (select *, coalesce(lead(p) over w, '') as next, coalesce(lag(p) over w, '') as prev,
+  sum(case p when '{{' then 1 when '}}' then -1 else 0 end) over w as after from pt window w as (partition by repo, path, n order by i)),
+op as (select *, case when prev in ('', '{{', '}}', ',') then '' else prev end as piece,
+  coalesce((select min(k.i) from dp k where k.repo = dp.repo and k.path = dp.path and k.n = dp.n and k.i > dp.i and k.after < dp.after), 2147483647) as closed
+  from dp where p = '{{'),
+lf as (select d.repo, d.path, d.n, d.i, d.exported, d.p, coalesce(string_agg(piece, '' order by op.i), '') as prefix
+  from dp d left join op on op.repo = d.repo and op.path = d.path and op.n = d.n and op.i < d.i and op.closed > d.i
+  where d.p not in ('', '{{', '}}', ',') and d.next <> '{{' group by 1, 2, 3, 4, 5, 6),
+sp as (select *, regexp_extract(p, ' as (.*)$', 1) as alias,
+  list_transform(string_split(concat(prefix, regexp_replace(p, ' as .*$', '')), '::'), lambda x: trim(x)) as steps from lf),
+ss as (select *, case when steps[-1] = 'self' and len(steps) > 1 then steps[:-2] else steps end as s from sp)
+select repo, path, s[-1] as name, nullif(alias, '') as alias, array_to_string(s[:-2], '::') as source, exported from ss""")

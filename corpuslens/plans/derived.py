@@ -189,6 +189,17 @@ select doc_id, 'main' as repo, concat('src/m', cast(doc_id as varchar(20)), case
 from (select d.*, (doc_id * 7 + 1) % (select count(*) from {documents}) as t1 from {documents} d) s
 """
 
+# Each Rust file with use trees of several levels and lines, one per form, and statements in literals and comments.
+DERIVED["rust_trees"] = """
+select doc_id, repo, path, concat(
+  case doc_id % 3
+    when 0 then concat('use std::{', chr(10), '    io::{self, Read as R, fs::{File, /* Gone, */ Open', cast(doc_id as varchar(20)), '}},', chr(10), '    fmt, // note', chr(10), '};', chr(10))
+    when 1 then concat('pub(crate) use {a', cast(doc_id as varchar(20)), '::{self}, b::*}; use d as e;', chr(10), '// use no::way;', chr(10))
+    else concat('let s = "', chr(10), 'use in::literal; ";', chr(10), 'fn f<''a>(x: &''a str) { use g::{h', cast(doc_id as varchar(20)), ', i::{j::{k::{l}}}}; }', chr(10)) end,
+  content) as content
+from {rust_files}
+"""
+
 # Two repositories whose files have the same paths: code, and texts.
 DERIVED["twin_files"] = """
 select concat('twin', cast(doc_id % 2 as varchar(20))) as repo,

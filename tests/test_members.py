@@ -2,7 +2,7 @@
 
 import time
 
-from corpuslens.operators.members import members_of_text, type_members
+from corpuslens.operators.members import imports_of_text, members_of_text, type_members
 
 CODE = '''// class Hidden { x: number; }
 export abstract class Store<K, V extends Map<string, K>>
@@ -65,13 +65,36 @@ def test_members_of_every_form():
 
 def test_time_grows_with_the_text_only():
     hard = ["<a " * 300_000, "{" * 500_000, "}" * 500_000, "class x " * 100_000 + "= {", "interface A { " * 20_000,
-            "class A {" + "a: { b: <c> };\n" * 50_000, "`" + "x" * 1_000_000, "(" * 200_000 + "class A {"]
+            "class A {" + "a: { b: <c> };\n" * 50_000, "`" + "x" * 1_000_000, "(" * 200_000 + "class A {", "\n" * 500_000, "= \n" * 300_000]
     for text in hard:
         began = time.time()
         list(members_of_text(text))
         assert time.time() - began < 20
 
 
+def test_use_trees_of_any_depth_over_lines():
+    code = """use std::{
+    io::{self, Read as R, fs::{File, /* x, */ Open}},
+    fmt, // y
+};
+pub(crate) use a::b;
+// use no::way;
+use c::*; use d as e;
+let s = "
+use in::literal;";
+fn f<'a>(x: &'a str, q: char) { let q = '"'; use g::{h}; }
+use never::{closed"""
+    assert list(imports_of_text(code)) == [
+        (1, "io", None, "std", False), (1, "Read", "R", "std::io", False), (1, "File", None, "std::io::fs", False),
+        (1, "Open", None, "std::io::fs", False), (1, "fmt", None, "std", False), (5, "b", None, "a", True),
+        (7, "*", None, "c", False), (7, "d", "e", "", False), (10, "h", None, "g", False), (11, "closed", None, "never", False),
+    ]
+    for text in ["use a::" + "{b::" * 2_000 + "c", "use " * 200_000, "pub " * 200_000, "use a::{" + "b, " * 200_000, "'" * 500_000, "\n" * 500_000]:
+        began = time.time()
+        list(imports_of_text(text))
+        assert time.time() - began < 20
+
+
 def test_null_empty_and_repeated_files(spark):
     schema = "repo string, path string, content string, owner int"
     one = (None, "a.ts", "class A { x: number }", 1)
