@@ -102,3 +102,24 @@ def test_null_empty_and_repeated_files(spark):
     got = type_members(spark.createDataFrame(rows, schema)).select("repo", "path", "owner", "name").collect()
     assert [tuple(r) for r in got] == [(None, "a.ts", "A", "x")] * 2
     assert type_members(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rows_leave_a_few_texts_at_a_time(spark):
+    """A worker holds the objects of a few texts, however many rows a batch has; symbols, members and imports share the step."""
+    from corpuslens.functions.batches import AT_ONCE
+    from corpuslens.operators.symbols import python_symbols
+
+    schema = "repo string, path string, content string"
+    rows = [("r", f"f{i}", None if i == 7 else f"interface A{i} {{ a: string; b: number }}") for i in range(1000)]
+    found = type_members(spark.createDataFrame(rows, schema).coalesce(1))
+    assert found.groupBy("path").count().count() == 999 and found.count() == 2 * 999
+    code = [("r", f"f{i}", "def f(a):\n    pass\nimport os") for i in range(300)]
+    symbols = python_symbols(spark.createDataFrame(code, schema).coalesce(1))
+    assert symbols.count() == 600 and {r.ordinal for r in symbols.collect()} == {0, 1}
+
+    def size(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.num_rows]})
+
+    sizes = [r.n for r in symbols.mapInArrow(size, "n long").collect()]
+    assert sum(sizes) == 600 and AT_ONCE < 300
