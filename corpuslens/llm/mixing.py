@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import windows
 from corpuslens.llm.common import one_row, position_in_group, text_key, word_count, written
+from corpuslens.operators.search import checked_broadcast
 from corpuslens.session import cut_lineage
 
 MAX_COPIES = 3
@@ -273,15 +274,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
             & (text_key(F.col("text")) == F.col("_key"))
             & F.col("source").eqNullSafe(F.col("_src"))
         )
-        return hidden.join(choice.drop("m"), same)
+        return hidden.join(choice, same)
 
     names = [f"_in{k}" for k in range(len(docs.columns))]
     own = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
     hidden = docs.select(*own, "doc_id", "text", "source")
-    single = of(taken.filter("m = 1")).withColumn("_copies", F.col("_copies") + F.col("_extra"))
-    several = of(taken.filter("m > 1")).withColumn("_hash", F.xxhash64(*names))
-    several = windows.position_in_group(several, ["_id", "_key", "_src"], [F.col("_hash")], "_turn")
-    several = several.withColumn("_copies", F.col("_copies") + (F.col("_turn") <= F.col("_extra")).cast("long"))
-    both = single.select(*names, "_copies").unionByName(several.select(*names, "_copies")).filter("_copies > 0")
-    copied = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    # only where some of m equal rows are taken once more than the others must the rows be told apart
+    some = (F.col("_extra") > 0) & (F.col("_extra") < F.col("m"))
+    alike = taken.filter(~some).withColumn("_copies", F.col("_copies") + (F.col("_extra") > 0).cast("long"))
+    copied = of(alike.select("_id", "_key", "_src", "_copies")).select(*names, "_copies")
+    told = checked_broadcast(taken.filter(some).drop("m"))
+    if not told.isEmpty():
+        several = of(told).withColumn("_hash", F.xxhash64(*names))
+        several = windows.position_in_group(several, ["_id", "_key", "_src"], [F.col("_hash")], "_turn")
+        several = several.withColumn("_copies", F.col("_copies") + (F.col("_turn") <= F.col("_extra")).cast("long"))
+        copied = copied.unionByName(several.select(*names, "_copies"))
+    copied = copied.filter("_copies > 0")
+    copied = copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return copied.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -175,6 +175,26 @@ def test_mix_odd_rows_and_columns(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix_report(docs(spark, [])).count() == 0
 
 
+def test_mix_tells_rows_apart_only_where_some_of_them_are_taken_once_more(spark, monkeypatch):
+    """Texts move a second time for those rows alone, whatever the number of rows that come several times."""
+    told = []
+    position = mixing.windows.position_in_group
+
+    def seen(df, *rest):
+        told.append(df.count())
+        return position(df, *rest)
+
+    monkeypatch.setattr(mixing.windows, "position_in_group", seen)
+    lone = [(100 + i, "one two three", "en", "b", 0) for i in range(50)]
+    data = [(7, "w " * 40, "en", "a", 0)] * 31 + lone + [(8, None, None, None, 0)] * 2
+    got = Counter((r.doc_id, r.text) for r in mixing.mix(docs(spark, data)).collect())
+    assert told == [31]
+    assert told == [31] and got[8, None] == 2
+    assert 0 < got[7, "w " * 40] <= 3 * 31 and all(0 < got[100 + i, "one two three"] <= 3 for i in range(50))
+    told.clear()
+    assert mixing.mix(docs(spark, [(i, "a b", "en", "a", 0) for i in range(9)])).count() == 9 and told == []
+
+
 def test_shards_are_the_smallest_capacity_and_gapless(spark):
     rng = random.Random(2)
     for n, hot, k in ((300, 0, 16), (300, 90, 7), (5, 0, 16), (40, 40, 3)):
