@@ -13,8 +13,10 @@ neighbours, so they are worked out once and kept in a bounded cache of each Pyth
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +30,9 @@ CACHE_UNITS = 300_000  # of one worker, twice at most
 PIECE = regex.compile(public_tokenizers.PATTERN)
 # A unit: white space, then a contraction (never after a space), letters, digits or other characters.
 UNIT = regex.compile(r"\s*(?:(?<! )'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
+# The same units for most chunks: a space and ASCII letters, then ASCII signs but the apostrophe.
+WORD = re.compile(r"( [A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+TAIL = 3  # bytes at the end of a token by which its possible lengths are looked up
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,36 +61,60 @@ class PrefixCounter:
         # a token whose own bytes are encoded otherwise never occurs
         encode = self.encoding._encode_single_piece
         self.tokens = {token: rank for token, rank in ranks.items() if encode(token) == [rank]}
-        self.longest = max(map(len, self.tokens))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.bytes_of = {rank: token for token, rank in self.tokens.items()}
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.tokens:
+            if len(token) >= TAIL:
+                sizes.setdefault(token[-TAIL:], set()).add(len(token))
+        self.tail_sizes = sizes
+        self.sizes: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
         self.blanks: dict[str, list[int]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.young_chunks: dict[str, bytes | None] = {}
         self.old_chunks: dict[str, bytes | None] = {}
 
-    def _fits(self, before: bytes, token: bytes) -> bool:
-        key = (before, token)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 2 * CACHE_UNITS:
-                self.pairs.clear()
-            encoded = self.encoding._encode_single_piece(before + token)
-            found = self.pairs[key] = encoded == [self.tokens[before], self.tokens[token]]
+    def _sizes(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths of the tokens that may end in ``tail``, the longest first."""
+        if len(self.sizes) > CACHE_UNITS:
+            self.sizes.clear()
+        short = {n for n in range(1, min(TAIL, len(tail) + 1)) if tail[-n:] in self.tokens}
+        found = self.sizes[tail] = tuple(sorted(short | self.tail_sizes.get(tail, set()), reverse=True))
+        return found
+
+    def _fits(self, key: int, before: int, token: bytes) -> bool:
+        if len(self.pairs) > 2 * CACHE_UNITS:
+            self.pairs.clear()
+        encoded = self.encoding._encode_single_piece(self.bytes_of[before] + token)
+        found = self.pairs[key] = encoded == [before, self.tokens[token]]
         return found
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Number of tokens of piece[:i] for i = 0, 1, ..., len(piece)."""
-        last: list[bytes] = [b""]
-        counts = [0]
-        tokens, fits, longest = self.tokens, self._fits, self.longest
+        last, counts = [0], [0]  # of each prefix: its last token, how many there are
+        number_of, sizes_of, known = self.tokens.get, self.sizes.get, self.pairs.get
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
+            tail = piece[max(0, end - TAIL) : end]
+            for size in sizes_of(tail) or self._sizes(tail):
+                start = end - size
+                if start < 0:
+                    continue
                 token = piece[start:end]
-                if token in tokens and (start == 0 or fits(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
+                number = number_of(token)
+                if number is None:
+                    continue
+                if start:
+                    before = last[start]
+                    key = before << 32 | number
+                    fits = known(key)
+                    if fits is None:
+                        fits = self._fits(key, before, token)
+                    if not fits:
+                        continue
+                last.append(number)
+                counts.append(counts[start] + 1)
+                break
         return counts
 
     def _blank_counts(self, blank: str) -> list[int]:
@@ -117,6 +146,14 @@ class PrefixCounter:
     def _count_unit(self, unit: str) -> bytes:
         body = unit.lstrip()
         blank = len(unit) - len(body)
+        if blank == 1 and body and unit[0] != " ":  # a piece of its own
+            return bytes([self._blank_counts(unit[0])[-1]]) + self.unit_steps(body)
+        if blank < 2 and body.isalpha():  # one piece
+            counts = self.piece_counts(unit.encode())
+            if len(counts) <= len(unit) + 1:
+                return bytes([b - a & 255 for a, b in zip(counts, counts[1:], strict=False)])
+            ends = [counts[k] for k in _char_ends(unit)]
+            return bytes([b - a & 255 for a, b in zip([0, *ends], ends, strict=False)])
         counts = [0]
         if blank:  # a run of white space is one piece until another character follows
             counts += self._blank_counts(unit[:blank])
@@ -137,6 +174,9 @@ class PrefixCounter:
 
     def _chunk_steps(self, chunk: str) -> bytes | None:
         """Steps of a chunk that begins with a space and has no other; None if the next one depends on it."""
+        word = WORD.fullmatch(chunk)
+        if word:
+            return self.unit_steps(word[1]) + self.unit_steps(word[2]) if word[2] else self.unit_steps(chunk)
         if len(chunk) == 1 or chunk[-1].isspace():
             return None
         return b"".join(map(self.unit_steps, UNIT.findall(chunk)))
@@ -178,7 +218,7 @@ def _char_ends(text: str) -> list[int]:
     """Byte offset after each character."""
     if text.isascii():
         return list(range(1, len(text) + 1))
-    return np.cumsum([len(c.encode()) for c in text]).tolist()
+    return list(accumulate([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text]))
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
