@@ -207,6 +207,18 @@ def test_lexical_search_is_the_same_by_weights_and_by_joins(spark):
     assert S.lexical_search(chunks, queries.limit(0), 5).count() == 0
 
 
+def test_lexical_search_moves_words_only_where_a_chunk_comes_twice(spark, monkeypatch):
+    """The words of a chunk lie together as they are counted; they are dealt anew only if chunks share a name."""
+    dealt, used = [], S._in_pieces
+    monkeypatch.setattr(S, "_in_pieces", lambda tf: dealt.append(1) or used(tf))
+    rows = [(f"r{i % 2}" if i % 5 else None, i, f"w{i % 7} w{i % 3} hot x{i}") for i in range(600)]
+    queries = spark.createDataFrame([(1, "w1 hot"), (2, "x17 w5")], "query_id long, query string")
+    hits = lambda data, **how: sorted((r.query_id, -r.score, r.chunk_id, repr(r.repo)) for r in S.lexical_search(spark.createDataFrame(data, "repo string, chunk_id long, text string").repartition(3), queries, 5, **how).collect())
+    assert hits(rows) == hits(rows, cells=0) and dealt == []
+    twice = hits(rows + rows[:9])
+    assert dealt == [1] and len({h[0::2] for h in twice}) == len(twice) == 10
+
+
 def test_top_texts_hold_no_more_than_they_need():
     rng = np.random.default_rng(3)
     weights = rng.random((6, 20))
